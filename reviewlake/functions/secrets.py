@@ -1,61 +1,92 @@
 """Redaction of secrets by an ordered list of patterns."""
 
+from __future__ import annotations
+
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SPACE
 
-# Name, pattern, replacement; applied in this order, each on the output of the
-# one before. Flags: i = any case, u/U = Unicode classes, d = only \n ends a line.
+
+class Secret(NamedTuple):
+    name: str
+    pattern: str
+    replacement: str
+    needles: tuple[str, ...]  # every match contains one of them; lower-case if `lowered`
+    lowered: bool = False
+
+
+# Name, pattern and replacement, applied in this order, each on the output of the
+# one before. Flags: i = any case, u/U = Unicode classes, d = only \n ends a line. Under (?iu)
+# the long s (U+017F) matches an s, and lower-casing keeps it, so needles avoid or list it.
 SECRET_PATTERNS = (
-    ("openai_key", r"sk-[a-zA-Z0-9]{20,}", "[OPENAI_KEY_REDACTED]"),
-    ("aws_key", r"AKIA[0-9A-Z]{16}", "[AWS_KEY_REDACTED]"),
-    (
-        "aws_secret",
-        r"(?iudU)(aws.{0,20}secret.{0,20})['\"][0-9a-zA-Z/+]{40}['\"]",
-        "$1[AWS_SECRET_REDACTED]",
-    ),
-    (
+    Secret("openai_key", r"sk-[a-zA-Z0-9]{20,}", "[OPENAI_KEY_REDACTED]", ("sk-",)),
+    Secret("aws_key", r"AKIA[0-9A-Z]{16}", "[AWS_KEY_REDACTED]", ("AKIA",)),
+    Secret(
+        "aws_secret", r"(?iudU)(aws.{0,20}secret.{0,20})['\"][0-9a-zA-Z/+]{40}['\"]",
+        "$1[AWS_SECRET_REDACTED]", ("aws", "awſ"), lowered=True),
+    Secret(
         "assignment",
         r"(?iudU)(api[_-]?key|token|secret|password|passwd|pwd)"
         rf"{SPACE}*={SPACE}*['\"][^'\"]{{20,}}['\"]",
-        "$1=[REDACTED]",
-    ),
-    ("github_token", r"ghp_[a-zA-Z0-9]{36}", "[GITHUB_TOKEN_REDACTED]"),
-    ("bearer", rf"(?dU)Bearer{SPACE}+[a-zA-Z0-9\-._~+/]{{20,}}", "Bearer [TOKEN_REDACTED]"),
+        "$1=[REDACTED]", ("api", "token", "ecret", "word", "wd"), lowered=True),
+    Secret("github_token", r"ghp_[a-zA-Z0-9]{36}", "[GITHUB_TOKEN_REDACTED]", ("ghp_",)),
+    Secret("bearer", rf"(?dU)Bearer{SPACE}+[a-zA-Z0-9\-._~+/]{{20,}}", "Bearer [TOKEN_REDACTED]",
+           ("Bearer",)),
 )
 
 
 def scrub_secrets(code: Column) -> Column:
-    for _, pattern, replacement in SECRET_PATTERNS:
-        code = F.regexp_replace(code, pattern, replacement)
+    """The redaction as one expression, for small inputs; see `scrub`."""
+    for secret in SECRET_PATTERNS:
+        code = F.regexp_replace(code, secret.pattern, secret.replacement)
     return code
 
 
+def _step(df: DataFrame, secret: Secret, count: bool) -> DataFrame:
+    """Apply one pattern to `_text`, and count its matches first if asked to.
+
+    Text without a needle skips the regular expression, which costs far more than a substring
+    search. Each step is a projection of its own, so the text before it is computed once.
+    """
+    text = F.col("_text")
+    if secret.lowered:
+        df = df.withColumn("_lowered", F.lower(text))
+    where = F.col("_lowered") if secret.lowered else text
+    possible = reduce(or_, [where.contains(n) for n in secret.needles])
+    if secret.name == "assignment":
+        possible = text.contains("=") & possible
+    columns = {"_text": F.when(possible, F.regexp_replace(text, secret.pattern, secret.replacement))
+               .otherwise(text)}
+    if count:
+        columns[secret.name] = F.when(
+            possible, F.regexp_count(text, F.lit(secret.pattern))).otherwise(0).cast("long")
+    return df.withColumns(columns).drop("_lowered")
+
+
 def scrub(df: DataFrame, col: str = "code") -> DataFrame:
-    return df.withColumn(col, scrub_secrets(F.col(col)))
+    """Redact every secret in `col`."""
+    names = df.columns
+    df = df.withColumnRenamed(col, "_text")
+    for secret in SECRET_PATTERNS:
+        df = _step(df, secret, count=False)
+    return df.withColumnRenamed("_text", col).select(*names)
 
 
 def secret_hits(df: DataFrame, col: str = "code", by: list[str] | None = None) -> DataFrame:
     """Number of matches per pattern, each counted on text the earlier patterns already cleaned.
 
-    One pass over the text: every step's text is a column of its own, used twice (counted and
-    cleaned further), so it is computed once. Only six numbers per row reach the shuffle, and
-    those are summed before it.
+    One pass over the text; six numbers per row reach the sums, which combine before a shuffle.
     """
     keys = by or []
-    text = F.col(col)
-    counts: list[str] = []
-    step = df.select(*keys, text.alias("_text"))
-    for name, pattern, replacement in SECRET_PATTERNS:
-        step = step.select(
-            *keys,
-            *counts,
-            F.regexp_count("_text", F.lit(pattern)).cast("long").alias(name),
-            F.regexp_replace("_text", pattern, replacement).alias("_text"),
-        )
-        counts.append(name)
-    sums = step.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts]
-    )
-    return sums.unpivot(keys, counts, "pattern", "hits")
+    names = [secret.name for secret in SECRET_PATTERNS]
+    df = df.select(*keys, F.col(col).alias("_text"))
+    for secret in SECRET_PATTERNS:
+        df = _step(df, secret, count=True)
+    sums = df.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+    return sums.unpivot(keys, names, "pattern", "hits")

@@ -150,9 +150,11 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
             whole = chain(whole, f)
         return _step_frame(key[0], {"chunk": key[1]}, whole)
 
-    def walk_repo(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        entries = list(_walk(_functions(frame), NO_BATCH, 0))
-        return _entry_frame(key[0], "stretch", entries)
+    def walk_repo(name: str):
+        def walk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+            return _entry_frame(key[0], name, list(_walk(_functions(frame), NO_BATCH, 0)))
+
+        return walk
 
     def walk_stretch(key: tuple[Any, ...], frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         state, started = int(entry["state"].iloc[0]), int(entry["started"].iloc[0])
@@ -164,21 +166,36 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
                      int(entry["started"].iloc[0]))
         return frame[["repo", "ord", "tokens"]].assign(batch_id=ids)
 
+    def number_only_chunk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        ids = number(frame["tokens"].to_numpy(), max_tokens, NO_BATCH, 0)
+        return frame[["repo", "ord", "tokens"]].assign(batch_id=ids)
+
+    numbered = "repo string, ord long, tokens long, batch_id long"
+    entry = "state long, started long"
+    highest = rows.agg(F.max("chunk")).first()[0] or 0
+    if highest == 0:  # no repo is longer than a chunk, all are entered without an open batch
+        return rows.groupBy("repo", "chunk").applyInPandas(number_only_chunk, numbered)
+
     chunks = rows.groupBy("repo", "chunk").applyInPandas(
         summarise_chunk, f"repo string, chunk long, {_STEPS}")
-    stretches = chunks.groupBy("repo", stretch).applyInPandas(
-        chain_stretch, f"repo string, chunk long, {_STEPS}")
-    stretch_entries = stretches.groupBy("repo").applyInPandas(
-        walk_repo, "repo string, stretch long, state long, started long")
-    chunk_entries = (
-        chunks.groupBy("repo", stretch)
-        .cogroup(stretch_entries.groupBy("repo", "stretch"))
-        .applyInPandas(walk_stretch, "repo string, chunk long, state long, started long")
-    )
+    if highest < stretch_chunks:
+        chunk_entries = chunks.groupBy("repo").applyInPandas(
+            walk_repo("chunk"), f"repo string, chunk long, {entry}")
+    else:
+        stretches = chunks.groupBy("repo", stretch).applyInPandas(
+            chain_stretch, f"repo string, chunk long, {_STEPS}")
+        stretch_entries = stretches.groupBy("repo").applyInPandas(
+            walk_repo("stretch"), f"repo string, stretch long, {entry}")
+        chunk_entries = (
+            chunks.groupBy("repo", stretch)
+            .cogroup(stretch_entries.groupBy("repo", "stretch"))
+            .applyInPandas(walk_stretch, f"repo string, chunk long, {entry}")
+        )
     return (
         rows.groupBy("repo", "chunk")
         .cogroup(chunk_entries.groupBy("repo", "chunk"))
-        .applyInPandas(number_chunk, "repo string, ord long, tokens long, batch_id long")
+        .applyInPandas(number_chunk, numbered)
     )
 
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.secrets import scrub
 from ..schemas import FINDING_COLUMNS, REPORT, REVIEWED
-from .findings import normalize_findings, validate_findings
+from .findings import normalize_findings, with_reject_reason
 
 PYTHON = ("python",)
 SCRIPT = ("javascript", "typescript", "tsx")
@@ -29,6 +32,7 @@ class Rule(NamedTuple):
     issue: str
     fix: str
     impact: str
+    needles: tuple[str, ...]  # every match contains one of them, in lower case
 
 
 RULES = (
@@ -36,45 +40,55 @@ RULES = (
          r"(?i)f[\"'][^\n]*\b(select|insert|update|delete)\b[^\n]*\{"
          r"|\b(select|insert|update|delete)\b[^\n]*[\"']\s*\+",
          "Security", "Critical", 95, "sql injection through a query built from text",
-         "Pass values as query parameters.", "An attacker could read or change the database."),
+         "Pass values as query parameters.", "An attacker could read or change the database.",
+         ("select", "insert", "update", "delete")),
     Rule("SQLI_JS", SCRIPT,
          r"(?i)`[^`]*\b(select|insert|update|delete)\b[^`]*\$\{"
          r"|\b(select|insert|update|delete)\b[^\n]*[\"']\s*\+",
          "Security", "Critical", 95, "sql injection through a query built from text",
-         "Pass values as query parameters.", "An attacker could read or change the database."),
+         "Pass values as query parameters.", "An attacker could read or change the database.",
+         ("select", "insert", "update", "delete")),
     Rule("XSS_PY", PYTHON,
          r"f\"[^\"\n]*<[a-zA-Z][^\"\n]*\{|f'[^'\n]*<[a-zA-Z][^'\n]*\{",
          "Security", "High", 85, "cross-site scripting through unescaped markup",
          "Escape values before putting them into markup.",
-         "An attacker could run scripts in a visitor's browser."),
+         "An attacker could run scripts in a visitor's browser.",
+         ("<",)),
     Rule("XSS_JS", SCRIPT,
          r"\.innerHTML\s*\+?=|dangerouslySetInnerHTML|document\.write(ln)?\(",
          "Security", "High", 90, "xss through unescaped markup",
          "Set text content or sanitize the markup.",
-         "An attacker could run scripts in a visitor's browser."),
+         "An attacker could run scripts in a visitor's browser.",
+         (".innerhtml", "dangerouslysetinnerhtml", "document.write")),
     Rule("CMD_PY", PYTHON, r"shell\s*=\s*True|os\.system\(",
          "Security", "Critical", 95, "command injection through a system shell",
          "Pass an argument list and no shell.",
-         "An attacker could run commands on the server."),
+         "An attacker could run commands on the server.",
+         ("shell", "os.system(")),
     Rule("CMD_JS", SCRIPT, r"\b(child_process\.)?exec(Sync)?\(",
          "Security", "High", 60, "possible command injection",
          "Use execFile with an argument list.",
-         "An attacker could run commands on the server."),
+         "An attacker could run commands on the server.",
+         ("exec",)),
     Rule("DESER_PY", PYTHON, r"\bpickle\.loads?\(",
          "Security", "Critical", 95, "unsafe deserialization of untrusted bytes",
          "Use a data-only format such as JSON.",
-         "An attacker could run code by sending crafted data."),
+         "An attacker could run code by sending crafted data.",
+         ("pickle.load",)),
     Rule("DESER_JS", SCRIPT, r"\beval\(|vm\.runInContext\(",
          "Security", "High", 85, "unsafe deserialization by running text as code",
          "Parse the data with JSON.parse.",
-         "An attacker could run code by sending crafted data."),
+         "An attacker could run code by sending crafted data.",
+         ("eval(", "vm.runincontext(")),
     Rule("PROTO_JS", SCRIPT, r"\b(_|lodash)\.merge\(|\w\[[A-Za-z_$][\w$]*\]\s*=[^=]",
          "Security", "Medium", 60, "possible prototype pollution",
          "Check keys against an allow list.",
-         "An attacker could change the behaviour of unrelated objects."),
+         "An attacker could change the behaviour of unrelated objects.",
+         (".merge(", "]")),
     Rule("DIV_PY", PYTHON, r"return\s+\w+\s*/\s*\w+",
          "Bug", "Medium", 80, "possible division by zero",
-         "Test the divisor first.", "The call could crash on a zero value."),
+         "Test the divisor first.", "The call could crash on a zero value.",
+         ("return",)),
 )
 
 
@@ -83,15 +97,22 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     A definition inside another repeats the same text, so a hit is kept once per line, for the
     definition that starts last. Blocks without a hit leave before anything is cut or moved,
-    and code itself is never shuffled.
+    and code itself is never shuffled. A regular expression runs only on code of its language
+    that contains one of its needles.
     """
-    clean = scrub(blocks)
-    hit = [F.when(F.col("language").isin(*r.languages) & F.col("code").rlike(r.pattern), F.lit(i))
-           for i, r in enumerate(rules)]
+    clean = scrub(blocks).withColumn("_lowered", F.lower("code"))
+    hit = [
+        F.when(
+            F.col("language").isin(*r.languages)
+            & reduce(or_, [F.col("_lowered").contains(n) for n in r.needles])
+            & F.col("code").rlike(r.pattern),
+            F.lit(i))
+        for i, r in enumerate(rules)
+    ]
     matched = clean.withColumn("_rule", F.explode(F.array_compact(F.array(*hit))))
     prefix = None
     for i, r in enumerate(rules):
-        before = F.regexp_extract("code", rf"\A((?s:.*?))(?:{r.pattern})", 1)
+        before = F.split("code", r.pattern, 2)[0]
         prefix = (F if prefix is None else prefix).when(F.col("_rule") == i, before)
     placed = matched.withColumn("_before", prefix).select(
         "repo", "file_path", "name", "line_number", "ord", "_rule",
@@ -166,29 +187,41 @@ def review_batches(prompts: DataFrame, reviewer: Reviewer, attempts: int = 3,
     return prompts.select("repo", "batch_id", "prompt").mapInPandas(run, REVIEWED)
 
 
-def parse_reports(reviewed: DataFrame, json_col: str = "report") \
-        -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Report JSON to (findings, summaries, rejects).
+def read_reports(reviewed: DataFrame, json_col: str = "report") -> DataFrame:
+    """Report JSON to one row per finding, normalized, with its place `pos` in the report.
 
-    Findings are normalized and carry `pos`, their place in the report. Rejects are reports
-    that are no valid JSON and findings with a missing or off-domain field.
+    `reject_reason` is set for a finding with a missing or off-domain field, and for a report
+    that is no valid JSON, which gives one row without a finding. A valid report without
+    findings also gives one such row, so that its summary is kept.
     """
     keys = [c for c in ("repo", "batch_id") if c in reviewed.columns]
-    schema = REPORT.jsonValue()
-    corrupt = {"name": "_corrupt", "type": "string", "nullable": True, "metadata": {}}
-    schema = json.dumps({**schema, "fields": [*schema["fields"], corrupt]})
-    parsed = reviewed.filter(F.col(json_col).isNotNull()).select(
-        *keys, F.from_json(json_col, schema, {"columnNameOfCorruptRecord": "_corrupt"})
-        .alias("_r"))
-    good, bad = F.col("_r._corrupt").isNull(), F.col("_r._corrupt").isNotNull()
-    rows = parsed.filter(good).select(*keys, F.posexplode("_r.reviews").alias("pos", "_f"))
-    flat = normalize_findings(rows.select(*keys, "pos", "_f.*"))
-    findings, invalid = validate_findings(flat.select(*keys, "pos", *FINDING_COLUMNS))
-    summaries = parsed.filter(good).select(*keys, F.col("_r.batch_summary").alias("batch_summary"))
-    rejects = parsed.filter(bad).select(
-        *keys, F.lit(None).cast("int").alias("pos"), F.lit("malformed report").alias("reason"),
-    ).unionByName(invalid.select(*keys, "pos", F.col("reject_reason").alias("reason")))
-    return findings, summaries, rejects
+    schema = T.StructType([*REPORT.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json(json_col, schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    # The generator keeps the parse a column: projected directly, it would run once per use.
+    reports = reviewed.filter(F.col(json_col).isNotNull()).select(
+        *keys, F.explode_outer(F.array(parsed)).alias("_r"))
+    rows = reports.select(
+        *keys, F.col("_r.batch_summary").alias("batch_summary"),
+        F.col("_r._corrupt").isNotNull().alias("_corrupt"),
+        F.posexplode_outer("_r.reviews").alias("pos", "_f"))
+    flat = with_reject_reason(
+        normalize_findings(rows.select(*keys, "batch_summary", "_corrupt", "pos", "_f.*")))
+    reason = F.when(F.col("_corrupt"), "malformed report").when(
+        F.col("pos").isNotNull(), F.col("reject_reason"))
+    return flat.withColumn("reject_reason", reason).drop("_corrupt")
+
+
+def parse_reports(reviewed: DataFrame, json_col: str = "report") \
+        -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Report JSON to (findings with `pos`, summaries, rejects with `reason`)."""
+    rows = read_reports(reviewed, json_col)
+    keys = [c for c in ("repo", "batch_id") if c in reviewed.columns]
+    valid, reason = F.col("reject_reason").isNull(), F.col("reject_reason")
+    findings = rows.filter(valid & F.col("pos").isNotNull()).select(*keys, "pos", *FINDING_COLUMNS)
+    malformed = F.coalesce(reason == "malformed report", F.lit(False))
+    summaries = rows.filter(~malformed & F.coalesce(F.col("pos") == 0, F.lit(True))).select(
+        *keys, "batch_summary")
+    return findings, summaries, rows.filter(~valid).select(*keys, "pos", reason.alias("reason"))
 
 
 def batch_errors(reviewed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import paths
 from ..functions.secrets import SECRET_PATTERNS, scrub, secret_hits
 from ..functions.tokens import with_tokens
 from ..operators import batching, call_graph, extract, files, prompts, recall, review
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources.corpus import read_corpus, write_corpus
 from ..streaming.reviews import read_reviewed, retry_failed, review_stream
 from .inputs import read, values
@@ -27,40 +27,41 @@ def _re2(pattern: str) -> str:
 
 
 def _scrub_sql(col: str, steps: int = len(SECRET_PATTERNS)) -> str:
-    for _, pattern, replacement in SECRET_PATTERNS[:steps]:
-        col = f"regexp_replace({col}, {_re2(pattern)}, {_text(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+    for secret in SECRET_PATTERNS[:steps]:
+        replacement = _text(secret.replacement.replace("$1", r"\1"))
+        col = f"regexp_replace({col}, {_re2(secret.pattern)}, {replacement}, 'g')"
     return col
 
 
 @query("scrub_secrets", f"""
-    SELECT doc_id, md5(clean) AS digest, length(clean) AS length
+    SELECT doc_id, md5(clean) AS digest, CAST(length(clean) AS INT) AS length
     FROM (SELECT doc_id, {_scrub_sql("text")} AS clean FROM documents) d""")
 def _(spark, sf):
-    clean = scrub(read(spark, sf, "documents").select("doc_id", "text"), "text")
+    clean = scrub(read(spark, sf, "documents", spread=True).select("doc_id", "text"), "text")
     return clean.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("length"))
 
 
 def _hits_sql(by: str = "") -> str:
     counts = " UNION ALL ".join(
-        f"""SELECT {by + "," if by else ""} '{name}' AS pattern, CAST(coalesce(sum(len(
-          regexp_extract_all({_scrub_sql("text", i)}, {_re2(pattern)}))), 0) AS BIGINT) AS hits
-        FROM documents {"GROUP BY " + by if by else ""}"""
-        for i, (name, pattern, _) in enumerate(SECRET_PATTERNS))
+        f"""SELECT {by + "," if by else ""} '{secret.name}' AS pattern, CAST(coalesce(sum(len(
+          regexp_extract_all({_scrub_sql("text", i)}, {_re2(secret.pattern)}))), 0) AS BIGINT)
+          AS hits FROM documents {"GROUP BY " + by if by else ""}"""
+        for i, secret in enumerate(SECRET_PATTERNS))
     return counts
 
 
 @query("secret_hits", _hits_sql())
 def _(spark, sf):
-    return secret_hits(read(spark, sf, "documents"), "text")
+    return secret_hits(read(spark, sf, "documents", spread=True), "text")
 
 
 @query("secret_hits_by_source", _hits_sql("source"))
 def _(spark, sf):
-    return secret_hits(read(spark, sf, "documents"), "text", ["source"])
+    return secret_hits(read(spark, sf, "documents", spread=True), "text", ["source"])
 
 
 def blocks(spark, sf) -> DataFrame:
-    return with_tokens(read(spark, sf, "blocks_v"))
+    return with_tokens(read(spark, sf, "blocks_v", spread=True))
 
 
 def batches(spark, sf) -> DataFrame:
@@ -103,7 +104,7 @@ def _(spark, sf):
     SELECT repo, ord, batch_id FROM batches_v WHERE batch_id < 3 + ascii(right(repo, 1)) % 5""")
 def _(spark, sf):
     ids = batching.assign(blocks(spark, sf))
-    targets = read(spark, sf, "blocks_v").select("repo").distinct().withColumn(
+    targets = read(spark, sf, "blocks_v", spread=True).select("repo").distinct().withColumn(
         "max_batches", F.lit(3) + F.ascii(F.expr("right(repo, 1)")) % 5)
     return batching.cap_batches(ids, targets=targets).select("repo", "ord", "batch_id")
 
@@ -134,13 +135,13 @@ def _(spark, sf):
     FROM blocks_v b LEFT JOIN callees_v k ON b.repo = k.repo AND b.name = k.name
     LEFT JOIN callers_v c ON b.repo = c.repo AND b.name = c.name""")
 def _(spark, sf):
-    found = call_graph.with_call_context(read(spark, sf, "blocks_v"), graph(spark, sf))
+    found = call_graph.with_call_context(read(spark, sf, "blocks_v", spread=True), graph(spark, sf))
     return found.select("ord", "repo", "name", F.array_join("callers", ", ").alias("callers"),
                         F.array_join("callees", ", ").alias("callees"))
 
 
 @query("build_prompts", f"""
-    SELECT repo, batch_id, length(prompt) AS length, md5(prompt) AS digest FROM (
+    SELECT repo, batch_id, CAST(length(prompt) AS INT) AS length, md5(prompt) AS digest FROM (
       SELECT repo, batch_id, string_agg(section, '' ORDER BY ord) AS prompt FROM (
         SELECT b.repo, w.batch_id, b.ord, concat(chr(10), '---', chr(10), 'File: `', file_path,
           '` | Language: ', language, ' | Line: ', line_number, ' | Type: ', type, ' | Name: `',
@@ -190,7 +191,7 @@ def _(spark, sf):
     SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))
       AS digest FROM documents""")
 def _(spark, sf):
-    raw = read(spark, sf, "documents").select("doc_id", "text")
+    raw = read(spark, sf, "documents", spread=True).select("doc_id", "text")
     crlf = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n")))
     stored = raw.withColumn("content", F.coalesce(crlf, F.col("text")).cast("binary"))
     return files.decode(stored).select("doc_id", F.md5("content").alias("digest"))
@@ -227,7 +228,8 @@ def _(spark, sf):
       ORDER BY language <> 'python', file_path, ord) - 1 AS ord
     FROM (SELECT *, path AS file_path FROM expected_v) e""")
 def _(spark, sf):
-    found = extract.to_blocks(definitions(spark, sf))
+    parsed = materialize(definitions(spark, sf), "definitions")  # read four times below
+    found = extract.to_blocks(parsed)
     python, script = (found.filter(c) for c in ("language = 'python'", "language <> 'python'"))
     return extract.order_blocks(extract.union_blocks(python, script)).select(
         "repo", "file_path", "name", "ord")
@@ -261,7 +263,8 @@ def _(spark, sf):
       FROM files_v WHERE t IN (0, 1, 2, 3, 7) AND {_REVIEW_WALK} GROUP BY repo) f
     LEFT JOIN expected_v e USING (repo) GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return extract.extraction_stats(read(spark, sf, "files_v"), definitions(spark, sf))
+    parsed = materialize(definitions(spark, sf), "definitions")
+    return extract.extraction_stats(read(spark, sf, "files_v"), parsed)
 
 
 def _cut_sql(code: str) -> str:
@@ -272,7 +275,7 @@ def _cut_sql(code: str) -> str:
 @query("truncate_code", f"""
     SELECT ord, md5({_cut_sql("code")}) AS digest FROM blocks_v""")
 def _(spark, sf):
-    cut = extract.truncate_code(read(spark, sf, "blocks_v"))
+    cut = extract.truncate_code(read(spark, sf, "blocks_v", spread=True))
     return cut.select("ord", F.md5("code").alias("digest"))
 
 
@@ -281,7 +284,7 @@ def _(spark, sf):
       SELECT path, concat('d', doc_id) AS name, CAST(1 AS INT) AS line_number,
         rtrim(content, chr(10)) AS code FROM long_files_v) f""")
 def _(spark, sf):
-    found = extract.to_blocks(extract.extract_definitions(read(spark, sf, "long_files_v")))
+    found = extract.to_blocks(extract.extract_definitions(read(spark, sf, "long_files_v", spread=True)))
     return found.select("file_path", "name", "line_number", F.md5("code").alias("digest"))
 
 
@@ -316,7 +319,7 @@ def _rule_sql(rule: review.Rule) -> str:
     WITH clean AS (SELECT ord, line_number, {_scrub_sql("code")} AS code FROM rule_blocks_v)
     {" UNION ALL ".join(_rule_sql(r) for r in review.RULES if r.languages == review.PYTHON)}""")
 def _(spark, sf):
-    found = review.review_rules(read(spark, sf, "rule_blocks_v"))
+    found = review.review_rules(read(spark, sf, "rule_blocks_v", spread=True))
     return found.select(F.col("block_ord").alias("ord"), "rule", "confidence_score",
                         "line_number", "vulnerable_snippet")
 

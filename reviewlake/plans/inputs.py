@@ -247,11 +247,22 @@ def with_views(query: str) -> str:
     return f"WITH RECURSIVE {', '.join(ctes)}{joint}{query.removeprefix('WITH ')}"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name, or a derived view over the tables in `sf_dir`."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = with_views(f"SELECT * FROM {name}").removeprefix("WITH RECURSIVE ")
-    tables = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES
-              if t in _used(text)]
-    return spark.sql(f"WITH {', '.join([*tables, text])}")
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table by name, or a derived view over the tables in `sf_dir`.
+
+    A test table is one file with one row group, which is one task. `spread` deals its rows out
+    over the cores, for queries bound by CPU; a table of many files is left as it is.
+    """
+    text = f"SELECT * FROM {name}"
+    if name not in TABLES:
+        text = with_views(text).removeprefix("WITH RECURSIVE ")
+    tables = []
+    for table in TABLES:
+        if table in _used(text):
+            path, hint = f"{sf_dir}/{table}.parquet", ""
+            cores = spark.sparkContext.defaultParallelism
+            if spread and len(spark.read.parquet(path).inputFiles()) < cores:
+                hint = f"/*+ REPARTITION({cores}) */"
+            tables.append(f"{table} AS (SELECT {hint} * FROM parquet.`{path}`)")
+    joint = " " if name in TABLES else ", "
+    return spark.sql(f"WITH {', '.join(tables)}{joint}{text}")

@@ -297,7 +297,7 @@ _PR_PLAN = f"""SELECT f.repo, position, idx,
         severity, ' Severity**', chr(10), chr(10), comment, chr(10), chr(10), '**Suggested fix:** ',
         suggested_fix, chr(10), chr(10), '*Confidence: ', confidence_score, '%',
         CASE WHEN needs_verification THEN ' — ⚠️ Verify before acting' ELSE '' END, '*') AS body
-    FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, idx) AS position
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, idx) AS INT) AS position
           FROM findings_v) f
     LEFT JOIN (SELECT DISTINCT repo, file_path FROM pr_files_v) p
       ON f.repo = p.repo AND f.file_path = p.file_path WHERE position <= 10"""
@@ -489,7 +489,7 @@ _SECOND = "CASE WHEN idx % 5 = 0 THEN 'Severe' ELSE 'Low' END"
     UNION ALL SELECT repo, idx, 1, file_path, 'Low', confidence_score, needs_verification
     FROM findings_v WHERE idx % 10 <> 3 AND idx % 5 <> 0""")
 def _(spark, sf):
-    return parse_reports(read(spark, sf, "reports_v"))[0].select(
+    return parse_reports(read(spark, sf, "reports_v", spread=True))[0].select(
         "repo", "batch_id", "pos", "file_path", "severity", "confidence_score",
         "needs_verification")
 
@@ -498,7 +498,7 @@ def _(spark, sf):
     SELECT repo, idx AS batch_id, concat('summary ', idx) AS batch_summary FROM findings_v
     WHERE idx % 10 <> 3""")
 def _(spark, sf):
-    return parse_reports(read(spark, sf, "reports_v"))[1]
+    return parse_reports(read(spark, sf, "reports_v", spread=True))[1]
 
 
 @query("report_rejects", """
@@ -507,4 +507,4 @@ def _(spark, sf):
     UNION ALL SELECT repo, idx, 1, 'unknown severity' FROM findings_v
     WHERE idx % 10 <> 3 AND idx % 5 = 0""")
 def _(spark, sf):
-    return parse_reports(read(spark, sf, "reports_v"))[2].fillna(-1, ["pos"])
+    return parse_reports(read(spark, sf, "reports_v", spread=True))[2].fillna(-1, ["pos"])

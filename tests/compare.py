@@ -45,6 +45,17 @@ def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
     return f"{len(wrong)} rows differ, first {wrong[0]}" if wrong else None
 
 
+_KIND = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
+         "BOOLEAN": "boolean"}
+
+
+def type_differences(ours, con: duckdb.DuckDBPyConnection, sql: str) -> str:
+    """Columns whose type is not the same in both engines."""
+    theirs = {n: t for n, t, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return ", ".join(f"{n}: {t} / {theirs.get(n)}" for n, t in ours.dtypes
+                     if _KIND.get(theirs.get(n, ""), "?") != t)
+
+
 def main() -> None:
     from conftest import make_session
     from reviewlake.plans.queries import QUERIES
@@ -56,9 +67,12 @@ def main() -> None:
             continue
         began = time.time()
         try:
-            ours = q.run(spark, sf_dir).toPandas()
+            frame = q.run(spark, sf_dir)
+            ours = frame.toPandas()
             took = time.time() - began
-            problem = "no SQL" if q.sql is None else differences(ours, con.execute(q.sql).fetchdf())
+            problem = "no SQL" if q.sql is None else (
+                differences(ours, con.execute(q.sql).fetchdf())
+                or type_differences(frame, con, q.sql) or None)
         except Exception as e:
             took, problem, ours = 0, f"{type(e).__name__}: {str(e)[:1500]}", []
         bad += problem not in (None, "no SQL")
