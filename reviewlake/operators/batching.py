@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -129,14 +130,17 @@ def _walk(functions: list[tuple[int, list[Step]]], state: int, started: int):
 
 def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUNK_ROWS,
            stretch_chunks: int = STRETCH_CHUNKS) -> DataFrame:
-    """(repo, ord, tokens) to (repo, ord, tokens, batch_id). `ord` is unique within a repo and
-    roughly dense; its gaps only make chunks smaller."""
-    chunk = F.expr(f"ord div {chunk_rows}")
-    rows = materialize(
-        rows.select("repo", F.col("ord").cast("long"), F.col("tokens").cast("long"),
-                    chunk.alias("chunk")),
-        "tokens",
-    )
+    """Add `batch_id` (0-based, per repo) to rows that have repo, ord and tokens.
+
+    `ord` is unique within a repo and roughly dense; its gaps only make chunks smaller. Rows
+    pass through Python, so they should not carry code; see `assign_batches`. They are written
+    once, being read for the summaries and again for the numbering.
+    """
+    longs = {name: F.col(name).cast("long") for name in ("ord", "tokens")}
+    rows = rows.withColumns(longs).withColumn("chunk", F.expr(f"ord div {chunk_rows}"))
+    numbered = T.StructType(
+        [*rows.drop("chunk").schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = materialize(rows, "tokens")
     stretch = F.expr(f"chunk div {stretch_chunks}").alias("stretch")
 
     def summarise_chunk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
@@ -160,24 +164,24 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
         state, started = int(entry["state"].iloc[0]), int(entry["started"].iloc[0])
         return _entry_frame(key[0], "chunk", list(_walk(_functions(frame), state, started)))
 
-    def number_chunk(key: tuple[Any, ...], frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    def numbers(frame: pd.DataFrame, state: int, started: int) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        ids = number(frame["tokens"].to_numpy(), max_tokens, int(entry["state"].iloc[0]),
-                     int(entry["started"].iloc[0]))
-        return frame[["repo", "ord", "tokens"]].assign(batch_id=ids)
+        ids = number(frame["tokens"].to_numpy(), max_tokens, state, started)
+        return frame.drop(columns="chunk").assign(batch_id=ids)
+
+    def number_chunk(key: tuple[Any, ...], frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return numbers(frame, int(entry["state"].iloc[0]), int(entry["started"].iloc[0]))
 
     def number_only_chunk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        ids = number(frame["tokens"].to_numpy(), max_tokens, NO_BATCH, 0)
-        return frame[["repo", "ord", "tokens"]].assign(batch_id=ids)
+        return numbers(frame, NO_BATCH, 0)
 
-    numbered = "repo string, ord long, tokens long, batch_id long"
     entry = "state long, started long"
     highest = rows.agg(F.max("chunk")).first()[0] or 0
     if highest == 0:  # no repo is longer than a chunk, all are entered without an open batch
         return rows.groupBy("repo", "chunk").applyInPandas(number_only_chunk, numbered)
 
-    chunks = rows.groupBy("repo", "chunk").applyInPandas(
+    counts = rows.select("repo", "chunk", "ord", "tokens")
+    chunks = counts.groupBy("repo", "chunk").applyInPandas(
         summarise_chunk, f"repo string, chunk long, {_STEPS}")
     if highest < stretch_chunks:
         chunk_entries = chunks.groupBy("repo").applyInPandas(
@@ -213,10 +217,7 @@ def _entry_frame(repo: str, name: str, entries: list[tuple[int, int, int]]) -> p
 
 
 def assign_batches(blocks: DataFrame, max_tokens: int = MAX_TOKENS, **chunking) -> DataFrame:
-    """Add `batch_id` (0-based, per repo) to blocks that have `ord` and `tokens`.
-
-    Only (repo, ord, tokens) goes through the packing; code is joined back by key.
-    """
+    """`assign` for blocks with code: only (repo, ord, tokens) goes through the packing."""
     ids = assign(blocks.select("repo", "ord", "tokens"), max_tokens, **chunking)
     return blocks.join(ids.drop("tokens"), ["repo", "ord"])
 

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MAX_CALLERS = 5  # fixed values: names listed per block
 MAX_CALLEES = 10
 
@@ -50,5 +52,11 @@ def _listed(name: str) -> Column:
 
 
 def with_call_context(blocks: DataFrame, graph: DataFrame) -> DataFrame:
-    """Blocks with `callers` and `callees`; both NULL where the name is no function."""
-    return blocks.join(call_context(graph), ["repo", "name"], "left")
+    """Blocks with `callers` and `callees`; both NULL where the name is no function.
+
+    Many blocks may share a name. The context is written first, so that the join reads it
+    through a shuffle of its own: only then can adaptive execution split a hot name (or, by its
+    known size, broadcast the context instead).
+    """
+    context = materialize(call_context(graph), "context")
+    return blocks.join(context, ["repo", "name"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..session import materialize
 from .findings import finding_key
 
 
@@ -22,9 +23,14 @@ def false_positives(latest: DataFrame) -> DataFrame:
 
 
 def drop_false_positives(findings: DataFrame, latest: DataFrame) -> DataFrame:
-    """Findings whose latest verdict is not false_positive."""
+    """Findings whose latest verdict is not false_positive.
+
+    The dismissed keys are written first: a join with the grouped verdicts themselves could not
+    be split where one key holds many findings.
+    """
     keyed = findings.withColumn("finding_key", finding_key())
-    return keyed.join(false_positives(latest), ["repo", "finding_key"], "left_anti")
+    dismissed = materialize(false_positives(latest), "dismissed")
+    return keyed.join(dismissed, ["repo", "finding_key"], "left_anti")
 
 
 def penalty_hundredths() -> Column:

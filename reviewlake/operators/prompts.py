@@ -33,11 +33,11 @@ def section(with_context: bool) -> Column:
 
 
 def with_section(blocks: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """Scrubbed prompt text of each block as `section`."""
-    clean = scrub(blocks)
+    """Scrubbed prompt text of each block as `section`. Blocks may bring their call context
+    (`callers`, `callees`) along; else it is looked up in `graph`, if given."""
     if graph is not None:
-        clean = with_call_context(clean, graph)
-    return clean.withColumn("section", section(graph is not None))
+        blocks = with_call_context(blocks, graph)
+    return scrub(blocks).withColumn("section", section("callers" in blocks.columns))
 
 
 def build_prompts(batches: DataFrame, graph: DataFrame | None = None) -> DataFrame:

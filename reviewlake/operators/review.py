@@ -203,7 +203,8 @@ def read_reports(reviewed: DataFrame, json_col: str = "report") -> DataFrame:
     rows = reports.select(
         *keys, F.col("_r.batch_summary").alias("batch_summary"),
         F.col("_r._corrupt").isNotNull().alias("_corrupt"),
-        F.posexplode_outer("_r.reviews").alias("pos", "_f"))
+        F.posexplode_outer(F.when(F.col("_r._corrupt").isNull(), F.col("_r.reviews")))
+        .alias("pos", "_f"))
     flat = with_reject_reason(
         normalize_findings(rows.select(*keys, "batch_summary", "_corrupt", "pos", "_f.*")))
     reason = F.when(F.col("_corrupt"), "malformed report").when(

@@ -90,20 +90,20 @@ def _(spark, sf):
     SELECT repo, batch_id, count(*) AS blocks, CAST(sum(tokens) AS BIGINT) AS tokens
     FROM batches_v GROUP BY repo, batch_id""")
 def _(spark, sf):
-    return batching.batch_stats(batching.assign(blocks(spark, sf)))
+    return batching.batch_stats(batching.assign(blocks(spark, sf).select("repo", "ord", "tokens")))
 
 
 @query("batch_totals", """
     SELECT repo, count(*) AS blocks, max(batch_id) + 1 AS batches,
       CAST(sum(tokens) AS BIGINT) AS tokens FROM batches_v GROUP BY repo""")
 def _(spark, sf):
-    return batching.batch_totals(batching.assign(blocks(spark, sf)))
+    return batching.batch_totals(batching.assign(blocks(spark, sf).select("repo", "ord", "tokens")))
 
 
 @query("cap_batches", """
     SELECT repo, ord, batch_id FROM batches_v WHERE batch_id < 3 + ascii(right(repo, 1)) % 5""")
 def _(spark, sf):
-    ids = batching.assign(blocks(spark, sf))
+    ids = batching.assign(blocks(spark, sf).select("repo", "ord", "tokens"))
     targets = read(spark, sf, "blocks_v", spread=True).select("repo").distinct().withColumn(
         "max_batches", F.lit(3) + F.ascii(F.expr("right(repo, 1)")) % 5)
     return batching.cap_batches(ids, targets=targets).select("repo", "ord", "batch_id")
@@ -206,7 +206,7 @@ def _(spark, sf):
 
 
 def definitions(spark, sf) -> DataFrame:
-    return extract.extract_definitions(read(spark, sf, "files_v"))
+    return extract.extract_definitions(read(spark, sf, "files_v", spread=True))
 
 
 _BLOCK_SQL = """SELECT repo, path AS file_path, name, type, line_number, code,
@@ -463,4 +463,4 @@ def _(spark, sf):
       FROM (SELECT DISTINCT repo FROM expected_v) e LEFT JOIN ({_FOUND_SQL}) f USING (repo)
       GROUP BY repo) s""")
 def _(spark, sf):
-    return scan(read(spark, sf, "files_v"), max_batches=None).health
+    return scan(read(spark, sf, "files_v", spread=True), max_batches=None).health

@@ -2,60 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import with_tokens
 from ..operators import batching, extract, findings, health, prompts
-from ..operators.call_graph import latest_calls
+from ..operators.call_graph import latest_calls, with_call_context
 from ..operators.review import Reviewer, batch_errors, parse_reports, review_batches, review_rules
-from ..functions.tokens import with_tokens
 from ..session import materialize
 
+_PLACE = ["repo", "file_path", "file_ord"]
+
 
 class Scan(NamedTuple):
     parse_errors: DataFrame
-    batches: DataFrame  # blocks with ord, tokens, batch_id
+    batches: DataFrame  # repo, file_path, file_ord, name, ord, tokens, batch_id; no code
     findings: DataFrame  # with repo, batch_id, pos
     batch_errors: DataFrame | None  # only with a reviewer of one's own
     health: DataFrame  # every repo with a block
 
 
 def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: int | None = 10,
-         languages: tuple[str, ...] | None = None, reviewer: Reviewer | None = None) -> Scan:
+         languages: Sequence[str] | None = None, reviewer: Reviewer | None = None) -> Scan:
     """Parse once, pack, review the first `max_batches` batches per repo (None: all), score.
 
     Definitions are written once, since blocks, call edges and errors all come from that parse.
-    Without `reviewer` the built-in rules review the blocks.
+    Packing and call context work on rows without code. The built-in rules read code where it
+    lies; only a reviewer of one's own moves it, to its place and then into its prompt.
     """
     definitions = materialize(extract.extract_definitions(files), "definitions")
     blocks = extract.to_blocks(definitions)
     if languages is not None:
         blocks = blocks.filter(F.col("language").isin(*languages))
-    blocks = batching_input(blocks)
-    batches = batching.assign_batches(blocks, max_tokens)
-    reviewed = batches if max_batches is None else batching.cap_batches(batches, max_batches)
+    packed = pack(blocks, max_tokens)
+    used = packed if max_batches is None else batching.cap_batches(packed, max_batches)
     errors = None
     if reviewer is None:
-        place = F.struct("block_ord", "line_number", "rule")
-        found = review_rules(reviewed).withColumn("pos", place).drop("block_ord", "rule")
+        found = review_rules(blocks).withColumnRenamed("block_ord", "file_ord").join(
+            used.select(*_PLACE, "ord", "batch_id"), _PLACE)
+        place = F.struct("ord", "line_number", "rule")
+        found = found.withColumn("pos", place).drop("file_ord", "ord", "rule")
     else:
         graph = latest_calls(extract.to_calls(definitions))
-        reports = materialize(
-            review_batches(prompts.build_prompts(reviewed, graph), reviewer), "reports")
+        code = blocks.withColumnRenamed("ord", "file_ord")
+        placed = code.join(with_call_context(used, graph).drop("name", "language"), _PLACE)
+        reports = materialize(review_batches(prompts.build_prompts(placed), reviewer), "reports")
         found, errors = parse_reports(reports)[0], batch_errors(reports)
-    repos = extract.to_blocks(definitions).select("repo").distinct()
     penalties = found.groupBy("repo").agg(
         F.sum(health.penalty_hundredths()).alias("_penalty"), F.count("*").alias("findings"))
-    scored = repos.join(penalties, "repo", "left").select(
+    scored = blocks.select("repo").distinct().join(penalties, "repo", "left").select(
         "repo", F.coalesce("findings", F.lit(0)).alias("findings"),
         *health.score_columns(F.col("_penalty")))
-    return Scan(extract.parse_errors(definitions), batches, found, errors, scored)
+    return Scan(extract.parse_errors(definitions), packed, found, errors, scored)
 
 
-def batching_input(blocks: DataFrame) -> DataFrame:
-    return with_tokens(extract.order_blocks(blocks))
+def pack(blocks: DataFrame, max_tokens: int = batching.MAX_TOKENS) -> DataFrame:
+    """Order, token count and batch of each block, without its code."""
+    slim = with_tokens(blocks).select("repo", "language", "file_path", "name", "ord", "tokens")
+    ordered = extract.order_blocks(slim.withColumn("file_ord", F.col("ord")))
+    return batching.assign(ordered, max_tokens)
 
 
 def indexed(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.findings import LIST_PAGE
 from ..operators.health import penalty_hundredths, score_columns
 from ..schemas import FINDING_COLUMNS
+from ..session import materialize
 
 # Columns of the short report.
 WEB_COLUMNS = (
@@ -86,12 +87,12 @@ def scan_responses(targets: DataFrame, findings: DataFrame, page: int = LIST_PAG
         .alias("_list"))
     totals = findings.groupBy("repo").agg(
         F.count("*").alias("_total"), F.sum(penalty_hundredths()).alias("_penalty"))
-    scanned = targets.join(totals, "repo", "left")
+    scanned = materialize(targets.join(totals, "repo", "left"), "totals")
     score = score_columns(F.col("_penalty"))[0].alias("health_score")
     clean = scanned.filter(F.col("_total").isNull()).select(
         "repo_url", F.lit(0).cast("long").alias("total_findings"), score,
         F.lit(0).cast("long").alias("page"), F.lit("[]").alias("findings"))
-    # An inner join: its list side can be split where one repo holds most pages.
+    # An inner join with a written table: split where one repo holds most pages.
     listed = scanned.filter(F.col("_total").isNotNull()).join(lists, "repo").select(
         "repo_url", F.col("_total").alias("total_findings"), score, "page",
         F.to_json(F.transform("_list", lambda e: e["f"])).alias("findings"))

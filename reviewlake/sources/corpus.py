@@ -4,19 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import FILES
 
+BUCKETS = 256
 
-def read_corpus(spark: SparkSession, path: str, repos: Sequence[str] | None = None) -> DataFrame:
-    """files(repo, path, content). With `repos`, only their partitions are listed and read."""
-    files = spark.read.schema(FILES).parquet(path)
-    return files if repos is None else files.filter(F.col("repo").isin(*repos))
+_STORED = T.StructType([*FILES.fields, T.StructField("bucket", T.IntegerType())])
 
 
-def write_corpus(files: DataFrame, path: str, mode: str = "append") -> None:
-    """Partition by repo. Rows are not gathered per repo first: a large repo keeps the
-    parallelism it was read with."""
-    files.select("path", "content", "repo").write.mode(mode).partitionBy("repo").parquet(path)
+def _bucket(repo: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(buckets)).cast("int")
+
+
+def write_corpus(files: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Write files(repo, path, content) in folders by hash of the repo.
+
+    A folder per repo would mean millions of folders. Rows are range partitioned and sorted by
+    (bucket, repo, path): a large repo spans many files, and the row groups of a file cover few
+    repos, so a filter on repo skips the others.
+    """
+    placed = files.select("repo", "path", "content").withColumn(
+        "bucket", _bucket(F.col("repo"), buckets))
+    keys = ["bucket", "repo", "path"]
+    placed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(
+        "bucket").parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str, repos: Sequence[str] | None = None,
+                buckets: int = BUCKETS) -> DataFrame:
+    """files(repo, path, content); of `repos` only, if given, reading only their folders."""
+    stored = spark.read.schema(_STORED).parquet(path)
+    if repos is not None:
+        wanted = [_bucket(F.lit(r), buckets) for r in repos]
+        stored = stored.filter(F.col("bucket").isin(*wanted) & F.col("repo").isin(*repos))
+    return stored.drop("bucket")
