@@ -36,8 +36,13 @@ CWE_URL = "https://cwe.mitre.org/data/definitions/{}.html"
 
 
 def cwe_keywords(spark: SparkSession) -> DataFrame:
-    rows = [(i, k, f"CWE-{n}", CWE_URL.format(n)) for i, (k, n) in enumerate(CWE_KEYWORDS)]
-    return spark.createDataFrame(rows, "prio int, keyword string, cwe_id string, url string")
+    """The dictionary as a table, small by construction and known to be so by the planner."""
+    rows = [
+        F.struct(F.lit(i).alias("prio"), F.lit(k).alias("keyword"),
+                 F.lit(f"CWE-{n}").alias("cwe_id"), F.lit(CWE_URL.format(n)).alias("url"))
+        for i, (k, n) in enumerate(CWE_KEYWORDS)
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def keyword_index(lowered: Column) -> Column:

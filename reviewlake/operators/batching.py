@@ -15,6 +15,7 @@ numbered in parallel, knowing how it is entered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -99,16 +100,38 @@ def chain(first: list[Step], second: list[Step]) -> list[Step]:
     return out
 
 
-def number(tokens: np.ndarray, limit: int, state: int, started: int) -> np.ndarray:
-    """Batch ids of a chunk entered with `state` after `started` batches were opened."""
+def number(tokens: np.ndarray, limit: int, state: int,
+           started: int) -> tuple[np.ndarray, int, int]:
+    """Batch ids of rows entered with `state` after `started` batches were opened, and the same
+    two values behind them."""
     n = len(tokens)
-    following, upto, _ = _next_starts(tokens, limit)
+    following, upto, before = _next_starts(tokens, limit)
     at = 0 if state == NO_BATCH else int(np.searchsorted(upto, limit - state, side="right"))
-    opens = np.zeros(n, dtype=np.int64)
+    opens, last = np.zeros(n, dtype=np.int64), None
     while at < n:
-        opens[at] = 1
+        opens[at], last = 1, at
         at = int(following[at])
-    return started + np.cumsum(opens) - 1
+    ids = started + np.cumsum(opens) - 1
+    if last is None:
+        state += int(upto[-1])
+    else:
+        state = NO_BATCH if tokens[last] > limit else int(upto[-1] - before[last])
+    return ids, state, int(ids[-1]) + 1
+
+
+def _runs(frame: pd.DataFrame) -> Iterator[tuple[tuple[str, int], slice]]:
+    """Stretches of equal (repo, chunk) in sorted rows."""
+    repos, chunks = frame["repo"].to_numpy(), frame["chunk"].to_numpy()
+    changes = np.flatnonzero((repos[1:] != repos[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+    bounds = [0, *changes.tolist(), len(frame)]
+    for begin, end in zip(bounds, bounds[1:]):
+        if begin < end:
+            yield (repos[begin], int(chunks[begin])), slice(begin, end)
+
+
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    """Whole chunks per partition, in order: one pass in Python serves any number of them."""
+    return rows.repartition("repo", "chunk").sortWithinPartitions("repo", "chunk", "ord")
 
 
 def _functions(frame: pd.DataFrame) -> list[tuple[int, list[Step]]]:
@@ -141,18 +164,64 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
     numbered = T.StructType(
         [*rows.drop("chunk").schema.fields, T.StructField("batch_id", T.LongType())])
     rows = materialize(rows, "tokens")
-    stretch = F.expr(f"chunk div {stretch_chunks}").alias("stretch")
 
-    def summarise_chunk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        steps = summarise(frame.sort_values("ord")["tokens"].to_numpy(), max_tokens)
-        return _step_frame(key[0], {"chunk": key[1]}, steps)
+    def number_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, started = None, NO_BATCH, 0
+        for frame in frames:
+            tokens, ids = frame["tokens"].to_numpy(), np.zeros(len(frame), dtype=np.int64)
+            states, starts = frame["state"].to_numpy(), frame["started"].to_numpy()
+            for chunk, run in _runs(frame):
+                if chunk != current:
+                    current, state, started = chunk, int(states[run.start]), int(starts[run.start])
+                ids[run], state, started = number(tokens[run], max_tokens, state, started)
+            yield frame.drop(columns=["chunk", "state", "started"]).assign(batch_id=ids)
+
+    entries = _chunk_entries(rows, max_tokens, stretch_chunks)
+    fresh = {"state": F.lit(NO_BATCH).cast("long"), "started": F.lit(0).cast("long")}
+    if entries is None:
+        entered = rows.withColumns(fresh)
+    else:
+        entered = rows.join(entries, ["repo", "chunk"], "left").withColumns(
+            {name: F.coalesce(name, default) for name, default in fresh.items()})
+    entered = entered.select(*rows.columns, *fresh)
+    return _by_chunk(entered).mapInPandas(number_chunks, numbered)
+
+
+def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> DataFrame | None:
+    """(repo, chunk, state, started) for repos longer than a chunk, None if there is none."""
+    spans = materialize(
+        rows.groupBy("repo").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"))
+        .filter(F.col("first") < F.col("last")),
+        "spans",
+    )
+    longest = spans.agg(F.max("last")).first()[0]
+    if longest is None:
+        return None
+
+    def summarise_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, parts = None, []
+
+        def finished() -> list[tuple]:
+            steps = summarise(np.concatenate(parts), max_tokens) if parts else []
+            return [(*current, *step) for step in steps]
+
+        for frame in frames:
+            out, tokens = [], frame["tokens"].to_numpy()
+            for chunk, run in _runs(frame):
+                if chunk != current:
+                    out += finished()
+                    current, parts = chunk, []
+                parts.append(tokens[run])
+            yield pd.DataFrame(out, columns=["repo", "chunk", *Step._fields])
+        yield pd.DataFrame(finished(), columns=["repo", "chunk", *Step._fields])
 
     def chain_stretch(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         functions = [f for _, f in _functions(frame)]
         whole = functions[0]
         for f in functions[1:]:
             whole = chain(whole, f)
-        return _step_frame(key[0], {"chunk": key[1]}, whole)
+        return pd.DataFrame([(*key, *step) for step in whole],
+                            columns=["repo", "chunk", *Step._fields])
 
     def walk_repo(name: str):
         def walk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
@@ -164,52 +233,25 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
         state, started = int(entry["state"].iloc[0]), int(entry["started"].iloc[0])
         return _entry_frame(key[0], "chunk", list(_walk(_functions(frame), state, started)))
 
-    def numbers(frame: pd.DataFrame, state: int, started: int) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        ids = number(frame["tokens"].to_numpy(), max_tokens, state, started)
-        return frame.drop(columns="chunk").assign(batch_id=ids)
-
-    def number_chunk(key: tuple[Any, ...], frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return numbers(frame, int(entry["state"].iloc[0]), int(entry["started"].iloc[0]))
-
-    def number_only_chunk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        return numbers(frame, NO_BATCH, 0)
-
-    entry = "state long, started long"
-    highest = rows.agg(F.max("chunk")).first()[0] or 0
-    if highest == 0:  # no repo is longer than a chunk, all are entered without an open batch
-        return rows.groupBy("repo", "chunk").applyInPandas(number_only_chunk, numbered)
-
-    counts = rows.select("repo", "chunk", "ord", "tokens")
-    chunks = counts.groupBy("repo", "chunk").applyInPandas(
-        summarise_chunk, f"repo string, chunk long, {_STEPS}")
-    if highest < stretch_chunks:
-        chunk_entries = chunks.groupBy("repo").applyInPandas(
+    steps, entry = f"repo string, chunk long, {_STEPS}", "state long, started long"
+    long_rows = rows.join(spans.select("repo"), "repo", "left_semi").select(
+        "repo", "chunk", "ord", "tokens")
+    chunks = _by_chunk(long_rows).mapInPandas(summarise_chunks, steps)
+    if longest < stretch_chunks:
+        return chunks.groupBy("repo").applyInPandas(
             walk_repo("chunk"), f"repo string, chunk long, {entry}")
-    else:
-        stretches = chunks.groupBy("repo", stretch).applyInPandas(
-            chain_stretch, f"repo string, chunk long, {_STEPS}")
-        stretch_entries = stretches.groupBy("repo").applyInPandas(
-            walk_repo("stretch"), f"repo string, stretch long, {entry}")
-        chunk_entries = (
-            chunks.groupBy("repo", stretch)
-            .cogroup(stretch_entries.groupBy("repo", "stretch"))
-            .applyInPandas(walk_stretch, f"repo string, chunk long, {entry}")
-        )
+    chunks = materialize(chunks, "chunks")
+    stretch = F.expr(f"chunk div {stretch_chunks}").alias("stretch")
+    stretches = chunks.groupBy("repo", stretch).applyInPandas(chain_stretch, steps)
+    stretch_entries = stretches.groupBy("repo").applyInPandas(
+        walk_repo("stretch"), f"repo string, stretch long, {entry}")
     return (
-        rows.groupBy("repo", "chunk")
-        .cogroup(chunk_entries.groupBy("repo", "chunk"))
-        .applyInPandas(number_chunk, numbered)
+        chunks.groupBy("repo", stretch)
+        .cogroup(stretch_entries.groupBy("repo", "stretch"))
+        .applyInPandas(walk_stretch, f"repo string, chunk long, {entry}")
     )
 
 
-def _step_frame(repo: str, key: dict, steps: list[Step]) -> pd.DataFrame:
-    frame = pd.DataFrame(steps, columns=Step._fields)
-    for position, (name, value) in enumerate([("repo", repo), *key.items()]):
-        frame.insert(position, name, value)
-    return frame
-
-
 def _entry_frame(repo: str, name: str, entries: list[tuple[int, int, int]]) -> pd.DataFrame:
     frame = pd.DataFrame(entries, columns=[name, "state", "started"])
     frame.insert(0, "repo", repo)

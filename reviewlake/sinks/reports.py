@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.findings import LIST_PAGE
+from ..operators.findings import LIST_PAGE, findings_struct
 from ..operators.health import penalty_hundredths, score_columns
 from ..schemas import FINDING_COLUMNS
 from ..session import materialize
@@ -41,7 +41,7 @@ def web_csv_lines(findings: DataFrame) -> DataFrame:
 def write_web_csv(findings: DataFrame, path: str, mode: str = "error") -> None:
     """Short report as text. The header is the first part; parts in name order are the file."""
     spark = findings.sparkSession
-    header = spark.createDataFrame([(",".join(WEB_COLUMNS),)], "line string").coalesce(1)
+    header = spark.range(1, numPartitions=1).select(F.lit(",".join(WEB_COLUMNS)).alias("line"))
     header.union(web_csv_lines(findings)).write.mode(mode).text(path)
 
 
@@ -83,7 +83,7 @@ def scan_responses(targets: DataFrame, findings: DataFrame, page: int = LIST_PAG
     page 0, and only there an empty list is possible.
     """
     lists = findings.groupBy("repo", F.expr(f"idx div {page}").alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct("idx", F.struct(*FINDING_COLUMNS).alias("f"))))
+        F.sort_array(F.collect_list(F.struct("idx", findings_struct().alias("f"))))
         .alias("_list"))
     totals = findings.groupBy("repo").agg(
         F.count("*").alias("_total"), F.sum(penalty_hundredths()).alias("_penalty"))

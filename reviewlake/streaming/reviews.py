@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.review import Reviewer, pending, review_batches
 from ..schemas import PROMPTS, REVIEWED
 
+FILES_PER_RUN = 256
+
 
 def read_reviewed(spark: SparkSession, out: str) -> DataFrame:
     """All outcomes so far; a batch that failed and later succeeded has a row of each."""
@@ -18,10 +20,12 @@ def read_reviewed(spark: SparkSession, out: str) -> DataFrame:
 
 
 def review_stream(spark: SparkSession, prompts: str, out: str, checkpoint: str,
-                  reviewer: Reviewer, **options) -> StreamingQuery:
+                  reviewer: Reviewer, files_per_run: int = FILES_PER_RUN,
+                  **options) -> StreamingQuery:
     """Review every batch file in `prompts` not seen yet, then stop.
 
-    Each micro-batch overwrites its own `run=<id>` folder, so a micro-batch that is replayed
+    A backlog is taken in micro-batches of `files_per_run` files, each of them a point to
+    resume from. Each micro-batch overwrites its own `run=<id>` folder, so a micro-batch that is replayed
     after a failure leaves no doubles. A second run finds nothing to do.
     """
 
@@ -29,7 +33,8 @@ def review_stream(spark: SparkSession, prompts: str, out: str, checkpoint: str,
         review_batches(frame, reviewer, **options).write.mode("overwrite").parquet(
             f"{out}/run={run}")
 
-    stream = spark.readStream.schema(PROMPTS).parquet(prompts)
+    stream = spark.readStream.schema(PROMPTS).option(
+        "maxFilesPerTrigger", files_per_run).parquet(prompts)
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

@@ -37,9 +37,10 @@ token_lists = st.lists(st.integers(0, 14), min_size=1, max_size=60)
 def test_chunks_are_numbered_like_the_whole(tokens, limit, size):
     state, started, ids = b.NO_BATCH, 0, []
     for chunk in cut(tokens, size):
-        ids += b.number(chunk, limit, state, started).tolist()
-        opened, state = b.enter(b.summarise(chunk, limit), state)
-        started += opened
+        opened, left = b.enter(b.summarise(chunk, limit), state)
+        numbers, state, now = b.number(chunk, limit, state, started)
+        assert (state, now) == (left, started + opened)
+        ids, started = ids + numbers.tolist(), now
     assert ids == packed(tokens, limit)
 
 
