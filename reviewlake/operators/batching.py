@@ -189,14 +189,13 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
 
 def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> DataFrame | None:
     """(repo, chunk, state, started) for repos longer than a chunk, None if there is none."""
-    spans = materialize(
-        rows.groupBy("repo").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"))
-        .filter(F.col("first") < F.col("last")),
-        "spans",
-    )
+    spans = rows.groupBy("repo").agg(
+        F.min("chunk").alias("first"), F.max("chunk").alias("last")
+    ).filter(F.col("first") < F.col("last"))
     longest = spans.agg(F.max("last")).first()[0]
     if longest is None:
         return None
+    spans = materialize(spans, "spans")  # written: its join must be splittable, see call_graph
 
     def summarise_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, parts = None, []

@@ -46,6 +46,11 @@ def plan_pr_comments(findings: DataFrame, pr_files: DataFrame,
     )
 
 
+def findings_in_pr(findings: DataFrame, pr_files: DataFrame) -> DataFrame:
+    """Findings in files of the change."""
+    return findings.join(pr_files.select("repo", "file_path"), ["repo", "file_path"], "left_semi")
+
+
 def pr_outcome(plan: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Comments posted, skipped and failed per repo. `failed(repo, idx)` lists planned
     comments a client could not post; without it every planned one counts as posted."""

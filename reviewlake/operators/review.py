@@ -231,7 +231,7 @@ def batch_errors(reviewed: DataFrame) -> DataFrame:
 
 def pending(prompts: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Batches without a report yet: never tried, or failed."""
-    done = reviewed.filter(F.col("error").isNull()).select("repo", "batch_id").distinct()
+    done = reviewed.filter(F.col("error").isNull()).select("repo", "batch_id")
     return prompts.join(done, ["repo", "batch_id"], "left_anti")
 
 

@@ -335,9 +335,8 @@ def _(spark, sf):
     SELECT idx, repo, file_path FROM findings_v
     WHERE (repo, file_path) IN (SELECT (repo, file_path) FROM pr_files_v)""")
 def _(spark, sf):
-    changed = read(spark, sf, "pr_files_v").distinct()
-    return findings(spark, sf).join(changed, ["repo", "file_path"], "left_semi").select(
-        "idx", "repo", "file_path")
+    found = pr.findings_in_pr(findings(spark, sf), read(spark, sf, "pr_files_v"))
+    return found.select("idx", "repo", "file_path")
 
 
 def _trend_sql(pairs: str) -> str:

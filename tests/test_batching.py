@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import conf
 from reviewlake.operators import batching as b
 
 
@@ -71,9 +72,13 @@ def test_assign_over_many_chunks_and_a_hot_repo(spark, chunk_rows, stretch_chunk
     sizes = {"hot": 900, "mid": 61, "one": 1, "five": 5}
     groups = {r: [rng.choice([0, 1, 7, 20, 45, 100, 101, 300]) for _ in range(n)]
               for r, n in sizes.items()}
-    found = b.assign(rows_of(spark, groups).repartition(5), 100, chunk_rows, stretch_chunks)
-    got = {r: [x.batch_id for x in sorted(rs, key=lambda x: x.ord)] for r, rs in _by_repo(found)}
-    assert got == {r: packed(t, 100) for r, t in groups.items()}
+    rows = rows_of(spark, groups).repartition(5)
+    for records in (10_000, 13):  # rows that reach Python at a time
+        with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=records):
+            found = b.assign(rows, 100, chunk_rows, stretch_chunks)
+            got = {r: [x.batch_id for x in sorted(rs, key=lambda x: x.ord)]
+                   for r, rs in _by_repo(found)}
+        assert got == {r: packed(t, 100) for r, t in groups.items()}
 
 
 def _by_repo(df):

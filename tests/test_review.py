@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import json
 import os
 import sys
@@ -243,6 +244,15 @@ def test_stream_resumes_and_retries(spark):
     assert sorted(r.line_number for r in findings.collect()) == list(range(12))
 
 
+def test_a_backlog_is_taken_in_steps(spark):
+    prompts, out = fresh_path(spark, "prompts"), fresh_path(spark, "out")
+    spark.createDataFrame(PROMPT_ROWS, PROMPTS).repartition(6).write.parquet(prompts)
+    review_stream(spark, prompts, out, f"{out}-checkpoint", one_per_block,
+                  files_per_run=2).awaitTermination()
+    rows = read_reviewed(spark, out)
+    assert rows.count() == 12 and len(glob.glob(f"{out}/run=*")) >= 3
+
+
 def test_progress_is_observed(spark):
     def reviewer(repo, batch_id, prompt):
         return {"reviews": [], "batch_summary": ""} if batch_id else 1 / 0

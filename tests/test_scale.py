@@ -8,6 +8,7 @@ import io
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conftest import conf
 from reviewlake.operators import (
     call_graph, findings, health, history, positions, pull_requests)
 from reviewlake.sinks import reports
@@ -20,17 +21,6 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-@contextlib.contextmanager
-def conf(spark, **settings):
-    settings = {k.replace("__", "."): str(v) for k, v in settings.items()}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
 def test_positions_across_slices_equal_a_window(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("repo"),
