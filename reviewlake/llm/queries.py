@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_files
+from . import decontaminate, language, mixing, quality, simhash, token_files, toxicity
 from .tables import fresh_folder, held_out, read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "tokens")
     token_files.write_tokens(read(spark, sf_dir, "documents"), path, TOKENIZER)
     return token_files.token_index(spark, path)
+
+
+@query("op10_decontaminate", decontaminate.leaks_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op4_mix_sources")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(~held_out("doc_id")))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = toxicity.learn(docs.where(~held_out("doc_id")).join(labels, "doc_id"))
+    return toxicity.score(docs, learned).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
