@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, simhash, token_files, toxicity
+from . import (
+    decontaminate,
+    language,
+    main_text,
+    mixing,
+    quality,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 from .tables import fresh_folder, held_out, read
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +87,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
+
+
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op3_warc", warc.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
