@@ -15,6 +15,7 @@ from . import (
     main_text,
     mixing,
     quality,
+    repeats,
     simhash,
     token_files,
     toxicity,
@@ -100,3 +101,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
     return warc.read_records(index, folder, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
