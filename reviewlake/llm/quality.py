@@ -2,15 +2,21 @@
 
 Rules look at simple counts of a text and vote good, bad, or abstain. Nobody knows which rules to
 trust, so expectation-maximisation estimates, from agreement over all documents, how often each
-rule is right and how often good documents occur; a document is kept by the posterior probability
-that it is good. All that the estimation needs is how often every combination of votes occurs:
-one grouped count over all documents, of at most 3 ** rules rows.
+rule is right and how many documents are good; a document is kept by the posterior probability
+that it is good. Bad documents are of several kinds, one per rule to begin with: a text full of
+symbols may well have no repeated line, and rules that miss a defect they don't look for are not
+wrong. A rule is right more often than not on good documents and on its own kind of bad ones,
+which keeps the kinds in their places.
+
+All that the estimation needs is how often every combination of votes occurs: one grouped count
+over all documents, of at most 3 ** rules rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,17 +28,21 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words
 SYMBOLS = b"#*$%&|<>"
-PRIOR = 0.8
-FIRST_GUESS = 0.75
-LEAST_ACCURACY = 0.55  # a rule is taken to be right more often than not
-ROUNDS = 100
+PRIOR = 0.8  # share of good documents that estimation starts with
+FIRST_WRONG = 0.03  # how often a rule is taken to be wrong at first
+MOST_WRONG = 0.2
+ROUNDS = 300
 KEEP_AT = 0.5
 _NO_POINT = bytes(range(0x80, 0xC0)) + b" \t\n\r\x0b\x0c"
 
 
-def counts(data: bytes | None) -> tuple[int, int, int, int, int, int, int]:
-    """Of a text: words, code points in words, symbols, repeated lines, words in repeated windows;
-    and lines with a word, and lines that end a sentence."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+          "n_ended", "n_adjacent")
+
+
+def counts(data: bytes | None) -> tuple[int, ...]:
+    """COUNTS of a text: words, code points in words, symbols, repeated lines, words in repeated
+    windows, lines with a word, those that end a sentence, words equal to the one before."""
     data = data or b""
     words = data.split()
     points = len(data.translate(None, _NO_POINT))
@@ -40,7 +50,7 @@ def counts(data: bytes | None) -> tuple[int, int, int, int, int, int, int]:
     lines = [line for line in data.split(b"\n") if line.strip()]
     ended = sum(line.rstrip()[-1:] in b".!?\"" for line in lines)
     return (len(words), points, symbols, len(lines) - len(set(lines)), repeated_words(words),
-            len(lines), ended)
+            len(lines), ended, sum(map(bytes.__eq__, words, words[1:])))
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -73,6 +83,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: _between(_per("n_symbols", "n_words"), 0, (0, 0.02), 0.15),
     "lines_repeated": lambda: _between(_per("n_dup_lines", "n_lines"), 0, (0, 0.05), 0.3),
     "words_repeated": lambda: _between(_per("n_repeat_words", "n_words"), 0, (0, 0.02), 0.15),
+    "words_doubled": lambda: _between(_per("n_adjacent", "n_words"), 0, (0, 0.05), 0.25),
     "sentences": lambda: F.when(F.col("n_lines") == 0, -1).otherwise(
         _between(_per("n_ended", "n_lines"), 0.1, (0.5, 1), 1)),
 }
@@ -80,42 +91,64 @@ RULES: dict[str, Callable[[], Column]] = {
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts of every row, and whether it fails the base rules. Null is an empty text."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-             "n_ended")
-
     def step(cols):
         rows = np.array([counts(v.as_py()) for v in cols["_text"]], np.int64)
-        return {id_col: cols[id_col], **dict(zip(names, rows.T))}
+        return {id_col: cols[id_col], **dict(zip(COUNTS, rows.T))}
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_arrow(docs.select(id_col, utf8(text_col).alias("_text")),
-                      f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names), step)
+                      f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in COUNTS), step)
     return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
-def estimate(patterns: np.ndarray, counted: np.ndarray) -> tuple[float, np.ndarray]:
-    """(share of good documents, accuracy of each rule) from vote patterns and their counts."""
-    good, accuracy = PRIOR, np.full(patterns.shape[1], FIRST_GUESS)
+class Model(NamedTuple):
+    """Shares of kinds (good ones first, then a bad kind per rule), and by kind and rule how often
+    a vote of the rule is a bad one."""
+
+    shares: np.ndarray
+    bad_votes: np.ndarray
+
+    def log_odds(self, patterns: np.ndarray) -> np.ndarray:
+        """Log of the weight of every kind, one row per pattern of votes; abstentions say nothing."""
+        return (np.log(self.shares) + (patterns < 0) @ np.log(self.bad_votes).T
+                + (patterns > 0) @ np.log(1 - self.bad_votes).T)
+
+
+def first_guess(rules: int) -> Model:
+    shares = np.array([PRIOR] + [(1 - PRIOR) / rules] * rules)
+    bad_votes = np.full((rules + 1, rules), FIRST_WRONG)
+    bad_votes[range(1, rules + 1), range(rules)] = 1 - FIRST_WRONG
+    return Model(shares, bad_votes)
+
+
+def estimate(patterns: np.ndarray, counted: np.ndarray) -> Model:
+    """The model most likely to have given vote patterns with these counts.
+
+    One imagined document of every kind that votes as at first keeps all rates off 0 and 1.
+    """
+    rules = patterns.shape[1]
+    start = model = first_guess(rules)
     for _ in range(ROUNDS):
-        p = posterior(patterns, good, accuracy)
-        # right votes: good ones on good documents and bad ones on bad documents
-        right = ((patterns > 0) * p[:, None] + (patterns < 0) * (1 - p[:, None])) * counted[:, None]
-        votes = (patterns != 0) * counted[:, None]
-        # one imagined vote of each kind keeps rules that hardly vote near the first guess
-        new = (right.sum(axis=0) + FIRST_GUESS) / (votes.sum(axis=0) + 1)
-        new = np.clip(new, LEAST_ACCURACY, 0.999)
-        new_good = float(np.clip((p @ counted + PRIOR) / (counted.sum() + 1), 0.05, 0.95))
-        moved = max(abs(new_good - good), np.abs(new - accuracy).max())
-        good, accuracy = new_good, new
-        if moved < 1e-10:
+        weight = _shares(model.log_odds(patterns)) * counted[:, None]
+        bad = weight.T @ (patterns < 0) + start.bad_votes
+        votes = weight.T @ (patterns != 0) + 1
+        rates = bad / votes
+        rates[0] = np.minimum(rates[0], MOST_WRONG)
+        own = rates[range(1, rules + 1), range(rules)]
+        rates[range(1, rules + 1), range(rules)] = np.maximum(own, 1 - MOST_WRONG)
+        shares = weight.sum(axis=0) + start.shares
+        new = Model(shares / shares.sum(), rates)
+        moved = max(np.abs(new.shares - model.shares).max(), np.abs(rates - model.bad_votes).max())
+        model = new
+        if moved < 1e-9:
             break
-    return good, accuracy
+    return model
 
 
-def posterior(patterns: np.ndarray, good: float, accuracy: np.ndarray) -> np.ndarray:
-    weight = np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-(np.log(good / (1 - good)) + patterns @ weight)))
+def _shares(logs: np.ndarray) -> np.ndarray:
+    weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return weight / weight.sum(axis=1, keepdims=True)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,14 +161,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         {f"_{name}": rule().cast("int") for name, rule in RULES.items()}), "votes")
     rules = [f"_{name}" for name in RULES]
     found = voted.groupBy(*rules).count().collect()  # at most 3 ** len(RULES) rows
-    good, accuracy = PRIOR, np.full(len(rules), FIRST_GUESS)
+    model = first_guess(len(rules))
     if found:
-        found = np.array([tuple(r) for r in sorted(found)], np.float64)
-        good, accuracy = estimate(found[:, :-1], found[:, -1])
-    score = F.lit(float(np.log(good / (1 - good))))
-    for rule, weight in zip(rules, np.log(accuracy / (1 - accuracy)).tolist()):
-        score = score + F.col(rule) * weight
-    quality = 1 / (1 + F.exp(-score))
+        table = np.array([tuple(r) for r in sorted(found)], np.float64)
+        model = estimate(table[:, :-1], table[:, -1])
+    kinds = []
+    for share, rates in zip(model.shares.tolist(), model.bad_votes.tolist()):
+        log = F.lit(float(np.log(share)))
+        for rule, rate in zip(rules, rates):
+            log = log + F.when(F.col(rule) < 0, float(np.log(rate))).when(
+                F.col(rule) > 0, float(np.log(1 - rate))).otherwise(0.0)
+        kinds.append(F.exp(log))
+    quality = kinds[0] / sum(kinds[1:], kinds[0])
     return voted.withColumn("quality", quality).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: case, accents, letters of other scripts that look Latin, digits and signs
-that stand for letters, invisible characters; i, l and 1 become one letter. One Aho-Corasick
+Texts are folded first: case, letters of other scripts that look Latin, digits and signs that stand
+for letters, invisible characters; i, l and 1 become one letter. Accents stay, as they tell words
+of other languages apart. One Aho-Corasick
 automaton then finds all lexicon entries in a pass over the whole folded text. An entry is a whole
 word or the beginning of words. Exception phrases are in the same automaton: an entry inside one
 does not count.
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 
 from .tables import map_arrow, stage
 
-SAMPLE_ROWS = 8_000  # labelled texts that learning expects to take at most
+SAMPLE_ROWS = 12_000  # labelled texts that learning expects to take at most
 MAX_ENTRIES = 5_000
 MAX_EXCEPTIONS = 1_000
 PREFIXES = range(4, 8)
 LONGEST_WORD = 30
 MIN_TEXTS = 3
 MIN_PRECISION = 0.8
+MAX_EXCEPTION = 0.3  # precision of a phrase that does not count
 
 # Letters of other scripts and signs by the Latin letter they look like.
 LOOKALIKES = {
@@ -51,7 +53,7 @@ class _Folding(dict):
 
     def __missing__(self, code: int) -> str:
         out = []
-        for c in unicodedata.normalize("NFKD", chr(code)).lower():
+        for c in unicodedata.normalize("NFKC", chr(code).lower()):
             c = next((latin for latin, like in LOOKALIKES.items() if c in like), c)
             if c.isalpha():
                 out.append(c)
@@ -158,7 +160,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
             .withColumn("weight", odds).orderBy(F.desc("weight"), F.desc("a"), "entry")
             .limit(MAX_ENTRIES).collect())
     weights = _without_longer({r.entry: r.weight for r in kept if r.weight > 0})
-    exceptions = _exceptions(sample, weights)
+    exceptions = _exceptions(sample, weights, toxic, other)
     share = (share[True], share[False])
     return Lexicon(weights, exceptions, _fit(sample, Lexicon(weights, exceptions, (0, 0, 0)),
                                              share))
@@ -201,25 +203,29 @@ def _without_longer(weights: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def _exceptions(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
-    """Pairs of words, one of them in the lexicon, that only texts that aren't toxic hold."""
+def _exceptions(sample: DataFrame, weights: dict[str, float], toxic: int,
+                other: int) -> frozenset[str]:
+    """Words and pairs of words that hold an entry but mostly stand in texts that aren't toxic."""
     def step(cols):
         scorer = Scorer(Lexicon(weights, frozenset(), (0, 0, 0)))
-        pairs, flags = [], []
-        for text, toxic in zip(cols["text"].to_pylist(), cols["toxic"].to_pylist()):
+        phrases, flags = [], []
+        for text, flag in zip(cols["text"].to_pylist(), cols["toxic"].to_pylist()):
             words = fold(text).split()
             if len(scorer.automaton) and scorer.features(text)[1] > 0:
                 hit = [any(True for _ in scorer.automaton.iter(f" {w} ")) for w in words]
-                own = {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:])
-                       if x or y}
-                pairs += own
-                flags += [toxic] * len(own)
-        return {"phrase": pairs, "toxic": flags}
-
+                own = {f" {w} " for w, h in zip(words, hit) if h}
+                own |= {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:])
+                        if x or y}
+                phrases += own
+                flags += [flag] * len(own)
+        return {"phrase": phrases, "toxic": flags}
+
+    precision = (F.col("a") / toxic) / (F.col("a") / toxic + F.col("b") / other)
     rows = (map_arrow(sample, "phrase string, toxic boolean", step).groupBy("phrase")
-            .agg(F.sum(F.col("toxic").cast("int")).alias("a"), F.count("*").alias("n"))
-            .where((F.col("a") == 0) & (F.col("n") >= MIN_TEXTS))
-            .orderBy(F.desc("n"), "phrase").limit(MAX_EXCEPTIONS).collect())
+            .agg(F.sum(F.col("toxic").cast("int")).alias("a"),
+                 F.sum((~F.col("toxic")).cast("int")).alias("b"))
+            .where((F.col("b") >= MIN_TEXTS) & (precision <= MAX_EXCEPTION))
+            .orderBy(F.desc("b"), "phrase").limit(MAX_EXCEPTIONS).collect())
     return frozenset(r.phrase for r in rows)
 
 

@@ -124,7 +124,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id",
                         out.close()
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     files[0].create_dir(files[1], recursive=True)
-                    out = files[0].open_output_stream(f"{files[1]}/{name}")
+                    out = files[0].open_output_stream(f"{files[1]}/{name}",
+                                                      compression=None)
                 member = gzip.compress(record(r["page_id"], r["url"], r["digest"], r["refers_to"],
                                               r["size"], r["payload"]), LEVEL, mtime=0)
                 out.write(member)
