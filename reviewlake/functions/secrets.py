@@ -16,30 +16,40 @@ class Secret(NamedTuple):
     name: str
     pattern: str
     replacement: str
-    needles: tuple[str, ...]  # every match contains one of them; lower-case if `lowered`
+    needles: tuple[str, ...]  # every match contains one of them; folded if `lowered`
     lowered: bool = False
 
 
 # Name, pattern and replacement, applied in this order, each on the output of the
-# one before. Flags: i = any case, u/U = Unicode classes, d = only \n ends a line. Under (?iu)
-# the long s (U+017F) matches an s, and lower-casing keeps it, so needles avoid or list it.
+# one before. Flags: i = any case, u/U = Unicode classes, d = only \n ends a line.
 SECRET_PATTERNS = (
     Secret("openai_key", r"sk-[a-zA-Z0-9]{20,}", "[OPENAI_KEY_REDACTED]", ("sk-",)),
     Secret("aws_key", r"AKIA[0-9A-Z]{16}", "[AWS_KEY_REDACTED]", ("AKIA",)),
     Secret(
         "aws_secret", r"(?iudU)(aws.{0,20}secret.{0,20})['\"][0-9a-zA-Z/+]{40}['\"]",
-        "$1[AWS_SECRET_REDACTED]", ("aws", "awſ"), lowered=True),
+        "$1[AWS_SECRET_REDACTED]", ("aws",), lowered=True),
     Secret(
         "assignment",
         r"(?iudU)(api[_-]?key|token|secret|password|passwd|pwd)"
         rf"{SPACE}*={SPACE}*['\"][^'\"]{{20,}}['\"]",
-        "$1=[REDACTED]", ("api", "token", "ecret", "word", "wd"), lowered=True),
+        "$1=[REDACTED]", ("api", "token", "secret", "passw", "pwd"),
+        lowered=True),
     Secret("github_token", r"ghp_[a-zA-Z0-9]{36}", "[GITHUB_TOKEN_REDACTED]", ("ghp_",)),
     Secret("bearer", rf"(?dU)Bearer{SPACE}+[a-zA-Z0-9\-._~+/]{{20,}}", "Bearer [TOKEN_REDACTED]",
            ("Bearer",)),
 )
 
 
+# Characters that match an ASCII letter under (?iu) but do not become it in lower case.
+_LIKE_LETTERS = ("\u0131\u0130\u017f\u212a", "iisk")
+
+
+def has_needle(text: Column, secret: Secret) -> Column:
+    """Whether `text` holds a needle, which every match of the secret needs."""
+    folded = F.lower(F.translate(text, *_LIKE_LETTERS)) if secret.lowered else text
+    return reduce(or_, [folded.contains(n) for n in secret.needles])
+
+
 def scrub_secrets(code: Column) -> Column:
     """The redaction as one expression, for small inputs; see `scrub`."""
     for secret in SECRET_PATTERNS:
@@ -54,18 +64,14 @@ def _step(df: DataFrame, secret: Secret, count: bool) -> DataFrame:
     search. Each step is a projection of its own, so the text before it is computed once.
     """
     text = F.col("_text")
-    if secret.lowered:
-        df = df.withColumn("_lowered", F.lower(text))
-    where = F.col("_lowered") if secret.lowered else text
-    possible = reduce(or_, [where.contains(n) for n in secret.needles])
-    if secret.name == "assignment":
-        possible = text.contains("=") & possible
+    possible = F.col("_possible")
+    df = df.withColumn("_possible", has_needle(text, secret))
     columns = {"_text": F.when(possible, F.regexp_replace(text, secret.pattern, secret.replacement))
                .otherwise(text)}
     if count:
         columns[secret.name] = F.when(
             possible, F.regexp_count(text, F.lit(secret.pattern))).otherwise(0).cast("long")
-    return df.withColumns(columns).drop("_lowered")
+    return df.withColumns(columns).drop("_possible")
 
 
 def scrub(df: DataFrame, col: str = "code") -> DataFrame:
