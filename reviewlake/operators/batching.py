@@ -178,23 +178,17 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
 
     entries = _chunk_entries(rows, max_tokens, stretch_chunks)
     fresh = {"state": F.lit(NO_BATCH).cast("long"), "started": F.lit(0).cast("long")}
-    if entries is None:
-        entered = rows.withColumns(fresh)
-    else:
-        entered = rows.join(entries, ["repo", "chunk"], "left").withColumns(
-            {name: F.coalesce(name, default) for name, default in fresh.items()})
+    entered = rows.join(entries, ["repo", "chunk"], "left").withColumns(
+        {name: F.coalesce(name, default) for name, default in fresh.items()})
     entered = entered.select(*rows.columns, *fresh)
     return _by_chunk(entered).mapInPandas(number_chunks, numbered)
 
 
-def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> DataFrame | None:
-    """(repo, chunk, state, started) for repos longer than a chunk, None if there is none."""
+def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> DataFrame:
+    """(repo, chunk, state, started) for repos longer than a chunk."""
     spans = rows.groupBy("repo").agg(
         F.min("chunk").alias("first"), F.max("chunk").alias("last")
     ).filter(F.col("first") < F.col("last"))
-    longest = spans.agg(F.max("last")).first()[0]
-    if longest is None:
-        return None
     spans = materialize(spans, "spans")  # written: its join must be splittable, see call_graph
 
     def summarise_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,11 +216,8 @@ def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> Dat
         return pd.DataFrame([(*key, *step) for step in whole],
                             columns=["repo", "chunk", *Step._fields])
 
-    def walk_repo(name: str):
-        def walk(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-            return _entry_frame(key[0], name, list(_walk(_functions(frame), NO_BATCH, 0)))
-
-        return walk
+    def walk_repo(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        return _entry_frame(key[0], "stretch", list(_walk(_functions(frame), NO_BATCH, 0)))
 
     def walk_stretch(key: tuple[Any, ...], frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         state, started = int(entry["state"].iloc[0]), int(entry["started"].iloc[0])
@@ -236,14 +227,11 @@ def _chunk_entries(rows: DataFrame, max_tokens: int, stretch_chunks: int) -> Dat
     long_rows = rows.join(spans.select("repo"), "repo", "left_semi").select(
         "repo", "chunk", "ord", "tokens")
     chunks = _by_chunk(long_rows).mapInPandas(summarise_chunks, steps)
-    if longest < stretch_chunks:
-        return chunks.groupBy("repo").applyInPandas(
-            walk_repo("chunk"), f"repo string, chunk long, {entry}")
     chunks = materialize(chunks, "chunks")
     stretch = F.expr(f"chunk div {stretch_chunks}").alias("stretch")
     stretches = chunks.groupBy("repo", stretch).applyInPandas(chain_stretch, steps)
     stretch_entries = stretches.groupBy("repo").applyInPandas(
-        walk_repo("stretch"), f"repo string, stretch long, {entry}")
+        walk_repo, f"repo string, stretch long, {entry}")
     return (
         chunks.groupBy("repo", stretch)
         .cogroup(stretch_entries.groupBy("repo", "stretch"))
@@ -263,13 +251,18 @@ def assign_batches(blocks: DataFrame, max_tokens: int = MAX_TOKENS, **chunking)
     return blocks.join(ids.drop("tokens"), ["repo", "ord"])
 
 
-def cap_batches(batches: DataFrame, n: int | None = 10,
-                targets: DataFrame | None = None) -> DataFrame:
-    """First `n` batches of each repo, or as many as `targets(repo, max_batches)` allows."""
-    if targets is None:
-        return batches.filter(F.col("batch_id") < n)
-    return batches.join(targets.select("repo", "max_batches"), "repo").filter(
-        F.col("batch_id") < F.col("max_batches")).drop("max_batches")
+def cap_batches(batches: DataFrame, n: int | None, targets: DataFrame | None = None) -> DataFrame:
+    """First `n` batches of each repo, or as many as `targets(repo, max_batches)` allows.
+
+    A repo that `targets` does not name falls back on `n`; None is no cap. Of several rows for a
+    repo the largest number counts.
+    """
+    caps = F.lit(n).cast("long")
+    if targets is not None:
+        allowed = targets.groupBy("repo").agg(F.max("max_batches").alias("_allowed"))
+        batches = batches.join(allowed, "repo", "left")
+        caps = F.coalesce("_allowed", caps)
+    return batches.filter(caps.isNull() | (F.col("batch_id") < caps)).drop("_allowed")
 
 
 def batch_stats(batches: DataFrame) -> DataFrame:

@@ -124,13 +124,16 @@ def truncate_code(df: DataFrame, max_len: int = MAX_CODE_LENGTH) -> DataFrame:
 
 
 def to_blocks(definitions: DataFrame) -> DataFrame:
-    """Definitions that go to review, one schema for all languages, with the in-file `ord`."""
+    """Definitions that go to review, one schema for all languages, with the in-file `ord`.
+
+    Code is whole; a prompt that has to be short gets it through `truncate_code`.
+    """
     kept = definitions.filter(
         F.col("error").isNull() & F.col("reviewable") & (F.length("code") > 0)
     )
     kept = drop_dunder(kept, when=F.col("language") == "python")
     renamed = kept.withColumnRenamed("path", "file_path")
-    return truncate_code(renamed.select(*BLOCK_COLUMNS, "ord"))
+    return renamed.select(*BLOCK_COLUMNS, "ord")
 
 
 def parse_errors(definitions: DataFrame) -> DataFrame:
@@ -162,12 +165,10 @@ def order_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def extraction_stats(files: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Per repo: Python files found and parsed, blocks extracted (all languages)."""
-    found = (
-        _python_files(files).groupBy("repo").agg(
-            F.count("*").alias("python_files"),
-            F.count_if("_has_text").alias("python_with_text"),
-        )
+    """Per repo of `files`: Python files found and parsed, blocks extracted (all languages)."""
+    found = _python_files(files).groupBy("repo").agg(
+        F.count_if("_python").alias("python_files"),
+        F.count_if("_has_text").alias("python_with_text"),
     )
     failed = (
         parse_errors(definitions).filter(F.col("language") == "python")
@@ -186,8 +187,7 @@ def extraction_stats(files: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def _python_files(files: DataFrame) -> DataFrame:
-    """Python files of the review walk, with a flag for the ones that hold any text."""
-    kept = files.filter(
-        paths.kept_folder(F.col("path"), "review") & F.col("path").endswith(".py")
-    )
-    return kept.select("repo", "path", has_text(decode_text(F.col("content"))).alias("_has_text"))
+    """All files, with flags for Python files of the review walk and those that hold any text."""
+    python = paths.kept_folder(F.col("path"), "review") & F.col("path").endswith(".py")
+    text = F.when(python, has_text(decode_text(F.col("content")))).otherwise(False)
+    return files.select("repo", python.alias("_python"), text.alias("_has_text"))

@@ -40,9 +40,11 @@ def penalty_hundredths() -> Column:
 
 
 def health(findings: DataFrame, latest: DataFrame | None = None,
-           grade_on: str = "raw") -> DataFrame:
+           grade_on: str = "raw", repos: DataFrame | None = None) -> DataFrame:
     """Per repo: score, grade, color.
 
+    Of `repos` if given, one without findings at 100; else of the repos with findings.
+
     With feedback, penalties are first summed per finding key, so a key shared by many findings
     meets its verdict as one row and the join cannot be skewed. A repo whose findings are all
     false positives keeps its row, at 100.
@@ -55,6 +57,8 @@ def health(findings: DataFrame, latest: DataFrame | None = None,
         scored = per_key.join(dismissed, ["repo", "finding_key"], "left").withColumn(
             "penalty", F.when(F.col("_dismissed"), F.lit(0)).otherwise(F.col("penalty")))
     total = scored.groupBy("repo").agg(F.sum("penalty").alias("penalty"))
+    if repos is not None:
+        total = repos.select("repo").distinct().join(total, "repo", "left")
     return total.select("repo", *score_columns(F.col("penalty"), grade_on))
 
 

@@ -93,12 +93,12 @@ RULES = (
 
 
 def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of the first match of each rule in each block, on scrubbed code.
+    """Findings of all matches of all rules in each block, on scrubbed code.
 
-    A definition inside another repeats the same text, so a hit is kept once per line, for the
-    definition that starts last. Blocks without a hit leave before anything is cut or moved,
-    and code itself is never shuffled. A regular expression runs only on code of its language
-    that contains one of its needles.
+    A rule gives one finding per line. A definition inside another repeats the same text, so a hit
+    is kept once, for the definition that starts last. Blocks without a hit leave before anything
+    is cut or moved, and code itself is never shuffled. A regular expression runs only on code of
+    its language that contains one of its needles.
     """
     clean = scrub(blocks).withColumn("_lowered", F.lower("code"))
     hit = [
@@ -110,19 +110,28 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         for i, r in enumerate(rules)
     ]
     matched = clean.withColumn("_rule", F.explode(F.array_compact(F.array(*hit))))
-    prefix = None
+    pieces, hits = None, None
     for i, r in enumerate(rules):
-        before = F.split("code", r.pattern, 2)[0]
-        prefix = (F if prefix is None else prefix).when(F.col("_rule") == i, before)
-    placed = matched.withColumn("_before", prefix).select(
-        "repo", "file_path", "name", "line_number", "ord", "_rule",
-        *(["batch_id"] if "batch_id" in blocks.columns else []),
-        (F.col("line_number") + F.regexp_count("_before", F.lit("\n"))).cast("int").alias("_line"),
-        F.concat(
-            F.substring_index("_before", "\n", -1),
-            F.substring_index(
-                F.expr("substring(code, length(_before) + 1)"), "\n", 1),
-        ).alias("_snippet"),
+        here = F.col("_rule") == i
+        pieces = (F if pieces is None else pieces).when(here, F.split("code", r.pattern, -1))
+        hits = (F if hits is None else hits).when(
+            here, F.regexp_extract_all("code", F.lit(r.pattern), F.lit(0)))
+    # where match i starts: behind i + 1 pieces and i matches
+    starts = F.expr("""slice(aggregate(zip_with(_pieces, _hits, (p, h) -> struct(
+        length(p) AS p, coalesce(length(h), 0) AS h)), struct(array(0) AS ends, 0 AS at),
+        (s, x) -> struct(concat(s.ends, array(s.at + x.p)) AS ends, s.at + x.p + x.h AS at)).ends,
+        2, size(_hits))""")
+    placed = (
+        matched.withColumns({"_pieces": pieces, "_hits": hits})
+        .withColumn("_start", F.explode(starts))
+        .withColumn("_before", F.expr("left(code, _start)"))
+        .select(
+            "repo", "file_path", "name", "line_number", "ord", "_rule", "_start",
+            *(["batch_id"] if "batch_id" in blocks.columns else []),
+            (F.col("line_number") + F.regexp_count("_before", F.lit("\n"))).cast("int")
+            .alias("_line"),
+            F.concat(F.substring_index("_before", "\n", -1), F.substring_index(
+                F.expr("substring(code, _start + 1)"), "\n", 1)).alias("_snippet"))
     )
     carried = [c for c in ("name", "ord", "batch_id", "_snippet") if c in placed.columns]
     innermost = F.max_by(F.struct(*carried), F.struct("line_number", "ord")).alias("_block")

@@ -106,7 +106,7 @@ def _(spark, sf):
     ids = batching.assign(blocks(spark, sf).select("repo", "ord", "tokens"))
     targets = read(spark, sf, "blocks_v", spread=True).select("repo").distinct().withColumn(
         "max_batches", F.lit(3) + F.ascii(F.expr("right(repo, 1)")) % 5)
-    return batching.cap_batches(ids, targets=targets).select("repo", "ord", "batch_id")
+    return batching.cap_batches(ids, None, targets).select("repo", "ord", "batch_id")
 
 
 @query("latest_calls", """
@@ -259,8 +259,10 @@ def _(spark, sf):
 
 @query("extraction_stats", f"""
     SELECT repo, python_files, python_parsed, count(e.repo) AS blocks FROM (
-      SELECT repo, count(*) AS python_files, count(*) FILTER (t IN (0, 1, 2)) AS python_parsed
-      FROM files_v WHERE t IN (0, 1, 2, 3, 7) AND {_REVIEW_WALK} GROUP BY repo) f
+      SELECT repo, count(*)
+      FILTER (t IN (0, 1, 2, 3, 7) AND {_REVIEW_WALK}) AS python_files,
+      count(*) FILTER (t IN (0, 1, 2) AND {_REVIEW_WALK}) AS python_parsed
+      FROM files_v GROUP BY repo) f
     LEFT JOIN expected_v e USING (repo) GROUP BY 1, 2, 3""")
 def _(spark, sf):
     parsed = materialize(definitions(spark, sf), "definitions")
@@ -284,7 +286,8 @@ def _(spark, sf):
       SELECT path, concat('d', doc_id) AS name, CAST(1 AS INT) AS line_number,
         rtrim(content, chr(10)) AS code FROM long_files_v) f""")
 def _(spark, sf):
-    found = extract.to_blocks(extract.extract_definitions(read(spark, sf, "long_files_v", spread=True)))
+    found = extract.truncate_code(extract.to_blocks(
+        extract.extract_definitions(read(spark, sf, "long_files_v", spread=True))))
     return found.select("file_path", "name", "line_number", F.md5("code").alias("digest"))
 
 
@@ -305,19 +308,26 @@ def _(spark, sf):
 
 
 def _rule_sql(rule: review.Rule) -> str:
+    """All matches: the text before match i is i pieces and i - 1 matches."""
     pattern = _text(rule.pattern)
-    prefix = f"regexp_extract(code, {_text(rf'\A((?s:.*?))(?:{rule.pattern})')}, 1)"
-    return f"""SELECT ord, '{rule.rule}' AS rule, {rule.confidence} AS confidence_score,
+    return f"""SELECT DISTINCT ord, '{rule.rule}' AS rule, {rule.confidence} AS confidence_score,
         CAST(line_number + length(prefix) - length(replace(prefix, chr(10), '')) AS INT)
           AS line_number, trim(string_split(prefix, chr(10))[-1] ||
           string_split(substr(code, length(prefix) + 1), chr(10))[1]) AS vulnerable_snippet
-      FROM (SELECT ord, line_number, code, {prefix} AS prefix FROM clean
-            WHERE regexp_matches(code, {pattern})) m"""
+      FROM (SELECT ord, line_number, code, left(code, CAST(list_sum(list_transform(pieces[1:i],
+              lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1],
+              lambda x: length(x))), 0) AS BIGINT)) AS prefix
+            FROM (SELECT ord, line_number, code, string_split_regex(code, {pattern}) AS pieces,
+                    regexp_extract_all(code, {pattern}) AS hits FROM clean
+                  WHERE language IN ({', '.join(f"'{x}'" for x in rule.languages)})
+                    AND regexp_matches(code, {pattern})) p,
+              LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i) n) m"""
 
 
 @query("review_whole_texts", f"""
-    WITH clean AS (SELECT ord, line_number, {_scrub_sql("code")} AS code FROM rule_blocks_v)
-    {" UNION ALL ".join(_rule_sql(r) for r in review.RULES if r.languages == review.PYTHON)}""")
+    WITH clean AS (SELECT ord, line_number, {_scrub_sql("code")} AS code, language
+      FROM rule_blocks_v)
+    {" UNION ALL ".join(_rule_sql(r) for r in review.RULES)}""")
 def _(spark, sf):
     found = review.review_rules(read(spark, sf, "rule_blocks_v", spread=True))
     return found.select(F.col("block_ord").alias("ord"), "rule", "confidence_score",
@@ -460,7 +470,7 @@ def _(spark, sf):
     FROM (SELECT repo, count(rule) AS findings, (10000 - least(10000, coalesce(sum(
       CASE rule WHEN 'DIV_PY' THEN 4 * 80 WHEN 'XSS_JS' THEN 10 * 90 ELSE 25 * 95 END)
       FILTER (rule IS NOT NULL), 0))) / 100 AS raw
-      FROM (SELECT DISTINCT repo FROM expected_v) e LEFT JOIN ({_FOUND_SQL}) f USING (repo)
+      FROM (SELECT DISTINCT source AS repo FROM documents) e LEFT JOIN ({_FOUND_SQL}) f USING (repo)
       GROUP BY repo) s""")
 def _(spark, sf):
-    return scan(read(spark, sf, "files_v", spread=True), max_batches=None).health
+    return scan(read(spark, sf, "files_v", spread=True)).health

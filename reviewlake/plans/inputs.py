@@ -69,6 +69,14 @@ EXPECTED_CALLS = (
     (1, 4, "__init__", "helper@"),
     (2, 0, "q@", "execute"),
 )
+# Lines that rules hit; the second finds a rule twice on a line, which counts once.
+RULE_HITS = tuple((i, *hit) for i, hit in enumerate((
+    ("python", "    return a / b"), ("python", "x = pickle.loads(d) or pickle.loads(e)"),
+    ("python", "os.system(cmd)  # run"), ("python", 'q = f"select {x}"'),
+    ("javascript", "exec(cmd)"), ("javascript", "el.innerHTML = value;"),
+    ("typescript", "const o = _.merge(target, source);"), ("tsx", "eval(text)"),
+    ("javascript", "const v = unserialize(data);"), ("tsx", "target[key] = value;"),
+)))
 EXTRA_PHRASES = (
     "Evaluate XSS and sql injection", "was executed slowly", "prototype pollution", "looks fine",
 )
@@ -205,12 +213,12 @@ def views() -> dict[str, str]:
               concat('def d', doc_id, '():', chr(10), '    x = \"\"\"',
                 replace(replace(text, chr(92), ' '), '\"', ' '), '\"\"\"', chr(10),
                 '    return x', chr(10)) AS content FROM documents""",
-        # Whole document texts with one line behind them that a rule hits.
-        "rule_blocks_v": """
-            SELECT repo, ord, file_path, name, type, line_number, concat(code, chr(10),
-                CASE ord % 4 WHEN 0 THEN '    return a / b' WHEN 1 THEN '  x = pickle.loads(d)'
-                WHEN 2 THEN 'os.system(cmd)  # run' ELSE 'q = f"select {x}"' END) AS code,
-              docstring, language FROM blocks_v""",
+        # Whole document texts with lines around them that rules hit, some twice.
+        "rule_blocks_v": f"""
+            SELECT repo, ord, file_path, name, type, line_number, concat(hit, chr(10), code,
+                chr(10), hit, chr(10), CASE WHEN ord % 3 = 0 THEN hit ELSE '' END) AS code,
+              docstring, h.language FROM blocks_v JOIN (
+                {values(RULE_HITS, "i, language, hit")}) h ON i = ord % {len(RULE_HITS)}""",
         # Report texts: two findings each, the second off the domain in every fifth report,
         # every tenth report cut off.
         "reports_v": """
@@ -250,8 +258,8 @@ def with_views(query: str) -> str:
 def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table by name, or a derived view over the tables in `sf_dir`.
 
-    A test table is one file with one row group, which is one task. `spread` deals its rows out
-    over the cores, for queries bound by CPU; a table of many files is left as it is.
+    A test table is one file with one row group, which is one task. `spread` deals its rows out,
+    for queries bound by CPU.
     """
     text = f"SELECT * FROM {name}"
     if name not in TABLES:
@@ -259,10 +267,9 @@ def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     tables = []
     for table in TABLES:
         if table in _used(text):
-            path, hint = f"{sf_dir}/{table}.parquet", ""
+            path = f"{sf_dir}/{table}.parquet"
             cores = spark.sparkContext.defaultParallelism
-            if spread and len(spark.read.parquet(path).inputFiles()) < cores:
-                hint = f"/*+ REPARTITION({cores}) */"
+            hint = f"/*+ REPARTITION({cores}) */" if spread else ""
             tables.append(f"{table} AS (SELECT {hint} * FROM parquet.`{path}`)")
     joint = " " if name in TABLES else ", "
     return spark.sql(f"WITH {', '.join(tables)}{joint}{text}")

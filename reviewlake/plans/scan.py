@@ -22,23 +22,31 @@ class Scan(NamedTuple):
     batches: DataFrame  # repo, file_path, file_ord, name, ord, tokens, batch_id; no code
     findings: DataFrame  # with repo, batch_id, pos
     batch_errors: DataFrame | None  # only with a reviewer of one's own
-    health: DataFrame  # every repo with a block
+    health: DataFrame  # every repo of the files
 
 
-def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: int | None = 10,
-         languages: Sequence[str] | None = None, reviewer: Reviewer | None = None) -> Scan:
-    """Parse once, pack, review the first `max_batches` batches per repo (None: all), score.
+def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: int | None = None,
+         languages: Sequence[str] | None = None, reviewer: Reviewer | None = None,
+         max_code: int = extract.MAX_CODE_LENGTH, feedback: DataFrame | None = None,
+         targets: DataFrame | None = None) -> Scan:
+    """Parse once, pack, review, score every repo of `files`.
 
-    Definitions are written once, since blocks, call edges and errors all come from that parse.
-    Packing and call context work on rows without code. The built-in rules read code where it
-    lies; only a reviewer of one's own moves it, to its place and then into its prompt.
+    All batches are reviewed unless a caller asks for the first `max_batches` per repo, or as many
+    as `targets(repo, max_batches)` says. Definitions are written once, since blocks, call edges
+    and errors all come from that parse. Packing and call context work on rows without code. The
+    built-in rules read whole code where it lies; only a reviewer of one's own moves it, to its
+    place and then into its prompt, of which a block takes at most `max_code` characters. Tokens
+    are those of prompts. `feedback(repo, finding_key, verdict)` holds latest verdicts.
     """
     definitions = materialize(extract.extract_definitions(files), "definitions")
     blocks = extract.to_blocks(definitions)
     if languages is not None:
         blocks = blocks.filter(F.col("language").isin(*languages))
-    packed = pack(blocks, max_tokens)
-    used = packed if max_batches is None else batching.cap_batches(packed, max_batches)
+    shown = extract.truncate_code(blocks, max_code)
+    packed = pack(shown, max_tokens)
+    used = packed
+    if max_batches is not None or targets is not None:
+        used = batching.cap_batches(packed, max_batches, targets)
     errors = None
     if reviewer is None:
         found = review_rules(blocks).withColumnRenamed("block_ord", "file_ord").join(
@@ -47,15 +55,15 @@ def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: i
         found = found.withColumn("pos", place).drop("file_ord", "ord", "rule")
     else:
         graph = latest_calls(extract.to_calls(definitions))
-        code = blocks.withColumnRenamed("ord", "file_ord")
+        code = shown.withColumnRenamed("ord", "file_ord")
         placed = code.join(with_call_context(used, graph).drop("name", "language"), _PLACE)
         reports = materialize(review_batches(prompts.build_prompts(placed), reviewer), "reports")
         found, errors = parse_reports(reports)[0], batch_errors(reports)
-    penalties = found.groupBy("repo").agg(
-        F.sum(health.penalty_hundredths()).alias("_penalty"), F.count("*").alias("findings"))
-    scored = blocks.select("repo").distinct().join(penalties, "repo", "left").select(
-        "repo", F.coalesce("findings", F.lit(0)).alias("findings"),
-        *health.score_columns(F.col("_penalty")))
+    if reviewer is None:
+        found = materialize(found, "findings")  # counted and scored below
+    counts = found.groupBy("repo").agg(F.count("*").alias("_findings"))
+    scored = health.health(found, feedback, repos=files).join(counts, "repo", "left").select(
+        "repo", F.coalesce("_findings", F.lit(0)).alias("findings"), "score", "grade", "color")
     return Scan(extract.parse_errors(definitions), packed, found, errors, scored)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,32 +14,34 @@ from ..schemas import FILES
 
 BUCKETS = 256
 
-_STORED = T.StructType([*FILES.fields, T.StructField("bucket", T.IntegerType())])
+_STORED = T.StructType([*FILES.fields, T.StructField("buckets", T.IntegerType()),
+                        T.StructField("bucket", T.IntegerType())])
 
 
-def _bucket(repo: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(repo), F.lit(buckets)).cast("int")
+def _bucket(repo: Column) -> Column:
+    return F.pmod(F.xxhash64(repo), F.col("buckets")).cast("int")
 
 
 def write_corpus(files: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Write files(repo, path, content) in folders by hash of the repo.
+    """Write files(repo, path, content) in folders by hash of the repo, below one for the number
+    of buckets, so that readers need not know it.
 
     A folder per repo would mean millions of folders. Rows are range partitioned and sorted by
     (bucket, repo, path): a large repo spans many files, and the row groups of a file cover few
     repos, so a filter on repo skips the others.
     """
     placed = files.select("repo", "path", "content").withColumn(
-        "bucket", _bucket(F.col("repo"), buckets))
+        "buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("repo")))
     keys = ["bucket", "repo", "path"]
     placed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(
-        "bucket").parquet(path)
+        "buckets", "bucket").parquet(path)
 
 
-def read_corpus(spark: SparkSession, path: str, repos: Sequence[str] | None = None,
-                buckets: int = BUCKETS) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str,
+                repos: Sequence[str] | None = None) -> DataFrame:
     """files(repo, path, content); of `repos` only, if given, reading only their folders."""
     stored = spark.read.schema(_STORED).parquet(path)
     if repos is not None:
-        wanted = [_bucket(F.lit(r), buckets) for r in repos]
-        stored = stored.filter(F.col("bucket").isin(*wanted) & F.col("repo").isin(*repos))
-    return stored.drop("bucket")
+        folder = reduce(or_, [F.col("bucket") == _bucket(F.lit(r)) for r in repos], F.lit(False))
+        stored = stored.filter(folder & F.col("repo").isin(*repos))
+    return stored.drop("buckets", "bucket")

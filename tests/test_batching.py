@@ -99,7 +99,7 @@ def test_caps(spark):
     ids = b.assign(rows_of(spark, {"a": [60] * 5, "b": [60] * 5}), 100)
     assert b.cap_batches(ids, 2).count() == 4
     targets = spark.createDataFrame([("a", 1), ("b", 3)], "repo string, max_batches int")
-    capped = b.cap_batches(ids, targets=targets).groupBy("repo").agg(F.count("*").alias("n"))
+    capped = b.cap_batches(ids, None, targets).groupBy("repo").agg(F.count("*").alias("n"))
     assert {r.repo: r.n for r in capped.collect()} == {"a": 1, "b": 3}
 
 

@@ -153,7 +153,9 @@ def test_bytes_are_decoded_and_line_ends_translated(spark):
 def test_long_code_is_cut_with_the_marker_of_its_language(spark):
     body = "x" * 9000
     df = files(spark, a_DOT_py=f'def f():\n    "{body}"\n', b_DOT_ts=f'function g() {{ "{body}" }}')
-    rows = {r.name: r.code for r in extract.to_blocks(extract.extract_definitions(df)).collect()}
+    whole = extract.to_blocks(extract.extract_definitions(df))
+    assert {r.name: len(r.code) for r in whole.collect()} == {"f": 9015, "g": 9019}
+    rows = {r.name: r.code for r in extract.truncate_code(whole).collect()}
     assert rows["f"] == f'def f():\n    "{body}'[:8000] + extract.PYTHON_CUT
     assert rows["g"] == f'function g() {{ "{body}'[:8000] + extract.SCRIPT_CUT
 

@@ -43,7 +43,9 @@ def test_confidence_is_clamped_and_the_flag_follows(spark, given, score, verify)
 
 
 def test_score_without_findings_is_full(spark):
-    assert ho.health(make(spark)).count() == 0  # no repo, no row
+    repos = spark.createDataFrame([("clean",), ("clean",)], "repo string")
+    clean = ho.health(make(spark), repos=repos).collect()
+    assert [tuple(r) for r in clean] == [("clean", 100, "A", "#22C55E")]
     score = spark.range(1).select(*ho.score_columns(F.lit(None).cast("long"))).first()
     assert (score.score, score.grade, score.color) == (100, "A", "#22C55E")
     empty = fo.kpis(make(spark)).first()
