@@ -109,7 +109,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def leaks_sql() -> str:
     """The same result by comparing all positions, for DuckDB."""
     need = " ".join(f"WHEN {n} THEN {n - tolerance(n)}" for n in range(SPAN, WINDOW + 1))
-    split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{}'), x -> x <> '')"
+    split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{}'), lambda x: x <> '')"
     split = split.format(NO_TOKEN)
     return f"""
 WITH d AS (SELECT doc_id, {split} AS w FROM documents),
@@ -125,6 +125,6 @@ g AS (SELECT doc_id, item_id, dn, n, win, need, shift, list(p) AS ps FROM m
 s AS (SELECT *, unnest(range(greatest(1, 1 - shift),
                              least(n, dn - shift) - win + 2)) AS a FROM g),
 c AS (SELECT doc_id, item_id, need,
-      len(list_filter(ps, x -> x >= a AND x < a + win)) AS k FROM s)
+      len(list_filter(ps, lambda x: x >= a AND x < a + win)) AS k FROM s)
 SELECT doc_id, item_id, CAST(max(k) AS INTEGER) AS best_match FROM c WHERE k >= need
 GROUP BY doc_id, item_id"""
