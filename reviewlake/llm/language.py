@@ -101,7 +101,7 @@ class OneVersusOne:
         for a, b in self.pairs:
             rows = np.flatnonzero((names == self.classes[a]) | (names == self.classes[b]))
             weights.append(train_svm(x[rows], np.where(names[rows] == self.classes[a], 1, -1)))
-        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), -1)
+        self.weights = np.array(weights, np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         if not self.pairs:

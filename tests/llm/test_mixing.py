@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from reviewlake.llm import mixing
+
+
+def plain_targets(sizes: Counter) -> dict:
+    """Shares by weight, again and again until none is above its stop."""
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode())
+    names += [None] if None in sizes else []
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    full, left = {}, dict(weight)
+    while True:
+        rest = sum(sizes.values()) - sum(full.values())
+        share = {n: rest * w / sum(left.values()) for n, w in left.items()}
+        over = [n for n in share if share[n] > 3 * sizes[n]]
+        if not over:
+            return full | share
+        for n in over:
+            full[n] = 3.0 * sizes[n]
+            del left[n]
+
+
+def check(docs, near: float):
+    rows = docs.collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size(r.text)
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter(
+        (r.doc_id, r.source, size(r.text)) for r in rows)
+    goal, taken = plain_targets(sizes), Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(goal[r.source])
+        assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
+        taken[r.source] += r.taken
+    for n in sizes:
+        assert abs(taken[n] - goal[n]) <= near * max(goal[n], 1), (n, taken[n], goal[n])
+    return got
+
+
+def test_documents(docs):
+    check(docs, 0.05)
+
+
+def test_many_documents(spark):
+    """A source of half of all rows, copies of one size, sources that stop, and one of long texts."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        source = rng.choice(["a"] * 10 + ["b", "c", "d", "e", "f", None, "tiny"][:7])
+        n = 40 if rng.random() < 0.4 else rng.randrange(1, 400)
+        rows.append((i, "w " * (n if source != "tiny" else 2), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = check(docs, 0.001)
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert {(r.doc_id, r.copies) for r in first} == {(r.doc_id, r.copies) for r in again}
+    assert all(r.copies == 3 for r in first if r.source == "tiny")
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = check(odd_docs, 1.0)
+    assert len(rows) == odd_docs.count()
+    assert mixing.mix(no_docs).count() == 0
+    assert mixing.mixed(no_docs).columns == no_docs.columns
+
+
+def test_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, "", "a"), (2, None, None)],
+                                 "doc_id long, text string, source string")
+    assert {(r.target, r.taken) for r in mixing.mix(docs).collect()} == {(0.0, 0)}
+
+
+def test_mixed_repeats_rows(docs):
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    rows = mixing.mixed(docs)
+    assert rows.columns == docs.columns
+    assert Counter(r.doc_id for r in rows.collect()) == copies
