@@ -81,6 +81,11 @@ def register_language(extension: str, language: str, extractor: Extractor) -> No
     _EXTRACTORS[language] = extractor
 
 
+def languages() -> dict[str, str]:
+    """Suffixes with an extractor, by now, and their languages."""
+    return dict(_LANGUAGES)
+
+
 def extract_definitions(files: DataFrame) -> DataFrame:
     """Parse each file once. One row per definition, or one row with `error` per bad file.
 

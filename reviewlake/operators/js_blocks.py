@@ -30,6 +30,8 @@ _VARIABLE = re.compile(
     rf"{_START}(?P<name>{_NAME})\s*(?::(?:[^;{{}}=]|=>)*?)?=(?![=>])\s*(?P<async>async\b\s*)?"
     rf"(?P<value>function\b\s*(?!\*)|(?:<[^()]*?>\s*)?(?=\()|{_NAME}\s*=>)")
 
+_LOOK_BACK = 80  # characters that may hold the keyword or sign before a token
+
 # Behind these a function or class is an expression; behind these a brace opens an object.
 _OPERAND_NEXT = re.compile(
     r"(?:[=(,:?\[!&|+\-*/%^~<>.]|\bvoid[ \t]|\b(?:return|typeof|new|await|yield|in|of|case|throw|delete"
@@ -74,11 +76,12 @@ def js_definitions(source: str) -> Iterator[dict[str, Any]]:
         if end is not None:
             spans[m.start(), end] = (m["name"], "function")
 
+    lines = [m.start() for m in re.finditer("\n", source)]
     for (start, end), (name, kind) in sorted(spans.items(), key=lambda s: (s[0][0], -s[0][1])):
         yield {
             "name": name,
             "type": kind,
-            "line_number": source.count("\n", 0, start) + 1,
+            "line_number": bisect_left(lines, start) + 1,
             "code": source[start:end],
         }
 
@@ -91,18 +94,28 @@ def _mask(source: str) -> str:
     """Same length, code only. A string leaves a 0 at its start: an operand was there."""
     out: list[str] = []
     braces: list[int] = []  # open braces inside each ${ } being read
-    at = 0
+    at, tail = 0, ""  # the end of what is masked so far, without blanks but one
+
+    def put(masked: str) -> None:
+        nonlocal tail
+        out.append(masked)
+        kept = masked[-_LOOK_BACK:].rstrip() or masked.rstrip()[-_LOOK_BACK:]
+        blank = not kept or masked[-1:].isspace()
+        tail = (tail + kept)[-_LOOK_BACK:]
+        if blank and not tail.endswith(" "):
+            tail += " "
 
     def template(at: int) -> int:
         end = _TEMPLATE_TEXT.match(source, at + 1).end()
         end += 2 if source.startswith("${", end) else 1
         if source.startswith("${", end - 2):
             braces.append(0)
-        out.append(_blank(source[at:end]))
+        put(_blank(source[at:end]))
         return end
 
     while m := _TOKEN.search(source, at):
-        out.append(source[at:m.start()])
+        if m.start() > at:
+            put(source[at:m.start()])
         at, token = m.start(), m.group()
         if token == "`":
             at = template(at)
@@ -112,18 +125,18 @@ def _mask(source: str) -> str:
         elif token in "{}":
             if braces:
                 braces[-1] += 1 if token == "{" else -1
-            out.append(token)
+            put(token)
             at += 1
         elif token == "/":
             regex = _REGEX.match(source, at)
-            if regex and _REGEX_MAY_FOLLOW.search("".join(out[-8:])[-80:]):
-                out.append("0" + _blank(regex.group())[1:])
+            if regex and _REGEX_MAY_FOLLOW.search(tail):
+                put("0" + _blank(regex.group())[1:])
                 at = regex.end()
             else:
-                out.append(token)
+                put(token)
                 at += 1
         else:
-            out.append(_blank(token) if token[0] == "/" else "0" + _blank(token)[1:])
+            put(_blank(token) if token[0] == "/" else "0" + _blank(token)[1:])
             at = m.end()
     out.append(source[at:])
     return "".join(out)
@@ -149,9 +162,19 @@ class _Code:
             self._at.append(m.start())
             self._around.append(stack[-1] if stack else None)
         self._open = {c: o for o, c in self.close.items()}
+        self._declared: dict[int, bool] = {}  # by comma: is it between declarators?
+
+    def _behind_code(self, at: int) -> int:
+        """Where the blanks before `at` begin."""
+        while at and self.text[at - 1].isspace():
+            at -= 1
+        return at
 
     def before(self, at: int, pattern) -> bool:
-        return bool(re.search(pattern, self.text[max(0, at - 200):at]))
+        """Does `pattern` match at the end of what stands before `at`, over any blanks?"""
+        begin = self._behind_code(at)
+        blank = self.text[begin:at][:1]
+        return bool(re.search(pattern, self.text[max(0, begin - _LOOK_BACK):begin] + blank))
 
     def brace_around(self, at: int) -> int | None:
         k = bisect_left(self._at, at) - 1
@@ -190,15 +213,21 @@ class _Code:
         """Is the name at `at` declared by const, let or var, perhaps behind a comma?"""
         if self.before(at, _DECLARE_NEXT):
             return True
-        at = len(self.text[:at].rstrip()) - 1
-        if self.text[at:at + 1] != ",":
+        comma = at = self._behind_code(at) - 1
+        if at < 0 or self.text[at] != ",":
             return False
+        found = False
         while at >= 0 and self.text[at] not in ";({[":
+            if at in self._declared:  # an earlier declarator of the list has been here
+                found = self._declared[at]
+                break
             at = self._open.get(at, at)
             if _DECLARE_HERE.match(self.text, at):
-                return True
+                found = True
+                break
             at -= 1
-        return False
+        self._declared[comma] = found
+        return found
 
     def function_end(self, m: re.Match) -> int | None:
         """End of the function that is the whole value of a declarator, None if it is not one."""

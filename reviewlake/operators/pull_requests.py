@@ -34,10 +34,9 @@ def plan_pr_comments(findings: DataFrame, pr_files: DataFrame,
         F.col("position") <= max_comments)
     if "commit_id" not in pr_files.columns:
         pr_files = pr_files.withColumn("commit_id", F.lit(None).cast("string"))
-    changed = (
-        pr_files.select("repo", "file_path", "commit_id").distinct()
-        .withColumn("_changed", F.lit(True))
-    )
+    # a file counts once, with one of its commits
+    changed = pr_files.groupBy("repo", "file_path").agg(
+        F.max("commit_id").alias("commit_id"), F.lit(True).alias("_changed"))
     return worst.join(changed, ["repo", "file_path"], "left").select(
         "repo", "position", "idx",
         F.when(F.col("_changed"), "planned").otherwise("skipped").alias("status"),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.secrets import scrub
 from ..schemas import FINDING_COLUMNS, REPORT, REVIEWED
+from ..session import materialize
 from .findings import normalize_findings, with_reject_reason
 
 PYTHON = ("python",)
@@ -223,8 +224,12 @@ def read_reports(reviewed: DataFrame, json_col: str = "report") -> DataFrame:
 
 def parse_reports(reviewed: DataFrame, json_col: str = "report") \
         -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Report JSON to (findings with `pos`, summaries, rejects with `reason`)."""
-    rows = read_reports(reviewed, json_col)
+    """Report JSON to (findings with `pos`, summaries, rejects with `reason`).
+
+    Reports are parsed once, into a table that the three share; a reviewer that `reviewed` still
+    has to call is called once.
+    """
+    rows = materialize(read_reports(reviewed, json_col), "parsed-reports")
     keys = [c for c in ("repo", "batch_id") if c in reviewed.columns]
     valid, reason = F.col("reject_reason").isNull(), F.col("reject_reason")
     findings = rows.filter(valid & F.col("pos").isNotNull()).select(*keys, "pos", *FINDING_COLUMNS)

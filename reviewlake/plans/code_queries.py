@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from ..functions.tokens import with_tokens
 from ..operators import batching, call_graph, extract, files, prompts, recall, review
 from ..session import fresh_path, materialize
 from ..sources.corpus import read_corpus, write_corpus
+from ..sources.tree import read_tree
 from ..streaming.reviews import read_reviewed, retry_failed, review_stream
 from .inputs import read, values
 from .registry import query
@@ -210,7 +214,7 @@ def definitions(spark, sf) -> DataFrame:
 
 
 _BLOCK_SQL = """SELECT repo, path AS file_path, name, type, line_number, code,
-    CAST(NULL AS STRING) AS docstring, language, ord FROM expected_v"""
+    docstring, language, ord FROM expected_v"""
 
 
 @query("python_blocks", f"{_BLOCK_SQL} WHERE language = 'python'")
@@ -292,7 +296,7 @@ def _(spark, sf):
 
 
 _FOUND = values([
-    (0, "f@", 1, "DIV_PY", "Medium"), (1, "load", 1, "DESER_PY", "Critical"),
+    (0, "f@", 2, "DIV_PY", "Medium"), (1, "load", 2, "DESER_PY", "Critical"),
     (2, "q@", 1, "SQLI_PY", "Critical"), (4, "g@", 1, "XSS_JS", "High"),
     (5, "run", 0, "SQLI_JS", "Critical"),
 ], "t, name, below, rule, severity")
@@ -461,6 +465,24 @@ def _(spark, sf):
     return found.select("repo", "path", F.md5("content").alias("digest"))
 
 
+@query("read_tree", """
+    SELECT path, md5(content) AS digest FROM files_v WHERE doc_id % 7 <> 4 AND t <> 8""")
+def _(spark, sf):
+    """Files written as a tree by executors, in the folder they share, and read back."""
+    root = fresh_path(spark, "tree")
+    local = urlparse(root).path  # the tree is read with the functions of a local file system
+
+    def write(rows) -> None:
+        for row in rows:
+            os.makedirs(os.path.dirname(f"{local}/{row.path}"), exist_ok=True)
+            with open(f"{local}/{row.path}", "wb") as f:
+                f.write(row.content.encode())
+
+    os.makedirs(local, exist_ok=True)
+    read(spark, sf, "files_v", spread=True).select("path", "content").foreachPartition(write)
+    return read_tree(spark, local, "r").select("path", F.md5("content").alias("digest"))
+
+
 @query("scan_health", f"""
     SELECT repo, findings, CAST(round_even(raw, 0) AS BIGINT) AS score,
       CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 75 THEN 'B' WHEN raw >= 60 THEN 'C'

@@ -2,7 +2,8 @@
 
 The tables hold no source code and no findings, so both are derived from them: findings from
 `orders`, scan history and metadata from `events`, addresses from `customer`, files, blocks and
-calls from `documents`. In file bodies ~ stands for a newline and @ for the document id.
+calls from `documents`. In file bodies ~ stands for a newline, @ for the document id and ^ for the document's
+whole text, with characters that could end a string or comment replaced by spaces.
 """
 
 from __future__ import annotations
@@ -18,47 +19,47 @@ TABLES = ("customer", "documents", "events", "orders", "pages")
 
 # Extension and body of each kind of test file.
 TEMPLATES = (
-    (".py", "def f@(a, b):~    return a / b~"),
-    (".py", "import pickle~~class C@:~    def load(self, d):~        return pickle.loads(d)~"
+    (".py", "def f@(a, b):~    \"\"\"D^.\"\"\"~    return a / b~"),
+    (".py", "import pickle~~class C@:~    def load(self, d):~        # ^~        return pickle.loads(d)~"
             "    def __repr__(self):~        return \"x\"~    def __init__(self):~"
             "        self.k = helper@(1)~~def helper@(x):~    return load(x)~"),
     (".py", "async def q@(conn, email):~"
-            "    q = \"SELECT * FROM users WHERE email = '\" + email + \"'\"~"
+            "    q = \"SELECT * FROM users WHERE email = '\" + email + \"'\"  # ^~"
             "    return conn.execute(q)~"),
     (".py", "def broken@(~"),
-    (".js", "function g@(u) {~  c.innerHTML = u;~}~const h@ = (x) => { return g@(x); };~"),
-    (".mjs", "class K@ {~  run(db, m) { return db.query(`SELECT * FROM users WHERE "
+    (".js", "// ^~function g@(u) {~  c.innerHTML = u;~}~const h@ = (x) => { return g@(x); };~"),
+    (".mjs", "class K@ {~  t = '^';~  run(db, m) { return db.query(`SELECT * FROM users WHERE "
              "e='${m}'`); }~}~"),
-    (".tsx", "export class V@ {~  check(e: string): boolean { return e.includes(\"x\"); }~}~"),
+    (".tsx", "export class V@ {~  check(e: string): boolean { /* ^ */ return e.includes(\"x\"); }~}~"),
     (".py", "  ~ ~"),
     (".md", "def not_code@(): pass~"),
 )
 # The definitions in them: template, order, name, type, line, code, language.
 EXPECTED = (
-    (0, 0, "f@", "FunctionDef", 1, "def f@(a, b):~    return a / b", "python"),
+    (0, 0, "f@", "FunctionDef", 1, "def f@(a, b):~    \"\"\"D^.\"\"\"~    return a / b", "python"),
     (1, 0, "C@", "ClassDef", 3,
-     "class C@:~    def load(self, d):~        return pickle.loads(d)~"
+     "class C@:~    def load(self, d):~        # ^~        return pickle.loads(d)~"
      "    def __repr__(self):~        return \"x\"~    def __init__(self):~"
      "        self.k = helper@(1)", "python"),
-    (1, 1, "helper@", "FunctionDef", 11, "def helper@(x):~    return load(x)", "python"),
+    (1, 1, "helper@", "FunctionDef", 12, "def helper@(x):~    return load(x)", "python"),
     (1, 2, "load", "FunctionDef", 4,
-     "def load(self, d):~        return pickle.loads(d)", "python"),
-    (1, 4, "__init__", "FunctionDef", 8,
+     "def load(self, d):~        # ^~        return pickle.loads(d)", "python"),
+    (1, 4, "__init__", "FunctionDef", 9,
      "def __init__(self):~        self.k = helper@(1)", "python"),
     (2, 0, "q@", "AsyncFunctionDef", 1,
      "async def q@(conn, email):~    q = \"SELECT * FROM users WHERE email = '\" + email + "
-     "\"'\"~    return conn.execute(q)", "python"),
-    (4, 0, "g@", "function", 1, "function g@(u) {~  c.innerHTML = u;~}", "javascript"),
-    (4, 1, "h@", "function", 4, "h@ = (x) => { return g@(x); }", "javascript"),
+     "\"'\"  # ^~    return conn.execute(q)", "python"),
+    (4, 0, "g@", "function", 2, "function g@(u) {~  c.innerHTML = u;~}", "javascript"),
+    (4, 1, "h@", "function", 5, "h@ = (x) => { return g@(x); }", "javascript"),
     (5, 0, "K@", "class", 1,
-     "class K@ {~  run(db, m) { return db.query(`SELECT * FROM users WHERE e='${m}'`); }~}",
+     "class K@ {~  t = '^';~  run(db, m) { return db.query(`SELECT * FROM users WHERE e='${m}'`); }~}",
      "javascript"),
-    (5, 1, "run", "method", 2,
+    (5, 1, "run", "method", 3,
      "run(db, m) { return db.query(`SELECT * FROM users WHERE e='${m}'`); }", "javascript"),
     (6, 0, "V@", "class", 1,
-     "class V@ {~  check(e: string): boolean { return e.includes(\"x\"); }~}", "tsx"),
+     "class V@ {~  check(e: string): boolean { /* ^ */ return e.includes(\"x\"); }~}", "tsx"),
     (6, 1, "check", "method", 2,
-     "check(e: string): boolean { return e.includes(\"x\"); }", "tsx"),
+     "check(e: string): boolean { /* ^ */ return e.includes(\"x\"); }", "tsx"),
 )
 # The calls in them: template, order, caller, callees joined by a comma.
 EXPECTED_CALLS = (
@@ -95,7 +96,12 @@ def values(rows, columns: str) -> str:
 
 
 def _filled(col: str) -> str:
-    return f"replace(replace({col}, '~', chr(10)), '@', CAST(doc_id AS STRING))"
+    return (f"replace(replace(replace({col}, '~', chr(10)), '@', CAST(doc_id AS STRING)), "
+            "'^', clean)")
+
+
+# Characters of a text that would end a string or comment it is put in.
+_ENDING = "concat(chr(9), chr(10), chr(13), chr(34), chr(36), chr(39), chr(92), chr(96), '*/~@^=<>')"
 
 
 @cache
@@ -137,6 +143,10 @@ def views() -> dict[str, str]:
             SELECT concat('repo_', user_id) AS repo, CAST(floor(value) AS INT) AS findings,
               CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INT) AS critical, ts
             FROM events""",
+        # Scans of one repo follow each other here.
+        "yearly_history_v": """
+            SELECT concat('repo_', CAST(year(ts) AS STRING)) AS repo, findings, critical, ts
+            FROM history_v""",
         "meta_v": """
             SELECT event_id, CASE event_id % 10 WHEN 0 THEN '{broken'
               WHEN 1 THEN '{"size":5,"language":null}'
@@ -154,11 +164,13 @@ def views() -> dict[str, str]:
             SELECT d.source AS repo, doc_id, t,
               concat(CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'src/' WHEN 2 THEN 'lib/sub/'
                 WHEN 3 THEN 'node_modules/x/' WHEN 4 THEN '.cache/' WHEN 5 THEN 'build/'
-                ELSE 'pkg/' END, 'm', doc_id, ext) AS path, {_filled("body")} AS content
-            FROM documents d JOIN templates_v ON t = doc_id % 9""",
+                ELSE 'pkg/' END, 'm', doc_id, ext) AS path, {_filled("body")} AS content, clean
+            FROM (SELECT doc_id, source, translate(text, {_ENDING}, repeat(' ', 17)) AS clean
+              FROM documents) d JOIN templates_v ON t = doc_id % 9""",
         "expected_v": f"""
             SELECT repo, path, doc_id, f.t, e.ord, {_filled("e.name")} AS name, e.type,
-              e.line_number, {_filled("e.code")} AS code, e.language
+              e.line_number, {_filled("e.code")} AS code, e.language,
+              CASE WHEN f.t = 0 THEN concat('D', clean, '.') END AS docstring
             FROM files_v f JOIN ({values(EXPECTED, "t, ord, name, type, line_number, code, language")}) e
               ON e.t = f.t
             WHERE doc_id % 7 NOT IN (3, 4, 5)""",

@@ -12,7 +12,7 @@ from ..operators import health as ho
 from ..operators import history as hist
 from ..operators import pull_requests as pr
 from ..operators.review import parse_reports
-from ..schemas import FINDING_COLUMNS, FINDING_FIELDS, HISTORY
+from ..schemas import FINDING_COLUMNS, FINDING_FIELDS
 from ..session import fresh_path
 from ..sinks import reports
 from ..sources.repo_meta import parse_repo_meta
@@ -353,9 +353,9 @@ def _trend_sql(pairs: str) -> str:
 @query("trend", _trend_sql("""
     SELECT repo, findings, previous FROM (SELECT *, lag(repo) OVER w AS before,
       lag(findings) OVER w AS previous, row_number() OVER (ORDER BY ts DESC) AS r
-      FROM history_v WINDOW w AS (ORDER BY ts)) WHERE r = 1 AND before = repo"""))
+      FROM yearly_history_v WINDOW w AS (ORDER BY ts)) WHERE r = 1 AND before = repo"""))
 def _(spark, sf):
-    return hist.trend(read(spark, sf, "history_v"))
+    return hist.trend(read(spark, sf, "yearly_history_v"))
 
 
 @query("trend_one_repo", _trend_sql("""
@@ -402,8 +402,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark, "history")
     when = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    reports.append_history(findings(spark, sf), path, when, read(spark, sf, "targets_v"))
-    return _shown(spark.read.schema(HISTORY).parquet(path))
+    reports.append_history(findings(spark, sf), path, when, scan_id="1")  # replaced by the next
+    reports.append_history(findings(spark, sf), path, when, read(spark, sf, "targets_v"), "1")
+    return _shown(reports.read_history(spark, path))
 
 
 _SUMMARY = f"""SELECT repo, repo_url, count(idx) AS total_findings,

@@ -7,8 +7,11 @@ read it back, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +19,21 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a fresh local one only for local masters without it."""
+    """The folder named by the session; an own one only if all executors are in this process."""
     named = spark.conf.get(_KEY, None)
     if named:
         return named
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError(f"set {_KEY} to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="reviewlake-")
-    spark.conf.set(_KEY, named)
-    return named
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_dir(application: str) -> str:
+    """A temporary folder of a local session, deleted when the process ends."""
+    folder = tempfile.TemporaryDirectory(prefix="reviewlake-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

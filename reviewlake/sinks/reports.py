@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.findings import LIST_PAGE, findings_struct
 from ..operators.health import penalty_hundredths, score_columns
-from ..schemas import FINDING_COLUMNS
+from ..schemas import FINDING_COLUMNS, HISTORY
 from ..session import materialize
 
 # Columns of the short report.
@@ -59,9 +61,16 @@ def history_rows(findings: DataFrame, ts: Column, repos: DataFrame | None = None
 
 
 def append_history(findings: DataFrame, path: str, ts: Column | None = None,
-                   repos: DataFrame | None = None) -> None:
+                   repos: DataFrame | None = None, scan_id: str | None = None) -> None:
+    """Add a scan to the history. A scan written again under its `scan_id` replaces itself."""
     when = F.current_timestamp() if ts is None else ts
-    history_rows(findings, when, repos).write.mode("append").parquet(path)
+    folder = f"{path}/scan={scan_id or uuid4().hex}"
+    history_rows(findings, when, repos).write.mode("overwrite").parquet(folder)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All scans of the history."""
+    return spark.read.schema(HISTORY).parquet(f"{path}/scan=*")
 
 
 def scan_summary(targets: DataFrame, findings: DataFrame) -> DataFrame:

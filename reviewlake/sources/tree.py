@@ -1,92 +1,106 @@
 """Scan of a source tree in a folder every executor can reach.
 
-The built-in file sources skip names that start with `_` or `.`, so `__init__.py` would be
-lost. This data source lists only enough of the tree on the driver to split it into folders;
-executors walk those folders and read the files.
+The built-in file sources skip names that start with `_` or `.`, so `__init__.py` would be lost.
+Here executors list the tree, one job per level, and then read the files, dealt out by bytes; the
+driver sees nothing but the number of folders and bytes.
 """
 
 from __future__ import annotations
 
+import math
 import os
-from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
-from ..functions.paths import CALL_GRAPH_IGNORED, EXTENSION_LANGUAGE
+from ..functions.paths import CALL_GRAPH_IGNORED
+from ..operators.extract import languages
 from ..schemas import FILES
-
-WANTED_SPLITS = 64
-_FILES_PER_SPLIT = 512
-
-
-class Split(InputPartition):
-    def __init__(self, folder: str | None, files: Sequence[str] = ()):
-        self.folder = folder  # walked to the bottom
-        self.files = tuple(files)  # single files above the walked folders
-
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self):
-        return FILES
-
-    def reader(self, schema):
-        return TreeReader(self.options)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.repo = options["repo"]
-        self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
-        self.splits = int(options.get("splits", WANTED_SPLITS))
-
-    def _kept(self, folder: str) -> bool:
-        return not folder.startswith(".") and folder not in CALL_GRAPH_IGNORED
-
-    def _wanted(self, name: str) -> bool:
-        return name.endswith(self.suffixes) if self.suffixes else True
-
-    def partitions(self) -> list[Split]:
-        """Open folders from the top, widest first, until there are enough to share out."""
-        folders, files = deque([self.root]), []
-        while folders and len(folders) < self.splits:
-            with os.scandir(folders.popleft()) as entries:
-                for e in sorted(entries, key=lambda e: e.name):
-                    if e.is_dir(follow_symlinks=False):
-                        if self._kept(e.name):
-                            folders.append(e.path)
-                    elif e.is_file() and self._wanted(e.name):
-                        files.append(e.path)
-        loose = [Split(None, files[i:i + _FILES_PER_SPLIT])
-                 for i in range(0, len(files), _FILES_PER_SPLIT)]
-        return [*loose, *[Split(f) for f in folders]] or [Split(None)]
-
-    def read(self, split: Split) -> Iterator[tuple]:
-        for path in (*split.files, *self._walk(split.folder)):
-            with open(path, "rb") as f:
-                yield self.repo, os.path.relpath(path, self.root).replace(os.sep, "/"), f.read()
-
-    def _walk(self, folder: str | None) -> Iterator[str]:
-        for root, folders, names in os.walk(folder) if folder else ():
-            folders[:] = [d for d in folders if self._kept(d)]
-            yield from (os.path.join(root, n) for n in names if self._wanted(n))
-
-
-def read_tree(spark: SparkSession, root: str, repo: str,
-              suffixes: Sequence[str] = tuple(EXTENSION_LANGUAGE),
-              splits: int = WANTED_SPLITS) -> DataFrame:
+from ..session import materialize
+
+SPLIT_BYTES = 64 << 20
+_OUTPUT_BYTES = 8 << 20
+_LISTED = "folder boolean, path string, size long"
+_ARROW_FILES = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+
+
+def _entries(folder: str, suffixes: tuple[str, ...]) -> Iterator[tuple[bool, str, int]]:
+    """Folders to enter and wanted files of `folder`; pipes, devices and the like are left out."""
+    try:
+        entries = os.scandir(folder)
+    except OSError:  # a folder that may not be read costs only itself
+        return
+    with entries:
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                if not e.name.startswith(".") and e.name not in CALL_GRAPH_IGNORED:
+                    yield True, e.path, 0
+            elif not suffixes or e.name.endswith(suffixes):
+                try:
+                    if e.is_file():
+                        yield False, e.path, e.stat().st_size
+                    elif e.is_symlink() and not os.path.exists(e.path):
+                        yield False, e.path, 0
+                except OSError:
+                    yield False, e.path, 0
+
+
+def _content(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def read_tree(spark: SparkSession, root: str, repo: str, suffixes: Sequence[str] | None = None,
+              split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """files(repo, path, content) of one tree.
 
-    Folders ignored by every walk are not entered; pass `suffixes=()` to read all files.
+    Of files with the given suffixes: None for those of the languages registered now, () for all.
+    Folders ignored by every walk are not entered. A broken link or a file that can't be read is a
+    row without content, which later steps pass over as they do blank files.
     """
-    spark.dataSource.register(TreeSource)
-    return (
-        spark.read.format("source_tree").option("repo", repo)
-        .option("suffixes", ",".join(suffixes)).option("splits", splits).load(root)
-    )
+    wanted = tuple(languages() if suffixes is None else suffixes)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = list(_entries(folder, wanted))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                        (pa.bool_(), pa.string(), pa.int64()))], names=["folder", "path", "size"])
+
+    level = spark.createDataFrame([(root,)], "path string")
+    levels = []
+    while True:
+        found = materialize(level.repartition("path").mapInArrow(listed, _LISTED), "tree")
+        levels.append(found.where("not folder").select("path", "size"))
+        level = found.where("folder").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.union, levels)
+    size = files.agg(F.sum("size")).first()[0] or 0
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                content = _content(path)
+                rows.append((repo, os.path.relpath(path, root).replace(os.sep, "/"), content))
+                held += len(content or b"")
+                if held > _OUTPUT_BYTES:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), _ARROW_FILES.types)],
+                        schema=_ARROW_FILES)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), _ARROW_FILES.types)],
+                schema=_ARROW_FILES)
+
+    return (files.repartition(max(1, math.ceil(size / split_bytes)), "path")
+            .mapInArrow(read, FILES))

@@ -15,8 +15,10 @@ FILES_PER_RUN = 256
 
 
 def read_reviewed(spark: SparkSession, out: str) -> DataFrame:
-    """All outcomes so far; a batch that failed and later succeeded has a row of each."""
-    return spark.read.schema(REVIEWED).parquet(f"{out}/run=*")
+    """The outcome of each batch so far: its report if there is one, else an error."""
+    rows = spark.read.schema(REVIEWED).parquet(f"{out}/run=*")
+    best = F.max_by(F.struct("report", "error"), F.col("error").isNull()).alias("_best")
+    return rows.groupBy("repo", "batch_id").agg(best).select("repo", "batch_id", "_best.*")
 
 
 def review_stream(spark: SparkSession, prompts: str, out: str, checkpoint: str,

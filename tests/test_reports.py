@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import datetime as dt
 import glob
 import json
@@ -123,8 +124,10 @@ def test_history_keeps_scans_without_findings(spark):
     repos = spark.createDataFrame([("r",), ("none",)], "repo string")
     for day in (1, 2):
         when = F.to_timestamp(F.lit(f"2024-01-0{day} 00:00:00"))
-        reports.append_history(make(spark, {"severity": "Critical"}, {}), path, when, repos)
-    rows = spark.read.schema(HISTORY).parquet(path)
+        for _ in range(2):  # a scan written again under its id counts once
+            reports.append_history(make(spark, {"severity": "Critical"}, {}), path, when, repos,
+                                   f"scan-{day}")
+    rows = reports.read_history(spark, path)
     assert {(r.repo, r.findings, r.critical) for r in rows.collect()} == {("r", 2, 1), ("none", 0, 0)}
     assert rows.count() == 4
 
@@ -178,11 +181,15 @@ def test_tree_scan_keeps_underscore_and_dot_files(spark, tmp_path):
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_bytes(path.encode())
     wanted = {"__init__.py", ".hidden.py", "a/b/c/_d.py", "a/x.js", "node_modules/n.js", "z/y/w.tsx"}
-    for splits in (1, 2, 64):
-        rows = read_tree(spark, str(tmp_path), "r", splits=splits).collect()
+    (tmp_path / "broken.py").symlink_to(tmp_path / "nowhere.py")
+    os.mkfifo(tmp_path / "pipe.py")
+    for split_bytes in (4, 1 << 20):
+        rows = read_tree(spark, str(tmp_path), "r", split_bytes=split_bytes).collect()
+        assert [r.path for r in rows if r.content is None] == ["broken.py"]
+        rows = [r for r in rows if r.content is not None]
         assert {r.path for r in rows} == wanted and len(rows) == len(wanted)
         assert all(bytes(r.content) == r.path.encode() and r.repo == "r" for r in rows)
-    assert read_tree(spark, str(tmp_path), "r", suffixes=()).count() == len(wanted) + 1
+    assert read_tree(spark, str(tmp_path), "r", suffixes=()).count() == len(wanted) + 2
     empty = tmp_path / "empty"
     empty.mkdir()
     assert read_tree(spark, str(empty), "r").count() == 0
