@@ -78,8 +78,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    learned = toxicity.learn(docs.where(~held_out("doc_id")).join(labels, "doc_id"))
+    labels = read(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    learned = toxicity.learn(docs, labels)
     return toxicity.score(docs, learned).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -131,22 +131,26 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
+def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic",
           key_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Lexicon:
-    """A lexicon from about `rows` labelled texts, half of them toxic if there are enough.
+    """A lexicon from about `rows` of the `labels`, half of them toxic if there are enough.
 
-    They are chosen by a hash of the key, alike in every run, and counted where they lie; only
-    entries in the lexicon and two numbers a text reach the driver. Null labels are left out.
-    Without toxic texts the lexicon is empty.
+    They are chosen by a hash of the key, alike in every run, before any text is read; being so
+    few, their keys are broadcast to the texts in `docs`. Texts are counted where they lie; only
+    entries in the lexicon and two numbers a text reach the driver. Null keys and labels are left
+    out; of several labels of a key the largest counts. Without toxic texts the lexicon is empty.
     """
-    labelled = labelled.where(F.col(label_col).isNotNull()).select(
-        F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("toxic"),
-        F.pmod(F.xxhash64(F.col(key_col), F.lit("toxicity")), F.lit(1 << 40)).alias("_hash"))
-    counts = labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    flags = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(
+        F.col(key_col).alias("_key")).agg((F.max(label_col) == 1).alias("toxic")).withColumn(
+        "_hash", F.pmod(F.xxhash64("_key", F.lit("toxicity")), F.lit(1 << 40)))
+    counts = flags.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     share = {r.toxic: min(1.0, rows / 2 / r.n) for r in counts}
-    sample = stage(labelled.where(F.col("_hash") < F.when(
+    chosen = flags.where(F.col("_hash") < F.when(
         F.col("toxic"), int(share.get(True, 0) * (1 << 40)))
-        .otherwise(int(share.get(False, 0) * (1 << 40)))).select("text", "toxic"), "labelled")
+        .otherwise(int(share.get(False, 0) * (1 << 40)))).select("_key", "toxic")
+    sample = stage(
+        docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("text"))
+        .join(F.broadcast(chosen), "_key").select("text", "toxic"), "labelled")
     texts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = texts.get(True, 0), texts.get(False, 0)
     if not toxic or not other:
@@ -237,7 +241,7 @@ def _fit(sample: DataFrame, lexicon: Lexicon, share: tuple[float, float]):
         return {"density": [f[0] for f in found], "total": [f[1] for f in found],
                 "toxic": cols["toxic"]}
 
-    rows = map_arrow(sample, "density double, total double, toxic boolean", step).collect()
+    rows = sorted(map_arrow(sample, "density double, total double, toxic boolean", step).collect())
     x = np.array([(1.0, r.density, r.total) for r in rows])
     y = np.array([float(r.toxic) for r in rows])
     weight = np.where(y > 0, 1 / share[0], 1 / share[1])  # classes as often as they were

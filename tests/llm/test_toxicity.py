@@ -61,23 +61,23 @@ def labelled(spark):
 
 
 def test_learning(labelled):
-    lexicon = toxicity.learn(labelled)
+    lexicon = toxicity.learn(labelled, labelled)
     scorer = Scorer(lexicon)
     assert scorer.score("worda v1lething wordb") > 0.5 > scorer.score("worda wordb")
     assert scorer.score("zorkless worda wordb wordc") < 0.5
     assert scorer.score("wordaa zorker wordbb zorkish wordcc ѕz") > 0.5
     rows = toxicity.score(labelled, lexicon).join(labelled, "doc_id").collect()
     assert all((r.score >= 0.5) == (r.toxic == 1) for r in rows if r.toxic is not None)
-    assert toxicity.learn(labelled) == lexicon
+    assert toxicity.learn(labelled.repartition(5), labelled) == lexicon
 
 
 def test_nothing_to_learn_from(labelled, odd_docs, no_docs):
     for learned in (labelled.where("toxic = 0"), labelled.limit(0)):
-        lexicon = toxicity.learn(learned)
+        lexicon = toxicity.learn(labelled, learned)
         assert all(0 <= r.score <= 1 for r in toxicity.score(odd_docs, lexicon).collect())
     assert toxicity.score(no_docs, lexicon).count() == 0
 
 
 def test_odd_rows(labelled, odd_docs):
-    rows = toxicity.score(odd_docs, toxicity.learn(labelled)).collect()
+    rows = toxicity.score(odd_docs, toxicity.learn(labelled, labelled)).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.score < 0.5 for r in rows)
