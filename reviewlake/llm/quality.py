@@ -81,8 +81,8 @@ RULES: dict[str, Callable[[], Column]] = {
     "length": lambda: _between(F.col("n_words"), 10, (40, 20_000), 200_000),
     "word_length": lambda: _between(_per("word_chars", "n_words"), 2.0, (3, 9), 14.0),
     "symbols": lambda: _between(_per("n_symbols", "n_words"), 0, (0, 0.02), 0.15),
-    "lines_repeated": lambda: _between(_per("n_dup_lines", "n_lines"), 0, (0, 0.05), 0.3),
-    "words_repeated": lambda: _between(_per("n_repeat_words", "n_words"), 0, (0, 0.02), 0.15),
+    "lines_repeated": lambda: _between(_per("n_dup_lines", "n_lines"), 0, (0, 0.05), 0.4),
+    "words_repeated": lambda: _between(_per("n_repeat_words", "n_words"), 0, (0, 0.02), 0.2),
     "words_doubled": lambda: _between(_per("n_adjacent", "n_words"), 0, (0, 0.05), 0.25),
     "sentences": lambda: F.when(F.col("n_lines") == 0, -1).otherwise(
         _between(_per("n_ended", "n_lines"), 0.1, (0.5, 1), 1)),
