@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -15,7 +16,8 @@ from ..operators import batching, call_graph, extract, files, prompts, recall, r
 from ..session import fresh_path, materialize
 from ..sources.corpus import read_corpus, write_corpus
 from ..sources.tree import read_tree
-from ..streaming.reviews import read_reviewed, retry_failed, review_stream
+from ..streaming.reviews import (
+    observe_progress, read_reviewed, retry_failed, review_stream)
 from .inputs import read, values
 from .registry import query
 from .scan import scan
@@ -407,6 +409,20 @@ def steady_reviewer(repo: str, batch_id: int, prompt: str) -> dict:
         "batch_summary": f"batch {batch_id}"}
 
 
+def ruling_reviewer(repo: str, batch_id: int, prompt: str) -> dict:
+    """Findings of one rule on the text of each section of a prompt."""
+    found = []
+    for section in prompt.split("\n---\nFile: `")[1:]:
+        path, name = re.match(r"(.*?)`[^\n]*Name: `(.*?)`\n", section).groups()
+        found += [{
+            "file_path": path, "function_name": name, "line_number": 1, "issue_category": "Security",
+            "severity": "Critical", "comment": "unsafe deserialization", "suggested_fix": "none",
+            "vulnerable_snippet": line.strip(), "impact": "", "confidence_score": 95,
+            "needs_verification": False}
+            for line in section.split("\n") if "pickle.loads(" in line]
+    return {"reviews": found, "batch_summary": ""}
+
+
 _COUNTED = "SELECT repo, batch_id, count(*) AS n FROM batches_v GROUP BY repo, batch_id"
 
 
@@ -465,6 +481,27 @@ def _(spark, sf):
     return found.select("repo", "path", F.md5("content").alias("digest"))
 
 
+@query("scan_reviewed", f"""
+    SELECT repo, path AS file_path, name AS function_name FROM expected_v
+    WHERE contains({_cut_sql("code")}, 'pickle.loads(')""")
+def _(spark, sf):
+    """A scan with a reviewer of its own, which sees prompts, in which long code is cut."""
+    found = scan(read(spark, sf, "files_v", spread=True), reviewer=ruling_reviewer).findings
+    return found.select("repo", "file_path", "function_name")
+
+
+@query("observed_progress", f"""
+    SELECT count(*) FILTER (batch_id % 7 <> 3) AS done, count(*) FILTER (batch_id % 7 = 3) AS failed
+    FROM ({_COUNTED}) b""")
+def _(spark, sf):
+    """Counts taken while reviewed batches are written."""
+    progress = Observation("progress")
+    reviewed = review.review_batches(prompts.build_prompts(batches(spark, sf)), counting_reviewer)
+    observe_progress(reviewed, progress).write.parquet(fresh_path(spark, "observed"))
+    return spark.createDataFrame([(progress.get["done"], progress.get["failed"])],
+                                 "done long, failed long")
+
+
 @query("read_tree", """
     SELECT path, md5(content) AS digest FROM files_v WHERE doc_id % 7 <> 4 AND t <> 8""")
 def _(spark, sf):
