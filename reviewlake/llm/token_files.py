@@ -30,17 +30,38 @@ from .tables import map_arrow
 END_ID = 0
 MEMO_PIECES = 800_000  # pieces a Python worker remembers; then it starts afresh
 SPACE = "\u0120"  # how byte-level vocabularies write the byte 0x20
-MEMO_CHARS = 40
+MEMO_CHARS = 32 << 20  # and their characters
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 1000
 
 
-# a space at an end of the text or beside other white space: not a cut
-_NOT_LONE = re.compile(r"^ |\s | \s| $")
+# white space that a cut at every space could not tell from a lone one
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _cut(text: str) -> list[str] | None:
+    """`text` at its spaces if every one is lone, else None."""
+    if " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        return None
+    parts = text.split(" ")
+    return None if "" in parts and text else parts
+
+
+class _Places(dict):
+    """Numbers of pieces; an unknown piece gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = at = len(self)
+        return at
 
 
 class Encoder:
-    """A tokenizer that remembers short pieces.
+    """A tokenizer that remembers pieces, kept without their leading space.
 
     New pieces are encoded in one call, as one text. Inside a piece only its first byte is a
     space, so the tokens that begin with one show where each piece begins.
@@ -58,57 +79,43 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}  # piece without its leading space
-        self.heads: dict[str, np.ndarray] = {}  # first piece of a text
+        self.places = _Places()
         self.flat = np.empty(1 << 20, np.int32)
         self.bounds = np.zeros(1 << 18, np.int64)
+        self.chars = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if len(self.places) > MEMO_PIECES:
+        if len(self.places) > MEMO_PIECES or self.chars > MEMO_CHARS:
             self._forget()
-        cut = [None if any(t in text for t in self.added) or _NOT_LONE.search(text)
-               else text.split(" ") for text in texts]
-        get = self.places.get
-        new = {p for parts in cut if parts for p in parts[1:]
-               if get(p) is None and len(p) <= MEMO_CHARS}
-        self._learn(new)
-        return [self._whole(text) if parts is None else self._join(parts)
-                for text, parts in zip(texts, cut)]
-
-    def _join(self, parts: list[str]) -> np.ndarray:
-        head = self.heads.get(parts[0])
-        if head is None:
-            head = self._whole(parts[0])
-            if len(parts[0]) <= MEMO_CHARS:
-                self.heads[parts[0]] = head
-        places = list(map(self.places.get, parts[1:]))
-        if None not in places:
-            return np.concatenate((head, self._gather(places)))
-        out, begin = [head], 0
-        for i, at in enumerate(places):  # long pieces are encoded where they stand
-            if at is None:
-                out += [self._gather(places[begin:i]), self._whole(" " + parts[i + 1])]
-                begin = i + 1
-        return np.concatenate([*out, self._gather(places[begin:])])
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
-                        np.int32)
-
-    def _learn(self, new: set[str]) -> None:
+        place, cut = self.places.__getitem__, []
+        for text in texts:
+            parts = None if any(t in text for t in self.added) else _cut(text)
+            cut.append(parts and (parts[0], list(map(place, parts[1:]))))
+        self._learn()
+        heads = self.tokenizer.encode_batch_fast(
+            [text if parts is None else parts[0] for text, parts in zip(texts, cut)],
+            add_special_tokens=False)
+        heads = [np.array(h.ids, np.int32) for h in heads]
+        return [head if parts is None else np.concatenate((head, self._gather(parts[1])))
+                for head, parts in zip(heads, cut)]
+
+    def _learn(self) -> None:
+        """Encode the pieces that wait."""
+        new, self.places.new = self.places.new, []
         if not new:
             return
-        known = len(self.places)
-        new = list(new)
-        ids = self._whole(" " + " ".join(new))
+        joined = " " + " ".join(new)
+        self.chars += len(joined)
+        ids = np.array(self.tokenizer.encode_batch_fast(
+            [joined], add_special_tokens=False)[0].ids, np.int32)
         begins = np.flatnonzero(self.spaced[ids])
-        begin = int(self.bounds[known])
-        self.flat = _room(self.flat, begin + len(ids))
-        self.flat[begin:begin + len(ids)] = ids
-        self.bounds = _room(self.bounds, known + len(new) + 1)
-        self.bounds[known + 1:known + len(new) + 1] = begin + np.append(begins[1:], len(ids))
-        self.places.update(zip(new, range(known, known + len(new))))
+        known = len(self.places) - len(new)
+        at = int(self.bounds[known])
+        self.flat = _room(self.flat, at + len(ids))
+        self.flat[at:at + len(ids)] = ids
+        self.bounds = _room(self.bounds, len(self.places) + 1)
+        self.bounds[known + 1:len(self.places) + 1] = at + np.append(begins[1:], len(ids))
 
     def _gather(self, places: list[int]) -> np.ndarray:
         at = np.array(places, np.int64)
@@ -158,13 +165,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("file"),
-                     pa.array(before + ends - lengths),
+                     pa.array(before + ends - lengths), pa.array(lengths),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["doc_id", "file", "start_in_file", "ids"])
+                    names=["doc_id", "file", "start_in_file", "n_ids", "ids"])
                 before += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = dealt.mapInArrow(run, f"doc_id {kind}, file int, start_in_file long, ids array<int>")
+    rows = dealt.mapInArrow(
+        run, f"doc_id {kind}, file int, start_in_file long, n_ids long, ids array<int>")
     (rows.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.row.index.stride", INDEX_STRIDE)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
@@ -174,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows of `write_tokens`; a filter on doc_id reads only stripes that may hold it."""
     return spark.read.schema(
-        "doc_id long, file int, start_in_file long, ids array<int>").orc(path)
+        "doc_id long, file int, start_in_file long, n_ids long, ids array<int>").orc(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -184,18 +192,18 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
     def digest(cols):
         lists = cols["ids"]
-        values = lists.values.to_numpy().astype("<u4")
+        values = lists.values.to_numpy().view("<u4")
         ends = lists.offsets.to_numpy()
         return {"doc_id": cols["doc_id"], "file": cols["file"],
                 "start_in_file": cols["start_in_file"], "n_tokens": np.diff(ends),
                 "ids_crc32": [zlib.crc32(values[a:b]) for a, b in
                               zip(ends[:-1].tolist(), ends[1:].tolist())]}
 
-    rows = map_arrow(read_tokens(spark, path),
+    files = read_tokens(spark, path)
+    rows = map_arrow(files.drop("n_ids"),
                      "doc_id long, file int, start_in_file long, n_tokens long, ids_crc32 long",
                      digest)
-    sizes = (spark.read.schema("file int, start_in_file long, ids array<int>").orc(path)
-             .groupBy("file").agg(F.max(F.col("start_in_file") + F.size("ids")).alias("_ids")))
+    sizes = files.groupBy("file").agg(F.sum("n_ids").alias("_ids"))
     before = F.sum("_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("file", F.coalesce(before, F.lit(0)).alias("_before"))
     return rows.join(offsets, "file").select(
