@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ast
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,24 @@ def test_script_definitions():
     assert code["load"].startswith("static async load") and code["Comp"].endswith("</div>;\n}")
 
 
+def test_comments_of_any_length_hide_nothing():
+    note = "/*" + "x" * 500 + "*/"
+    found = [(d["name"], d["type"]) for d in js_definitions(
+        f"const {note} h = (x) => 1;\nconst k = {note} class Foo {{ a() {{}} }};\n"
+        f"let q = b {note} / 2; function g() {{ return 1 / 2; }}\n"
+        f"function r() {{ return {note} /[{{'\"]/.test(y); }}\nfunction s() {{}}")]
+    assert found == [("h", "function"), ("a", "method"), ("g", "function"), ("r", "function"),
+                     ("s", "function")]
+
+
+def test_a_long_list_of_declarators_takes_linear_time():
+    source = "var " + ",\n ".join(f"f{i} = function () {{ return {i}; }}" for i in range(20_000))
+    began = time.process_time()
+    found = list(js_definitions(source + ";"))
+    assert [d["line_number"] for d in found] == list(range(1, 20_001))
+    assert time.process_time() - began < 5
+
+
 def test_script_blocks_carry_their_language(spark):
     source = "function a() {}\nclass B { c() {} }\n"
     df = files(spark, a_DOT_js=source, b_DOT_ts=source, c_DOT_tsx=source, d_DOT_py="def p(): pass")

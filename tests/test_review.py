@@ -128,6 +128,25 @@ def test_a_hit_belongs_to_the_innermost_definition(spark):
     assert [(r.function_name, r.line_number) for r in found] == [("inner", 4)]
 
 
+def test_every_match_in_whole_code_is_found(spark):
+    code = "os.system(a)\nos.system(b); os.system(c)\n" + "x = 1\n" * 4000 + "  os.system(d)\n"
+    df = spark.createDataFrame([("r", "f.py", "f", 10, 0, code, "python")], "repo string, "
+                               "file_path string, name string, line_number int, ord int, "
+                               "code string, language string")
+    found = review.review_rules(df).orderBy("line_number").collect()
+    assert [(f.line_number, f.vulnerable_snippet) for f in found] == [
+        (10, "os.system(a)"), (11, "os.system(b); os.system(c)"), (4012, "os.system(d)")]
+
+
+def test_clean_repos_stay(spark):
+    late = "def f(c):\n" + "    x = 1\n" * 2000 + "    os.system(c)\n"
+    rows = [("broken", "a.py", b"def ("), ("empty", "a.py", b"x = 1"), ("notes", "a.md", b"text"),
+            ("late", "a.py", late.encode())]
+    result = scan(spark.createDataFrame(rows, FILES))
+    assert {r.repo: (r.findings, r.score) for r in result.health.collect()} == {
+        "broken": (0, 100), "empty": (0, 100), "notes": (0, 100), "late": (1, 76)}
+
+
 def test_scan_end_to_end(spark, golden):
     bad = spark.createDataFrame([("r", "x.py", b"def (:"), ("clean", "a.py", b"def f(): pass")], FILES)
     result = scan(golden.union(bad))
