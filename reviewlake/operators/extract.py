@@ -115,11 +115,17 @@ def extract_definitions(files: DataFrame) -> DataFrame:
     return sources.mapInArrow(run, DEFINITIONS)
 
 
-def drop_dunder(df: DataFrame, name: str = "name", when: Column | None = None) -> DataFrame:
-    """Drop double-underscore names other than __init__, in rows where `when` holds."""
+def is_dunder(name: str = "name") -> Column:
+    """Double-underscore names other than __init__."""
     col = F.col(name)
-    dunder = col.startswith("__") & col.endswith("__") & (col != "__init__")
-    return df.filter(~(dunder if when is None else dunder & when))
+    return col.startswith("__") & col.endswith("__") & (col != "__init__")
+
+
+def is_block() -> Column:
+    """Definitions that go to review; False for the rows of files that could not be parsed."""
+    hidden = is_dunder() & (F.col("language") == "python")
+    return F.coalesce(F.col("error").isNull() & F.col("reviewable") & (F.length("code") > 0)
+                      & ~hidden, F.lit(False))
 
 
 def truncate_code(df: DataFrame, max_len: int = MAX_CODE_LENGTH) -> DataFrame:
@@ -133,11 +139,7 @@ def to_blocks(definitions: DataFrame) -> DataFrame:
 
     Code is whole; a prompt that has to be short gets it through `truncate_code`.
     """
-    kept = definitions.filter(
-        F.col("error").isNull() & F.col("reviewable") & (F.length("code") > 0)
-    )
-    kept = drop_dunder(kept, when=F.col("language") == "python")
-    renamed = kept.withColumnRenamed("path", "file_path")
+    renamed = definitions.filter(is_block()).withColumnRenamed("path", "file_path")
     return renamed.select(*BLOCK_COLUMNS, "ord")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 from typing import Any, NamedTuple
@@ -101,6 +101,19 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     is cut or moved, and code itself is never shuffled. A regular expression runs only on code of
     its language that contains one of its needles.
     """
+    carried = ["repo", "file_path", "name", "line_number", "ord"]
+    carried += ["batch_id"] if "batch_id" in blocks.columns else []
+    return hit_findings(rule_hits(blocks, carried, rules), rules)
+
+
+def rule_hits(blocks: DataFrame, carried: Sequence[str], rules: tuple[Rule, ...] = RULES,
+              outer: bool = False) -> DataFrame:
+    """A row per match: the columns `carried` and _rule, _line, _snippet.
+
+    With `outer`, blocks without a match keep one row, with nulls, and `_first` marks one row of
+    every block: the table then stands for the blocks as well, without their code.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
     clean = scrub(blocks).withColumn("_lowered", F.lower("code"))
     hit = [
         F.when(
@@ -110,7 +123,7 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
             F.lit(i))
         for i, r in enumerate(rules)
     ]
-    matched = clean.withColumn("_rule", F.explode(F.array_compact(F.array(*hit))))
+    matched = clean.select("*", explode(F.array_compact(F.array(*hit))).alias("_nth", "_rule"))
     pieces, hits = None, None
     for i, r in enumerate(rules):
         here = F.col("_rule") == i
@@ -122,21 +135,26 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         length(p) AS p, coalesce(length(h), 0) AS h)), struct(array(0) AS ends, 0 AS at),
         (s, x) -> struct(concat(s.ends, array(s.at + x.p)) AS ends, s.at + x.p + x.h AS at)).ends,
         2, size(_hits))""")
-    placed = (
+    first = (F.coalesce("_nth", F.lit(0)) == 0) & (F.coalesce("_mth", F.lit(0)) == 0)
+    return (
         matched.withColumns({"_pieces": pieces, "_hits": hits})
-        .withColumn("_start", F.explode(starts))
+        .select("*", explode(starts).alias("_mth", "_start"))
         .withColumn("_before", F.expr("left(code, _start)"))
         .select(
-            "repo", "file_path", "name", "line_number", "ord", "_rule", "_start",
-            *(["batch_id"] if "batch_id" in blocks.columns else []),
+            *carried, "_rule", *([first.alias("_first")] if outer else []),
             (F.col("line_number") + F.regexp_count("_before", F.lit("\n"))).cast("int")
             .alias("_line"),
             F.concat(F.substring_index("_before", "\n", -1), F.substring_index(
                 F.expr("substring(code, _start + 1)"), "\n", 1)).alias("_snippet"))
     )
+
+
+def hit_findings(placed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of the rows of `rule_hits`, each kept once, for the innermost definition."""
     carried = [c for c in ("name", "ord", "batch_id", "_snippet") if c in placed.columns]
     innermost = F.max_by(F.struct(*carried), F.struct("line_number", "ord")).alias("_block")
-    kept = placed.groupBy("repo", "file_path", "_rule", "_line").agg(innermost)
+    kept = placed.where(F.col("_rule").isNotNull()).groupBy(
+        "repo", "file_path", "_rule", "_line").agg(innermost)
 
     def per_rule(value: Callable[[Rule], Any]):
         return F.get(F.array(*[F.lit(value(r)) for r in rules]), F.col("_rule"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.tokens import with_tokens
 from ..operators import batching, extract, findings, health, prompts
 from ..operators.call_graph import latest_calls, with_call_context
-from ..operators.review import Reviewer, batch_errors, parse_reports, review_batches, review_rules
+from ..operators.review import (
+    Reviewer, batch_errors, hit_findings, parse_reports, review_batches, rule_hits)
 from ..session import materialize
 
 _PLACE = ["repo", "file_path", "file_ord"]
@@ -32,30 +33,40 @@ def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: i
     """Parse once, pack, review, score every repo of `files`.
 
     All batches are reviewed unless a caller asks for the first `max_batches` per repo, or as many
-    as `targets(repo, max_batches)` says. Definitions are written once, since blocks, call edges
-    and errors all come from that parse. Packing and call context work on rows without code. The
-    built-in rules read whole code where it lies; only a reviewer of one's own moves it, to its
-    place and then into its prompt, of which a block takes at most `max_code` characters. Tokens
-    are those of prompts. `feedback(repo, finding_key, verdict)` holds latest verdicts.
+    as `targets(repo, max_batches)` says. Files are parsed once. The built-in rules read whole code
+    in that pass, and what is written of a definition is its place, its tokens and its hits; only a
+    reviewer of one's own has code written, moved to its place and then into its prompt, of which
+    a block takes at most `max_code` characters. Tokens are those of prompts. Packing and call
+    context work on rows without code. `feedback(repo, finding_key, verdict)` holds latest
+    verdicts.
     """
-    definitions = materialize(extract.extract_definitions(files), "definitions")
-    blocks = extract.to_blocks(definitions)
+    definitions = extract.extract_definitions(files)
+    if reviewer is None:
+        parsed = materialize(_without_code(definitions, max_code), "definitions")
+        blocks = parsed.where("_block")
+        definitions, tokens = parsed.where("_first"), blocks.where("_first")
+    else:
+        definitions = materialize(definitions, "definitions")
+        blocks = extract.to_blocks(definitions)
+        shown = extract.truncate_code(blocks, max_code)
+        tokens = with_tokens(shown)
     if languages is not None:
-        blocks = blocks.filter(F.col("language").isin(*languages))
-    shown = extract.truncate_code(blocks, max_code)
-    packed = pack(shown, max_tokens)
+        wanted = F.col("language").isin(*languages)
+        blocks, tokens = blocks.filter(wanted), tokens.filter(wanted)
+    packed = pack(tokens, max_tokens)
     used = packed
     if max_batches is not None or targets is not None:
         used = batching.cap_batches(packed, max_batches, targets)
     errors = None
     if reviewer is None:
-        found = review_rules(blocks).withColumnRenamed("block_ord", "file_ord").join(
+        found = hit_findings(blocks).withColumnRenamed("block_ord", "file_ord").join(
             used.select(*_PLACE, "ord", "batch_id"), _PLACE)
         place = F.struct("ord", "line_number", "rule")
         found = found.withColumn("pos", place).drop("file_ord", "ord", "rule")
     else:
         graph = latest_calls(extract.to_calls(definitions))
-        code = shown.withColumnRenamed("ord", "file_ord")
+        code = shown if languages is None else shown.filter(wanted)
+        code = code.withColumnRenamed("ord", "file_ord")
         placed = code.join(with_call_context(used, graph).drop("name", "language"), _PLACE)
         reports = materialize(review_batches(prompts.build_prompts(placed), reviewer), "reports")
         found, errors = parse_reports(reports)[0], batch_errors(reports)
@@ -67,9 +78,23 @@ def scan(files: DataFrame, max_tokens: int = batching.MAX_TOKENS, max_batches: i
     return Scan(extract.parse_errors(definitions), packed, found, errors, scored)
 
 
-def pack(blocks: DataFrame, max_tokens: int = batching.MAX_TOKENS) -> DataFrame:
-    """Order, token count and batch of each block, without its code."""
-    slim = with_tokens(blocks).select("repo", "language", "file_path", "name", "ord", "tokens")
+def _without_code(definitions: DataFrame, max_code: int) -> DataFrame:
+    """Definitions and files that could not be parsed, with tokens and rule hits instead of code.
+
+    `_block` marks what goes to review, `_first` one row of each definition.
+    """
+    rows = definitions.withColumn("file_path", F.col("path"))
+    counted = with_tokens(extract.truncate_code(rows.withColumn("_whole", F.col("code")), max_code))
+    counted = counted.withColumns({"code": F.col("_whole"), "_block": extract.is_block()})
+    carried = ["repo", "path", "file_path", "language", "reviewable", "error", "name",
+               "line_number", "ord", "tokens", "_block"]
+    reviewed = counted.withColumn("code", F.when(F.col("_block"), F.col("code")))
+    return rule_hits(reviewed, carried, outer=True)
+
+
+def pack(tokens: DataFrame, max_tokens: int = batching.MAX_TOKENS) -> DataFrame:
+    """Order and batch of each block, from rows with their tokens."""
+    slim = tokens.select("repo", "language", "file_path", "name", "ord", "tokens")
     ordered = extract.order_blocks(slim.withColumn("file_ord", F.col("ord")))
     return batching.assign(ordered, max_tokens)
 

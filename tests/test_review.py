@@ -9,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Observation
 
+from reviewlake import session
 from reviewlake.functions.cwe import with_cwe
 from reviewlake.operators import extract, recall, review
 from reviewlake.operators.findings import by_function
@@ -169,6 +170,18 @@ def finding(**changes):
             "impact": "i", "confidence_score": 90, "needs_verification": True, **changes}
 
 
+def test_a_scan_writes_no_code(spark, tmp_path, monkeypatch):
+    """Nested definitions repeat their text; what a scan writes stays below what it reads."""
+    depth = 12
+    body = "".join("    " * i + f"def f{i}():\n" for i in range(depth))
+    rows = [("r", f"{i}.py", (body + "    " * depth + f"x = '{i}" + "ab" * 4000 + "'\n").encode())
+            for i in range(60)]
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    scan(spark.createDataFrame(rows, FILES)).health.collect()
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert 0 < written < sum(len(c) for _, _, c in rows)
+
+
 def test_scan_with_a_reviewer_of_ones_own(spark, golden):
     result = scan(golden, max_tokens=60, max_batches=3, reviewer=one_per_block)
     assert result.batch_errors.count() == 0
