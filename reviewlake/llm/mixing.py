@@ -181,8 +181,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id are taken alike, as often as the one taken most.
     """
     copies = (mix(docs, id_col, text_col, source_col).where("copies > 0")
-              .groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-              .withColumnRenamed("doc_id", "_id"))
-    return (docs.join(copies, docs[id_col].eqNullSafe(F.col("_id")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*docs.columns))
+              .groupBy("doc_id").agg(F.max("copies").alias("copies")))
+    rows = docs.select(docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns])
+                       .alias("row"))  # in a struct no column of theirs can clash
+    return (rows.join(copies, rows.id.eqNullSafe(copies.doc_id))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select("row.*"))
