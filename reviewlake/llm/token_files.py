@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .tables import map_arrow
 
 END_ID = 0
-MEMO_PIECES = 800_000  # pieces a Python worker remembers; then it starts afresh
+MEMO_PIECES = 400_000  # pieces a Python worker remembers; then it starts afresh
 SPACE = "\u0120"  # how byte-level vocabularies write the byte 0x20
 MEMO_CHARS = 32 << 20  # and their characters
 STRIPE_BYTES = 64 << 20
@@ -191,6 +191,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     start counts the ids of all documents before it. Only one row per file meets in one task.
     """
     def digest(cols):
+        encoder.cache_clear()  # of the task that wrote; its worker needs the memory here
         lists = cols["ids"]
         values = lists.values.to_numpy().view("<u4")
         ends = lists.offsets.to_numpy()
