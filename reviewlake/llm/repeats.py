@@ -169,8 +169,8 @@ def suffix_ranks(data: bytes, length: int = LENGTH) -> np.ndarray:
 
 def _with_bytes(contexts: DataFrame, docs: DataFrame) -> DataFrame:
     """Contexts (gram, context, key, first, last, at) with their bytes, cut from the texts."""
-    wanted = contexts.groupBy("key").agg(F.collect_list(F.struct(
-        "gram", "context", "first", "last", "at")).alias("wanted"))
+    wanted = stage(contexts.groupBy("key").agg(F.collect_list(F.struct(
+        "gram", "context", "first", "last", "at")).alias("wanted")), "wanted")
     cut = F.transform("wanted", lambda w: F.struct(
         w.gram.alias("gram"), w.context.alias("context"), w.first.alias("first"),
         (w.at - w.first).alias("reach"),
@@ -251,7 +251,8 @@ def _spread(contexts: DataFrame) -> DataFrame:
 
     rows = stage(contexts.dropDuplicates(["gram", "context"]).mapInArrow(
         run, "key binary, gram long, rank long, first int"), "suffixes")
-    twice = rows.groupBy("gram", "rank").agg(F.count("*").alias("_n")).where("_n > 1")
+    twice = stage(rows.groupBy("gram", "rank").agg(F.count("*").alias("_n")).where("_n > 1"),
+                  "twice")
     return rows.join(twice, ["gram", "rank"], "left_semi").select(
         "key", "first", F.col("first").alias("last"))
 
@@ -262,10 +263,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     `docs` has (key, text): the digest of a text and its bytes.
     """
     found = stage(_occurrences(docs), "samples")
-    shared = (found.groupBy("gram").agg(F.count("*").alias("_n"), F.min("context").alias("_low"),
-                                        F.max("context").alias("_high")).where("_n > 1"))
-    met = stage(found.join(shared.select("gram", (F.col("_low") == F.col("_high")).alias("alike")),
-                           "gram"), "shared")
+    # small sides of joins are written first: only then may Spark split a hot key of the other
+    shared = stage(
+        found.groupBy("gram").agg(F.count("*").alias("_n"), F.min("context").alias("_low"),
+                                  F.max("context").alias("_high")).where("_n > 1")
+        .select("gram", (F.col("_low") == F.col("_high")).alias("alike")), "grams")
+    met = stage(found.join(shared, "gram"), "shared")
     whole = met.where("alike").select("key", "first", "last")
     mixed = met.where("not alike")
     contexts = stage(mixed.groupBy("gram", "context").agg(
