@@ -93,12 +93,13 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(utf8(html_col), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload")})
-    firsts = (pages.select(F.col(id_col).alias("page_id"),
+    # written first, so that Spark may split a hot digest of the join below
+    firsts = stage(pages.select(F.col(id_col).alias("page_id"),
                            F.coalesce(utf8(html_col), F.lit(b"")).alias("payload"))
               .where(F.length("payload") >= LEAST_REVISIT)
               .groupBy(F.sha2("payload", 256).alias("digest"))
               .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-              .where("_n > 1").drop("_n"))
+              .where("_n > 1").drop("_n"), "firsts")
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "payload", "digest", "size",
         F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
