@@ -168,7 +168,10 @@ def suffix_ranks(data: bytes, length: int = LENGTH) -> np.ndarray:
 
 
 def _with_bytes(contexts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Contexts (gram, context, key, first, last, at) with their bytes, cut from the texts."""
+    """Contexts (gram, context, key, first, last, at) with their bytes, cut from the texts.
+
+    Copies of a text give the same context again; tasks drop repeats before they send them.
+    """
     wanted = stage(contexts.groupBy("key").agg(F.collect_list(F.struct(
         "gram", "context", "first", "last", "at")).alias("wanted")), "wanted")
     cut = F.transform("wanted", lambda w: F.struct(
@@ -176,7 +179,7 @@ def _with_bytes(contexts: DataFrame, docs: DataFrame) -> DataFrame:
         (w.at - w.first).alias("reach"),
         F.substring(F.col("text"), w.first + 1, w.last - w.first + LENGTH).alias("bytes")))
     return (docs.join(wanted, "key").select("key", F.explode(cut).alias("c"))
-            .select("key", "c.*"))
+            .select("key", "c.*").dropDuplicates(["gram", "context"]))
 
 
 def _windows(batch: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,13 +200,7 @@ def _in_buckets(contexts: DataFrame) -> DataFrame:
     """(key, first, last): ranges of suffixes that occur twice in the bucket of their gram."""
     def compared(rows: dict) -> pa.RecordBatch:
         row, place, rank = _windows(rows)
-        # copies of a text bring the same context again: it counts once
-        gram, context = np.array(rows["gram"]), np.array(rows["context"])
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-        row_new = new[row]
-        row, place, rank = row[row_new], place[row_new], rank[row_new]
-        rank = _stir(rank ^ gram.astype(np.int64).view(np.uint64)[row])
+        rank = _stir(rank ^ np.array(rows["gram"], np.int64).view(np.uint64)[row])
         order = np.argsort(rank, kind="stable")
         same = rank[order][1:] == rank[order][:-1]
         twice = np.zeros(len(rank), bool)
@@ -230,7 +227,7 @@ def _in_buckets(contexts: DataFrame) -> DataFrame:
         if held:
             yield compared({n: [h[n] for h in held] for n in held[0]})
 
-    return (contexts.repartition("gram").sortWithinPartitions("gram", "context")
+    return (contexts.repartition("gram").sortWithinPartitions("gram")
             .mapInArrow(run, "key binary, first int, last int"))
 
 
@@ -249,7 +246,7 @@ def _spread(contexts: DataFrame) -> DataFrame:
                      pa.array((np.array(rows["first"])[row] + place).astype(np.int32))],
                     names=["key", "gram", "rank", "first"])
 
-    rows = stage(contexts.dropDuplicates(["gram", "context"]).mapInArrow(
+    rows = stage(contexts.mapInArrow(
         run, "key binary, gram long, rank long, first int"), "suffixes")
     twice = stage(rows.groupBy("gram", "rank").agg(F.count("*").alias("_n")).where("_n > 1"),
                   "twice")
