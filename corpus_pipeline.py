@@ -14,6 +14,8 @@ from reviewlake.llm import decontaminate, language, mixing, simhash, token_files
 from reviewlake.llm.queries import TOKENIZER, Query
 from reviewlake.llm.tables import fresh_folder, held_out, read, stage
 
+MEMO_PIECES = 400_000  # workers hold memory of earlier stages too
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and (doc_id, start, n_tokens, ids_crc32) read back from them."""
     path = fresh_folder(spark, "tokens")
-    token_files.write_tokens(docs, path, TOKENIZER)
-    return token_files.token_index(spark, path)
+    token_files.write_tokens(docs, path, TOKENIZER, memo=MEMO_PIECES)
+    return token_files.token_index(spark, path, release=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

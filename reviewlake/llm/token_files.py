@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .tables import map_arrow
 
 END_ID = 0
-MEMO_PIECES = 400_000  # pieces a Python worker remembers; then it starts afresh
+MEMO_PIECES = 800_000  # pieces a Python worker remembers; then it starts afresh
 SPACE = "\u0120"  # how byte-level vocabularies write the byte 0x20
 MEMO_CHARS = 32 << 20  # and their characters
 STRIPE_BYTES = 64 << 20
@@ -67,7 +67,8 @@ class Encoder:
     space, so the tokens that begin with one show where each piece begins.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
+        self.memo = memo or MEMO_PIECES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
@@ -86,7 +87,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if len(self.places) > MEMO_PIECES or self.chars > MEMO_CHARS:
+        if len(self.places) > self.memo or self.chars > MEMO_CHARS:
             self._forget()
         place, cut = self.places.__getitem__, []
         for text in texts:
@@ -126,9 +127,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int | None = None) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, memo)
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -138,12 +139,13 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
-                 text_col: str = "text", parts: int | None = None) -> None:
+                 text_col: str = "text", parts: int | None = None, memo: int | None = None) -> None:
     """Write one row (id, file, start_in_file, ids) per document as ORC files under `path`.
 
     Every document's ids end with END_ID; a null or empty text has that id alone. Rows with
     equal ids are neighbours in no defined order; rows with a null id come first. An empty table
-    gives files without rows. `tokenizer` is a file that executors can open.
+    gives files without rows. `tokenizer` is a file that executors can open,
+    and `memo` the number of pieces a Python worker remembers.
     """
     keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = (keys.repartitionByRange(parts, "doc_id") if parts else
@@ -151,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     dealt = dealt.sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoder(tokenizer).encode, 0
+        encode, before = encoder(tokenizer, memo).encode, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -185,13 +187,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         "doc_id long, file int, start_in_file long, n_ids long, ids array<int>").orc(path)
 
 
-def token_index(spark: SparkSession, path: str) -> DataFrame:
+def token_index(spark: SparkSession, path: str, release: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files.
 
     start counts the ids of all documents before it. Only one row per file meets in one task.
+    `release` gives up what workers remember from writing, where memory is short.
     """
     def digest(cols):
-        encoder.cache_clear()  # of the task that wrote; its worker needs the memory here
+        if release:
+            encoder.cache_clear()
         lists = cols["ids"]
         values = lists.values.to_numpy().view("<u4")
         ends = lists.offsets.to_numpy()
