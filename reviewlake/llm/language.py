@@ -149,8 +149,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(key_col), F.lit("language")), F.lit(1 << 40)).alias("_hash"))
     counts = stage(rows.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    # divided, not multiplied: a hash times a count of over 2**23 rows is no longer a long
     chosen = rows.join(counts, "lang").where(
-        F.col("_hash") * F.col("_n") < F.lit(float(per_language << 40)))
+        F.col("_hash") < F.lit(float(per_language << 40)) / F.col("_n"))
 
     def step(cols):
         found = [(lang, features(t)) for lang, t in zip(cols["lang"].to_pylist(),

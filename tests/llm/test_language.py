@@ -47,6 +47,16 @@ def test_nothing_to_learn_from(odd_docs, no_docs):
     assert one.predict("alpha") == ("en", 1.0)
 
 
+def test_a_language_of_many_rows(spark, monkeypatch):
+    """More labelled rows of one language than 2**23, above which hash times count is no long."""
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, labels: seen.extend(labels))
+    rows = spark.range(9_000_000).selectExpr(
+        "id AS doc_id", "if(id < 100, 'fr', 'en') AS lang", "'the cat sat' AS text")
+    language.train(rows)
+    assert 150 <= seen.count("en") <= 350 and seen.count("fr") == 100
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_svm_separates(seed):
     rng = np.random.default_rng(seed)
