@@ -6,8 +6,8 @@ most two substitutions holds at least one intact seed (`tolerance` checks that b
 no overlap within the tolerance is missed. Seeds of the test items meet those of all training
 texts in a hash join, and each hit is verified on the tokens around it.
 
-Everything is column expressions. Test items are broadcast only if their seeds are counted to be
-few; otherwise both sides are shuffled by seed.
+Everything is column expressions. A seed is a row of three numbers on either side; seeds of the test
+items are broadcast only if they are counted to be few, otherwise both sides are shuffled by seed.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ MASK = (0, 1, 3, 6, 7)
 SPAN = MASK[-1] + 1
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
-BROADCAST_SEEDS = 200_000  # a seed with its item's tokens is about 1 kB
+REACH = WINDOW - SPAN  # words on either side of a seed that a window with it may hold
+BROADCAST_SEEDS = 200_000  # rows of three numbers, 32 bytes each: at most 6.4 MB
 NO_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -52,15 +53,20 @@ def _seeds(words: str) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(words), i + m) for m in MASK]))
 
 
-def _item_seeds(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+def _seed_rows(of: str, at: str) -> Column:
+    """One row per seed of the words in `of`: its hash as `_seed`, its first position as `at`."""
+    return F.posexplode(_seeds(of)).alias(at, "_seed")
+
+
+def _searched(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(_no, item_id, _item, _window, _need): one row per item that is long enough, numbered."""
     least = F.least(F.size("_item"), F.lit(WINDOW))
     allowed = F.create_map(*[F.lit(x) for n in range(SPAN, WINDOW + 1)
                              for x in (n, tolerance(n))])
     return (items.select(F.col(item_col).alias("item_id"), tokens(text_col).alias("_item"))
             .where(F.size("_item") >= SPAN)
-            .select("item_id", "_item", least.alias("_window"),
-                    (least - allowed[least]).alias("_need"),
-                    F.posexplode(_seeds("_item")).alias("_item_at", "_seed")))
+            .select(F.monotonically_increasing_id().alias("_no"), "item_id", "_item",
+                    least.alias("_window"), (least - allowed[least]).alias("_need")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -72,28 +78,56 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     in a window. Items of fewer tokens than the mask spans are too short to tell a leak from
     chance and are not searched. Null texts hold no tokens; rows that repeat an id are one
     document; null ids come out as null. An empty table on either side gives no rows.
+
+    A hit takes with it only the few words around it. Where seeds are shuffled, they meet as
+    numbers only: seed, document and position against seed, item and position; the words are then
+    taken from a second read of the documents with hits.
     """
-    seeds = stage(_item_seeds(items, item_col, item_text), "seeds")
+    searched = stage(_searched(items, item_col, item_text), "items")
+    seeds = stage(searched.select("_no", _seed_rows("_item", "_item_at")), "seeds")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("_words"))
-    placed = words.select("doc_id", "_words", F.posexplode(_seeds("_words")).alias("_at", "_seed"))
-    hits = placed.join(seeds, "_seed").select("doc_id", "item_id", _best().alias("best_match"),
+        near = (texts.select("doc_id", tokens("_text").alias("_words"))
+                .select("doc_id", "_words", _seed_rows("_words", "_at"))
+                .join(F.broadcast(seeds), "_seed").select(*_around()))
+    else:
+        near = _met_by_shuffle(texts, seeds)
+    found = near.join(searched, "_no").select("doc_id", "item_id", _best().alias("best_match"),
                                               "_need")
-    return (hits.where(F.col("best_match") >= F.col("_need"))
+    return (found.where(F.col("best_match") >= F.col("_need"))
             .groupBy("doc_id", "item_id").agg(F.max("best_match").alias("best_match"))
             .withColumnRenamed("doc_id", id_col))
 
 
+def _around() -> list[Column]:
+    """The columns of a hit, with the words that a window of its item may hold there."""
+    first = F.greatest(F.col("_at") - REACH, F.lit(0))
+    return [F.col("doc_id"), F.col("_no"), F.col("_at"), F.col("_item_at"), first.alias("_first"),
+            F.slice("_words", first + 1, SPAN + 2 * REACH).alias("_near"),
+            F.size("_words").alias("_size")]
+
+
+def _met_by_shuffle(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Hits of any number of seeds. Texts with one key are verified each; equal ones hit alike."""
+    texts = texts.withColumn("_key", F.xxhash64("doc_id", "_text"))
+    placed = (texts.select("_key", tokens("_text").alias("_words"))
+              .select("_key", _seed_rows("_words", "_at")))
+    hits = stage(placed.join(seeds, "_seed").select("_key", "_at", "_no", "_item_at").distinct(),
+                 "hits")
+    words = (texts.join(hits.select("_key").distinct(), "_key", "left_semi")
+             .select("_key", "doc_id", tokens("_text").alias("_words")))
+    return words.join(hits, "_key").select(*_around())
+
+
 def _best() -> Column:
     """The most equal tokens in any window of the item that holds the seed and fits in both texts."""
     shift = F.col("_at") - F.col("_item_at")  # from item positions to document positions
     window = F.col("_window")
     first = F.greatest(F.col("_item_at") + SPAN - window, -shift, F.lit(0))
-    last = F.least(F.col("_item_at"), F.size("_item") - window, F.size("_words") - shift - window)
+    last = F.least(F.col("_item_at"), F.size("_item") - window, F.col("_size") - shift - window)
     equal = F.transform(
         F.sequence(first, last + window - 1),
-        lambda t: (F.get("_words", shift + t) == F.get("_item", t)).cast("int"))
+        lambda t: (F.get("_near", shift + t - F.col("_first")) == F.get("_item", t)).cast("int"))
     counts = F.transform(F.sequence(first, last), lambda a: F.aggregate(
         F.slice(equal, a - first + 1, window), F.lit(0), lambda s, x: s + x))
     return F.when(first <= last, F.array_max(counts)).otherwise(0)

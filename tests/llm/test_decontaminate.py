@@ -74,3 +74,41 @@ def test_a_long_text(spark):
     passage = " ".join(f"w{i}" for i in range(14))
     docs, items = frames(spark, [(1, "filler " * 300_000 + passage)], [(7, passage)])
     assert [tuple(r) for r in dc.leaks(docs, items).collect()] == [(1, 7, 13)]
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_shuffled_seeds_carry_no_words(spark, monkeypatch):
+    """Past the broadcast the bytes shuffled are in proportion to the words, not to their square."""
+    text = [f"word{i}" for i in range(4000)]
+    docs, items = frames(spark, [(1, " ".join(text)), (2, " ".join(text[:20])), (3, "x")],
+                         [(7, " ".join(text[3000:3050])), (8, " ".join(text[5:19]))])
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        got = {tuple(r) for r in dc.leaks(docs, items).collect()}
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, 7, 13), (1, 8, 13), (2, 8, 13)}
+    assert 0 < moved < 1_000_000, moved
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("key", [None, 5])
+def test_texts_of_one_id(spark, monkeypatch, key, broadcast):
+    """Texts that share an id, or have none, are each searched; item rows that share one as well."""
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", broadcast)
+    parts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    docs, items = frames(spark, [(key, parts[0]), (key, parts[1]), (key, parts[1]), (6, "x")],
+                         [(1, parts[0]), (2, parts[1]), (2, parts[2]), (None, parts[1])])
+    got = sorted((tuple(r) for r in dc.leaks(docs, items).collect()), key=str)
+    assert got == sorted([(key, 1, 13), (key, 2, 13), (key, None, 13)], key=str)
