@@ -52,6 +52,7 @@ class Line(NamedTuple):
     tags: int
     container: int  # number of the nearest container
     article: int  # number of the outermost article or main element; 0 outside
+    hints: tuple[int, ...]  # numbers of the block elements around it that a hint names
 
 
 class _Lines(HTMLParser):
@@ -60,18 +61,19 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, hides, container, article
+        self.open: list[tuple] = []  # tag, hides, container, article, hints
+        self.layout: set[int] = set()  # elements with a hint that hold a main element
         self.parts: list[str] = []
         self.tags, self.elements = 0, 0
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+    def _state(self) -> tuple[bool, int, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, ())
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        hides, container, article = self._state()
+        hides, container, article, hints = self._state()
         if text and not hides:
-            self.lines.append(Line(text, max(self.tags, 1), container, article))
+            self.lines.append(Line(text, max(self.tags, 1), container, article, hints))
         self.parts.clear()
         self.tags = 0
 
@@ -85,14 +87,19 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        hides, container, article = self._state()
+        hides, container, article, hints = self._state()
         self.elements += 1
         hides = hides or tag in SILENT or tag in ASIDE or self._aside(tag, attrs, article)
+        if self._hinted(tag, attrs):
+            hides = hides or tag not in BLOCKS
+            hints += (self.elements,)
+        if tag == "main" and not hides:
+            self.layout.update(hints)
         if tag in CONTAINERS:
             container = self.elements
         if tag in ("article", "main") and not article:
             article = self.elements
-        self.open.append((tag, hides, container, article))
+        self.open.append((tag, hides, container, article, hints))
 
     @staticmethod
     def _aside(tag: str, attrs, article: int) -> bool:
@@ -100,9 +107,14 @@ class _Lines(HTMLParser):
             return not article  # an article's own header holds its heading
         if tag in ("html", "body", "article", "main"):
             return False
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+                   for name, value in attrs)
+
+    @staticmethod
+    def _hinted(tag: str, attrs) -> bool:
+        if tag in ("html", "body", "article", "main", "header"):
+            return False
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
             if name in ("class", "id", "role") and value and not HINTS.isdisjoint(
                     re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
                 return True
@@ -154,7 +166,29 @@ def lines_of(html: str) -> list[Line]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    return parser.lines
+    return _shown(parser.lines, parser.layout)
+
+
+def _shown(lines: list[Line], layout: set[int]) -> list[Line]:
+    """The lines outside elements with a hint. One that holds a main element is page layout.
+
+    If no line is left, so are those around an article, else those with most of the text; if
+    there is none of these either, all lines stay.
+    """
+    shown = [line for line in lines if layout.issuperset(line.hints)]
+    if shown or not lines:
+        return shown
+    layout = layout | {h for line in lines if line.article for h in line.hints if h < line.article}
+    size: dict[int, int] = {}
+    for line in lines:
+        for h in line.hints:
+            size[h] = size.get(h, 0) + len(line.text)
+    most = {h for h, n in size.items() if 2 * n > sum(len(line.text) for line in lines)}
+    for kept in (layout, layout | most):
+        shown = [line for line in lines if kept.issuperset(line.hints)]
+        if shown:
+            return shown
+    return lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -38,6 +38,21 @@ def test_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='has-sidebar'><article><p>{LONG}</p><div class='share'>no</div></article></div>",
+     LONG),
+    (f"<p>Site</p><div class='content-sidebar-wrap'><main><p>{LONG}</p></main>"
+     "<div class='sidebar'>no</div></div>", LONG),
+    (f"<div id='search-results'><p>{LONG}</p><p>{LONG}</p><div class='menu'>no</div></div>",
+     f"{LONG}\n{LONG}"),
+    (f"<div class='no-comments'><p>{LONG}</p></div>", LONG),
+    (f"<div><p>{LONG}</p></div><div id='comments'><article>{LONG} no</article></div>", LONG),
+    (f"<article><p>{LONG} <span class='ad'>no</span></p></article>", LONG),
+])
+def test_hints_of_layout(page, text):
+    assert extract(page) == text
+
+
 def test_all_given_pages(spark, sf_dir):
     """Pages of the tables name their article; all of its blocks come out, and nothing else."""
     rows = main_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
