@@ -57,7 +57,7 @@ def type_differences(ours, con: duckdb.DuckDBPyConnection, sql: str) -> str:
 
 
 def main() -> None:
-    from conftest import make_session
+    from sessions import make_session
     from reviewlake.plans.queries import QUERIES
 
     sf_dir, names = sys.argv[1], sys.argv[2:]

@@ -1,38 +1,12 @@
 from __future__ import annotations
 
-import contextlib
 import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-
-
-def make_session() -> SparkSession:
-    spark = (
-        SparkSession.builder.master("local[8]").appName("reviewlake-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
-
-
-@contextlib.contextmanager
-def conf(spark, **settings):
-    settings = {k.replace("__", "."): str(v) for k, v in settings.items()}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
+from sessions import make_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

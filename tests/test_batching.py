@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import conf
 from reviewlake.operators import batching as b
+from sessions import conf
 
 
 def packed(tokens: list[int], limit: int) -> list[int]:

@@ -8,10 +8,10 @@ import io
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conftest import conf
 from reviewlake.operators import (
     call_graph, findings, health, history, positions, pull_requests)
 from reviewlake.sinks import reports
+from sessions import conf
 
 
 def plan_of(df) -> str:
