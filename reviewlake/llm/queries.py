@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    exact_dedup,
     language,
     main_text,
     mixing,
@@ -106,3 +107,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeats")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op12_exact_dedup", exact_dedup.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.equal_groups(read(spark, sf_dir, "documents"))
