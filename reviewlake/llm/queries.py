@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language,
     main_text,
     mixing,
@@ -112,3 +113,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_exact_dedup", exact_dedup.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)

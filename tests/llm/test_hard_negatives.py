@@ -1,0 +1,124 @@
+"""Hard negatives against scores of all pairs; the bounds against the scores they bound."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from reviewlake.llm import hard_negatives as h
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def plain(rows, k=5, percent=80):
+    """rows: (id, vector, label); anchors are ids divisible by 10."""
+    usable = {}
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(
+                x is None or not math.isfinite(x) for x in v):
+            continue
+        new = (label, [math.floor(256 * x) for x in v])
+        usable[i] = min(usable.get(i, new), new)
+    out = []
+    for a, (la, va) in usable.items():
+        if a % 10:
+            continue
+        scored = [(-sum(x * y for x, y in zip(va, vc)), c, lc) for c, (lc, vc) in usable.items()
+                  if c != a and len(vc) == len(va)]
+        scored.sort(key=lambda s: s[:2])
+        for p, pid, _ in [s for s in scored if s[2] == la][:k]:
+            fit = [(s, c) for s, c, lc in scored if lc != la and percent * -p <= 100 * -s <= 100 * -p]
+            out += [(a, pid, n + 1, c, -p, -s) for n, (s, c) in enumerate(fit[:k])]
+    return sorted(out)
+
+
+def mined(spark, rows, **options):
+    frame = spark.createDataFrame(rows, SCHEMA) if isinstance(rows, list) else rows
+    return sorted(tuple(r) for r in h.mine(frame, F.col("vec_id") % 10 == 0, **options).collect())
+
+
+def cloud(seed, n=300, dims=6, labels=4, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(labels, dims))
+    of = rng.integers(0, labels, n)
+    v = centres[rng.integers(0, labels, n)] * 0.5 + centres[of] + spread * rng.normal(
+        size=(n, dims))
+    return [(i, [float(x) for x in np.round(v[i], 2)], int(of[i])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 7, "slice_rows": 40}])
+def test_all_pairs(spark, seed, sizes):
+    rows = cloud(seed)
+    got = mined(spark, rows, **sizes)
+    assert got == plain(rows) and len(got) > 100
+
+
+def test_ties_and_copies(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)], rng.randrange(3))
+            for i in range(200)]
+    got = mined(spark, rows, slice_rows=32)
+    assert got == plain(rows) and len(got) > 100
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = cloud(4, 60, 3) + [
+        (None, [1.0, 1.0, 1.0], 1), (70, None, 1), (80, [1.0, 1.0, 1.0], None), (90, [], 1),
+        (91, [], 2), (100, [nan, 1.0, 1.0], 1), (110, [1.0, inf, 1.0], 2), (120, [None, 1.0, 1.0], 2),
+        (130, [1.0, 1.0], 1), (131, [1.0, 1.0], 1), (132, [1.0, 0.9], 2), (140, [-1.0, -2.0, 0.0], 9),
+        (150, [0.0, 0.0, 0.0], 7), (151, [0.0, 0.0, 0.0], 7), (152, [0.0, 0.0, 0.0], 8),
+        (20, [5.0, 5.0, 5.0], 3), (20, [5.0, 5.0, 5.0], 3), (21, [-9.0, 1.0, 1.0], 0)]
+    assert mined(spark, rows) == plain(rows)
+    assert mined(spark, rows[:0] or spark.createDataFrame([], SCHEMA)) == []
+    more = spark.createDataFrame(rows, SCHEMA).selectExpr(
+        "*", "1 AS id", "2 AS v", "3 AS slice", "4 AS block", "5 AS score")
+    assert mined(spark, more) == plain(rows)
+
+
+def test_large_components_stay_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-2e6, 2e6) for _ in range(8)], i % 2) for i in range(60)]
+    assert mined(spark, rows) == plain(rows)
+    assert mined(spark, rows + [(10, [1e300] * 8, 0), (61, [1e30] * 8, 1)]) == plain(rows)
+
+
+def test_bounds_hold_and_spare_scores():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-2000, 2000, (8, 16))
+    near = lambda n: centres[rng.integers(0, 8, n)] + rng.integers(-20, 20, (n, 16))
+    v, c = near(200), near(500)
+    order, parents, edges = h.spanning_tree(v)
+    assert sorted(order) == list(range(200)) and (parents[1:] < np.arange(1, 200)).all()
+    tree = h.Anchors(order, order, v[order], parents, edges)
+    norms = np.sqrt((c.astype(float) ** 2).sum(axis=1))
+    exact = v[order] @ c.T
+    floor = np.sort(exact, axis=1)[:, -20]
+    seen = np.zeros(exact.shape, bool)
+
+    def wanted(a, low, high):
+        assert (low <= exact[a]).all() and (exact[a] <= high).all()
+        return high >= floor[a]
+
+    def take(a, rows, scores):
+        seen[a, rows] = True
+        assert (scores == exact[a, rows]).all()
+
+    computed = h.scores_in_windows(tree, c, norms, wanted, take)
+    assert (seen | (exact < floor[:, None])).all()
+    assert computed < exact.size / 2
+    lengths = sum(edges[1:])
+    assert lengths < sum(np.sqrt(((v[1:] - v[0]) ** 2).sum(axis=1)))  # shorter than a star
+
+
+def test_windows():
+    for p in (-7, -1, 0, 1, 4, 5, 7, 99, 10**18):
+        low, high = h.window_below(p, 80)
+        for n in range(low - 2, low + 2):
+            assert (low <= n <= high) == (80 * p <= 100 * n <= 100 * p)
+    assert h.union([(5, 9), (1, 3), (3, 4), (20, 30)]) == [(1, 4), (5, 9), (20, 30)]
