@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    collocations,
     decontaminate,
     exact_dedup,
     hard_negatives,
@@ -121,3 +122,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn(
         "label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
