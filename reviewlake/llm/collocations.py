@@ -499,7 +499,7 @@ p AS (
         FROM t)),
 g AS (
   SELECT lang, k AS len, unnest(list_transform(range(1, len(w) - k + 2),
-    lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
   FROM p, (SELECT unnest(range(1, {LONGEST + 1})) AS k) WHERE len(w) >= k),
 f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY ALL),
 total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
@@ -509,14 +509,14 @@ cut AS (SELECT *, unnest(range(1, len)) AS k FROM c),
 s AS (
   SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r,
     CAST(({SCALE} * a::HUGEINT) // (x.f + y.f) AS BIGINT) AS score
-  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
-  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:len], ' ')
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(list_slice(w, k + 1, cut.len), ' ')
   QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, k) = 1),
 span AS (SELECT lang, a, len, w, unnest(range(2, len)) AS m FROM c),
 inside AS (
   SELECT lang, phrase, max(a) AS longer FROM (
     SELECT lang, a, unnest(list_transform(range(1, len - m + 2),
-      lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM span) GROUP BY ALL)
+      lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase FROM span) GROUP BY ALL)
 SELECT s.lang, row_number() OVER o AS rank, s.phrase, a, l, r, n, score
 FROM s JOIN total ON total.lang = s.lang
 LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
