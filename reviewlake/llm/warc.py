@@ -37,7 +37,9 @@ INDEX = ("page_id long, url string, digest string, record_type string, refers_to
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder given as a path or URI that pyarrow knows."""
-    if "://" in folder or folder.startswith("file:"):
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" in folder:
         return fs.FileSystem.from_uri(folder)
     return fs.LocalFileSystem(), folder
 
@@ -102,7 +104,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
               .where("_n > 1").drop("_n"), "firsts")
     return rows.join(firsts, "digest", "left").select(
         "page_id", "url", "payload", "digest", "size",
-        F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+        F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id",
@@ -199,7 +201,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
 
 
 def archive_folder(spark) -> str:
-    return fresh_folder(spark, "warc")
+    """A new folder, named with the file system that Spark takes it to be on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, "warc"))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString()
 
 
 SQL = f"""
@@ -208,6 +213,7 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {LEAST_REVISIT}
       GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)"""

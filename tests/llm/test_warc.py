@@ -30,7 +30,8 @@ def plain(rows):
 ROWS = [(3, "http://a/é x", LONG), (1, "http://b", LONG), (2, None, None), (4, "http://c", ""),
         (5, "http://d", "short"), (6, "http://e", "short"), (7, "http://f", LONG + "\r\n\r\n"),
         (1, "http://b", LONG), (8, "http://g", "x" * 99), (9, "http://h", "x" * 99),
-        (10, "http://i", "y" * 100), (11, "http://j", "y" * 100), (12, "u", "z" * 300_000)]
+        (10, "http://i", "y" * 100), (11, "http://j", "y" * 100), (12, "u", "z" * 300_000),
+        (None, "http://k", LONG), (None, "http://l", "w" * 200), (None, "http://l", "w" * 200)]
 
 
 @pytest.fixture
@@ -67,6 +68,21 @@ def test_files_are_gzip_members_of_warc(spark, tmp_path, pages):
         assert head[0] == b"WARC/1.1" and head[1].endswith(r.record_type.encode())
 
 
+def test_sql_and_folder(spark, pages):
+    """The registered SQL on the same rows, null ids included; archives in a qualified folder."""
+    import duckdb
+
+    folder = warc.archive_folder(spark)
+    assert folder.startswith("file:/")
+    index = warc.write_archives(pages, folder)
+    got = [tuple(r) for r in warc.read_records(index, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", ROWS)
+    assert sorted(got, key=str) == sorted(con.execute(warc.SQL).fetchall(), key=str) == plain(ROWS)
+
+
 def test_no_pages(spark, tmp_path, pages):
     index = warc.write_archives(pages.limit(0), str(tmp_path / "w"))
     assert warc.read_records(index, str(tmp_path / "w")).count() == 0
