@@ -41,7 +41,7 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some numbers: superscripts, fractions, numerals
 _LETTERS_ONLY = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -52,7 +52,7 @@ def family(lang: str) -> str:
 
 def trigrams(text: str | None) -> np.ndarray | None:
     """Buckets of all byte trigrams; None if the text is null or has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return None
     data = np.frombuffer(b" " + text.lower().encode("utf-8", "replace")
                          .translate(_LETTERS_ONLY) + b" ", np.uint8).astype(np.uint32)

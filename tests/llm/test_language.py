@@ -65,3 +65,10 @@ def test_svm_separates(seed):
     x += (y[:, None] * np.array([0.5, -1, 0.2, 0, 0])).astype(np.float32)
     w = language.train_svm(x, y)
     assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() >= 0.97
+
+
+@pytest.mark.parametrize("text,has", [
+    ("\u00b2 \u00bd \u2167 \u2460 12 _", False), ("\u0301", False), ("x\u00b2", True),
+    ("\u4e2d", True), ("\u02b0", True), ("\u00aa", True)])
+def test_only_letters_make_a_language(text, has):
+    assert (language.trigrams(text) is not None) == has
