@@ -143,14 +143,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Write one row (id, file, start_in_file, ids) per document as ORC files under `path`.
 
     Every document's ids end with END_ID; a null or empty text has that id alone. Rows with
-    equal ids are neighbours in no defined order; rows with a null id come first. An empty table
-    gives files without rows. `tokenizer` is a file that executors can open,
+    equal ids are neighbours in the order of a hash of their texts, so reruns agree; rows with a
+    null id come first. An empty table gives files without rows. `tokenizer` is a file that executors can open,
     and `memo` the number of pieces a Python worker remembers.
     """
     keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = (keys.repartitionByRange(parts, "doc_id") if parts else
              keys.repartitionByRange("doc_id"))
-    dealt = dealt.sortWithinPartitions("doc_id").withColumn("file", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn(
+        "file", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer, memo).encode, 0
@@ -181,13 +182,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
      .orc(path))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of `write_tokens`; a filter on doc_id reads only stripes that may hold it."""
-    return spark.read.schema(
-        "doc_id long, file int, start_in_file long, n_ids long, ids array<int>").orc(path)
+def read_tokens(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The rows of `write_tokens`, whose ids are of `id_type`; a filter on doc_id reads only row
+    groups that may hold it."""
+    return spark.read.schema(f"doc_id {id_type}, file int, start_in_file long, n_ids long, "
+                             "ids array<int>").orc(path)
 
 
-def token_index(spark: SparkSession, path: str, release: bool = False) -> DataFrame:
+def token_index(spark: SparkSession, path: str, release: bool = False,
+                id_type: str = "long") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files.
 
     start counts the ids of all documents before it. Only one row per file meets in one task.
@@ -204,9 +207,9 @@ def token_index(spark: SparkSession, path: str, release: bool = False) -> DataFr
                 "ids_crc32": [zlib.crc32(values[a:b]) for a, b in
                               zip(ends[:-1].tolist(), ends[1:].tolist())]}
 
-    files = read_tokens(spark, path)
+    files = read_tokens(spark, path, id_type)
     rows = map_arrow(files.drop("n_ids"),
-                     "doc_id long, file int, start_in_file long, n_tokens long, ids_crc32 long",
+                     f"doc_id {id_type}, file int, start_in_file long, n_tokens long, ids_crc32 long",
                      digest)
     sizes = files.groupBy("file").agg(F.sum("n_ids").alias("_ids"))
     before = F.sum("_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reviewlake.llm import token_files
@@ -63,3 +64,44 @@ def test_odd_rows(spark, tmp_path, odd_docs, no_docs, tokenizer):
                                                    for r in odd_docs.collect()], tokenizer)
     token_files.write_tokens(no_docs, str(tmp_path / "none"), TOKENIZER)
     assert token_files.token_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def rows_read(frame) -> int:
+    """Rows that the scan hands on."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply(
+        "numOutputRows").value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    docs = spark.range(20_000).select((2 * F.col("id")).alias("doc_id"), F.lit("a b").alias("text"))
+    token_files.write_tokens(docs, path, TOKENIZER, parts=1)
+    files = token_files.read_tokens(spark, path)
+    assert rows_read(files) == 20_000
+    found = files.where("doc_id = 24690")
+    assert found.count() == 1
+    assert rows_read(files.where("doc_id = 24690")) <= 2 * token_files.INDEX_STRIDE  # row index
+    assert rows_read(files.where("doc_id = 24691")) <= 2 * token_files.INDEX_STRIDE
+
+
+def test_no_id_that_a_row_group_spans_but_lacks_is_read(spark, tmp_path):
+    """Least and largest ids can't tell; the Bloom filter can."""
+    path = str(tmp_path / "tokens")
+    docs = spark.range(20_000).select((2 * F.col("id")).alias("doc_id"), F.lit("a b").alias("text"))
+    token_files.write_tokens(docs, path, TOKENIZER, parts=1)
+    files = token_files.read_tokens(spark, path)
+    read = [rows_read(files.where(f"doc_id = {n}")) for n in range(10_001, 30_001, 2_000)]
+    assert read.count(0) >= 8
+
+
+def test_equal_ids_and_other_types(spark, tmp_path, tokenizer):
+    rows = [("k", f"text {i}") for i in range(40)] + [("a", "x"), (None, "y")]
+    starts = []
+    for n in (1, 7):
+        path = str(tmp_path / f"{n}")
+        docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(n)
+        token_files.write_tokens(docs, path, TOKENIZER)
+        index = token_files.token_index(spark, path, id_type="string").orderBy("start").collect()
+        starts.append([tuple(r) for r in index])
+    assert starts[0] == starts[1] and [r[0] for r in starts[0][:2]] == [None, "a"]
