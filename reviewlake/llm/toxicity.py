@@ -28,10 +28,7 @@ from pyspark.sql import functions as F
 from .tables import map_arrow, stage
 
 SAMPLE_ROWS = 12_000  # labelled texts that learning expects to take at most
-MAX_ENTRIES = 5_000
-MAX_EXCEPTIONS = 1_000
 PREFIXES = range(4, 8)
-LONGEST_WORD = 30
 MIN_TEXTS = 3
 MIN_PRECISION = 0.8
 MAX_EXCEPTION = 0.3  # precision of a phrase that does not count
@@ -75,9 +72,8 @@ def entries(words: list[str]) -> set[str]:
     """What may become lexicon entries: ` word ` and ` beginning`."""
     out = set()
     for word in set(words):
-        if len(word) <= LONGEST_WORD:
-            out.add(f" {word} ")
-            out.update(f" {word[:n]}" for n in PREFIXES if len(word) > n)
+        out.add(f" {word} ")
+        out.update(f" {word[:n]}" for n in PREFIXES if len(word) > n)
     return out
 
 
@@ -137,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
     They are chosen by a hash of the key, alike in every run, before any text is read; being so
     few, their keys are broadcast to the texts in `docs`. Texts are counted where they lie; only
-    entries in the lexicon and two numbers a text reach the driver. Null keys and labels are left
+    entries in the lexicon and two numbers a text reach the driver. The lexicon holds every entry
+    that is precise and in MIN_TEXTS toxic texts or more, so the sample bounds it and nothing else. Null keys and labels are left
     out; of several labels of a key the largest counts. Without toxic texts the lexicon is empty.
     """
     flags = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(
@@ -161,8 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
             - F.log((F.col("b") + 0.5) / (other - F.col("b") + 0.5)))
     precise = (F.col("a") / toxic) >= MIN_PRECISION * (F.col("a") / toxic + F.col("b") / other)
     kept = (counted.where((F.col("a") >= min(MIN_TEXTS, toxic)) & precise)
-            .withColumn("weight", odds).orderBy(F.desc("weight"), F.desc("a"), "entry")
-            .limit(MAX_ENTRIES).collect())
+            .select("entry", odds.alias("weight")).collect())
     weights = _without_longer({r.entry: r.weight for r in kept if r.weight > 0})
     exceptions = _exceptions(sample, weights, toxic, other)
     share = (share[True], share[False])
@@ -229,7 +225,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float], toxic: int,
             .agg(F.sum(F.col("toxic").cast("int")).alias("a"),
                  F.sum((~F.col("toxic")).cast("int")).alias("b"))
             .where((F.col("b") >= MIN_TEXTS) & (precision <= MAX_EXCEPTION))
-            .orderBy(F.desc("b"), "phrase").limit(MAX_EXCEPTIONS).collect())
+            .select("phrase").collect())
     return frozenset(r.phrase for r in rows)
 
 
