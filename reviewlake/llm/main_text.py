@@ -2,11 +2,12 @@
 
 The standard library's parser streams events; they become lines, one per block of text, each with
 the number of tags met in it and the containers it lies in. Lines in elements that never hold an
-article (menus, footers, forms, scripts) or whose class, id or role says so are left out. The
-text-to-tag ratio of the remaining lines is smoothed with a Gaussian and split by a threshold
-between two clusters; a container with a line in the upper cluster is a content region and is
-taken whole, so short paragraphs of an article stay. Where a page names its article, that is the
-region.
+article (menus, footers, forms, scripts) are left out, and those in elements whose class, id or role
+names another part of a page, unless such an element holds an article, or most of the text of
+a page without one: then it is layout. The text-to-tag ratio of the remaining lines is smoothed with a Gaussian and
+split by a threshold between two clusters; a container with a line in the upper cluster is a
+content region and is taken whole, so short paragraphs of an article stay. Articles with a fair
+share of the content are the regions.
 """
 
 from __future__ import annotations
@@ -43,8 +44,16 @@ comment comments consent cookie cookies discussion disqus footer masthead menu m
 navigation newsletter notice pagination pager popup promo promoted promotion related respond
 share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary
 contentinfo search alert replies reply reviews""".split())
+# Of these, names of what readers write; an element so called is never layout.
+READERS = frozenset("comment comments discussion disqus respond replies reply reviews".split())
+# Beside a hint, words that say what a page has, not what an element is.
+ABOUT = frozenset("closed disabled enabled has hide no not off on open with without".split())
 
 SIGMA = 1.0
+FAIR = 0.2
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]+")
 
 
 class Line(NamedTuple):
@@ -52,84 +61,104 @@ class Line(NamedTuple):
     tags: int
     container: int  # number of the nearest container
     article: int  # number of the outermost article or main element; 0 outside
-    hints: tuple[int, ...]  # numbers of the block elements around it that a hint names
+    hint: int  # number of the nearest element around it that a hint names; 0 if none
+
+
+class Hint(NamedTuple):
+    around: int  # number of the next element outwards that a hint names; 0 if none
+    readers: bool  # readers write in it
 
 
 class _Lines(HTMLParser):
-    """Collects lines; `kept` counts open elements that hide what they hold."""
+    """Collects lines. Work per event does not grow with the open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple] = []  # tag, hides, container, article, hints
-        self.layout: set[int] = set()  # elements with a hint that hold a main element
+        self.open: list[tuple] = []  # tag, hides, container, article, hint
+        self.places: dict[str, list[int]] = {}  # of open elements by tag
+        self.hints: dict[int, Hint] = {}
+        self.layout: set[int] = set()  # elements with a hint that hold an article
         self.parts: list[str] = []
         self.tags, self.elements = 0, 0
 
-    def _state(self) -> tuple[bool, int, int, tuple[int, ...]]:
-        return self.open[-1][1:] if self.open else (False, 0, 0, ())
+    def _state(self) -> tuple[bool, int, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, 0)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        hides, container, article, hints = self._state()
+        hides, container, article, hint = self._state()
         if text and not hides:
-            self.lines.append(Line(text, max(self.tags, 1), container, article, hints))
+            self.lines.append(Line(text, max(self.tags, 1), container, article, hint))
         self.parts.clear()
         self.tags = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
-        for ended in self._implied(tag):
-            self._pop(ended)
+        self._end_implied(tag)
         self.tags += 1
         if tag in EMPTY:
             if tag == "br":
                 self.parts.append(" ")
             return
-        hides, container, article, hints = self._state()
+        hides, container, article, hint = self._state()
         self.elements += 1
         hides = hides or tag in SILENT or tag in ASIDE or self._aside(tag, attrs, article)
-        if self._hinted(tag, attrs):
+        named = self._named(tag, attrs)
+        if named:
             hides = hides or tag not in BLOCKS
-            hints += (self.elements,)
-        if tag == "main" and not hides:
-            self.layout.update(hints)
+            self.hints[self.elements] = Hint(hint, "readers" in named)
+            hint = self.elements
+        if tag in ("article", "main") and not hides and not named:
+            around = hint
+            while around and around not in self.layout:
+                self.layout.add(around)
+                around = self.hints[around].around
         if tag in CONTAINERS:
             container = self.elements
         if tag in ("article", "main") and not article:
             article = self.elements
-        self.open.append((tag, hides, container, article, hints))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, hides, container, article, hint))
 
     @staticmethod
     def _aside(tag: str, attrs, article: int) -> bool:
         if tag == "header":
             return not article  # an article's own header holds its heading
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body"):
             return False
-        return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+        return any(name == "hidden" or (name == "aria-hidden" and value in (None, "", "true"))
+                   or (name == "style" and value and _HIDDEN.search(value.lower()))
                    for name, value in attrs)
 
     @staticmethod
-    def _hinted(tag: str, attrs) -> bool:
-        if tag in ("html", "body", "article", "main", "header"):
-            return False
+    def _named(tag: str, attrs) -> frozenset[str] | None:
+        """What a hint says: None without one, {"readers"} if a name holds one of READERS."""
+        if tag in ("html", "body", "main", "header"):
+            return None
+        found = None
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not HINTS.isdisjoint(
-                    re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                return True
-        return False
-
-    def _implied(self, tag: str) -> Iterator[str]:
-        if tag in ENDS_P and any(t[0] == "p" for t in self.open):
-            yield "p"
-        ends = IMPLIED.get(tag)
-        for name, *_ in reversed(self.open) if ends else ():
-            if name in ends:
-                yield name
-                break
-            if name in FENCES:
-                break
+            if name in ("class", "id", "role") and value:
+                for part in value.split():
+                    words = _LETTERS.findall(_CASE.sub("-", part).lower())
+                    if HINTS.isdisjoint(words) or not ABOUT.isdisjoint(words):
+                        continue
+                    if not READERS.isdisjoint(words):
+                        return frozenset(["readers"])
+                    found = frozenset(["part"])
+        return found
+
+    def _nearest(self, tags) -> int:
+        """Place of the nearest open element with one of these tags; -1 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def _end_implied(self, tag: str) -> None:
+        """Close the elements that a start of `tag` ends."""
+        if tag in ENDS_P and self.places.get("p"):
+            self._pop("p")
+        if (ends := IMPLIED.get(tag)) and (at := self._nearest(ends)) > self._nearest(FENCES):
+            self._pop(self.open[at][0])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,12 +175,14 @@ class _Lines(HTMLParser):
 
     def _pop(self, tag: str) -> None:
         """Close the nearest open `tag` and all within it; nothing if there is none."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if i < len(self.open) - 1 or tag in BLOCKS:
-                    self._end_line()
-                del self.open[i:]
-                return
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        if at < len(self.open) - 1 or tag in BLOCKS:
+            self._end_line()
+        for name, *_ in self.open[at:]:
+            self.places[name].pop()
+        del self.open[at:]
 
     def handle_data(self, data):
         if not self._state()[0]:
@@ -166,26 +197,34 @@ def lines_of(html: str) -> list[Line]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    return _shown(parser.lines, parser.layout)
+    return _shown(parser.lines, parser.hints, parser.layout)
 
 
-def _shown(lines: list[Line], layout: set[int]) -> list[Line]:
-    """The lines outside elements with a hint. One that holds a main element is page layout.
+def _shown(lines: list[Line], hints: dict[int, Hint], layout: set[int]) -> list[Line]:
+    """The lines outside elements with a hint. One that holds an article, or most of the text of a
+    page without one, is layout and hides nothing, unless readers write in it.
 
-    If no line is left, so are those around an article, else those with most of the text; if
-    there is none of these either, all lines stay.
+    If no line is left, those that readers did not write stay, else all.
     """
-    shown = [line for line in lines if layout.issuperset(line.hints)]
-    if shown or not lines:
-        return shown
-    layout = layout | {h for line in lines if line.article for h in line.hints if h < line.article}
-    size: dict[int, int] = {}
+    size = dict.fromkeys(hints, 0)
     for line in lines:
-        for h in line.hints:
-            size[h] = size.get(h, 0) + len(line.text)
-    most = {h for h, n in size.items() if 2 * n > sum(len(line.text) for line in lines)}
-    for kept in (layout, layout | most):
-        shown = [line for line in lines if kept.issuperset(line.hints)]
+        if line.hint:
+            size[line.hint] += len(line.text)
+    for h in sorted(hints, reverse=True):  # what lies within has the larger number
+        if hints[h].around:
+            size[hints[h].around] += size[h]
+    total = sum(len(line.text) for line in lines)
+    readers = {0: False}
+    for h in sorted(hints):
+        readers[h] = readers[hints[h].around] or hints[h].readers
+    named = any(line.article > line.hint and not readers[line.hint] or line.article
+                and line.hint in layout for line in lines)
+    removed = {0: False}
+    for h in sorted(hints):
+        most = not named and 2 * size[h] > total
+        removed[h] = removed[hints[h].around] or readers[h] or not (h in layout or most)
+    for hidden in (removed, readers):
+        shown = [line for line in lines if not hidden[line.hint]]
         if shown:
             return shown
     return lines
@@ -216,19 +255,22 @@ def threshold(values: np.ndarray) -> float:
 def extract(html: str | None) -> str:
     """The main text: its blocks in page order, each on a line; empty if there is none.
 
-    Pages with article or main elements: those of them with content lines. Other pages: the
-    containers with content lines.
+    Regions are article and main elements, outside of them containers; those with content lines
+    are taken. What is outside articles goes, unless they hold less than a FAIR share of the content.
     """
     lines = lines_of(html) if html else []
     if not lines:
         return ""
     ratios = smoothed(np.array([len(line.text) / line.tags for line in lines]))
     content = ratios >= threshold(ratios)
-    if any(line.article for line in lines):
+    sizes = {True: 0, False: 0}  # of content lines in and outside articles
+    for line, c in zip(lines, content):
+        sizes[line.article > 0] += len(line.text) if c else 0
+    if any(line.article for line in lines) and sizes[True] >= FAIR * sum(sizes.values()):
         region = [line.article for line in lines]
         chosen = {r for r, c in zip(region, content) if r and c} or set(region) - {0}
     else:
-        region = [line.container for line in lines]
+        region = [line.article or line.container for line in lines]
         chosen = {r for r, c in zip(region, content) if c}
     return "\n".join(line.text for line, r in zip(lines, region) if r in chosen)
 

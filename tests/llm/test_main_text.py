@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,25 @@ def test_pages(page, text):
     (f"<div class='no-comments'><p>{LONG}</p></div>", LONG),
     (f"<div><p>{LONG}</p></div><div id='comments'><article>{LONG} no</article></div>", LONG),
     (f"<article><p>{LONG} <span class='ad'>no</span></p></article>", LONG),
+    (f"<div class='logo'>Site name here</div><div class='has-sidebar'><article><p>{LONG}</p>"
+     "</article></div>", LONG),
+    (f"<div class='page sidebar-left'><div class='ad'>no</div><article><p>{LONG}</p></article></div>",
+     LONG),
+    (f"<h1>Title</h1><div class='content no-comments'><p>{LONG}</p></div>", LONG),
+    (f"<h1>Title</h1><div class='page-widget'><p>{LONG}</p><p>{LONG}</p></div>",
+     f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><article class='comment'>{LONG} no</article></article>", LONG),
+    (f"<article><p>{LONG}</p></article><article class='comment'>{LONG} no {LONG}</article>", LONG),
+    (f"<article class='comment'>{LONG} no {LONG}</article><article><p>{LONG}</p></article>", LONG),
+    (f"<article><h1>T</h1></article><div class='ad'>{LONG} no {LONG}</div>", "T"),
+    (f"<p>{LONG}</p><p>{LONG}</p><div id='comments'><article>{LONG}</article></div>",
+     f"{LONG}\n{LONG}"),
+    (f"<article class='card'>Teaser</article><div><p>{LONG}</p><p>{LONG}</p></div>",
+     f"{LONG}\n{LONG}"),
+    (f"<article>{LONG}<p style='color: red; display : NONE'>no</p><p aria-hidden>no</p></article>",
+     LONG),
+    (f"<article>{LONG}<p style='display: block' aria-hidden='false'>yes</p></article>",
+     f"{LONG}\nyes"),
 ])
 def test_hints_of_layout(page, text):
     assert extract(page) == text
@@ -85,3 +105,13 @@ def test_smoothing_and_threshold():
     assert np.allclose(smooth, plain)
     assert 1 < main_text.threshold(values) < 50
     assert main_text.threshold(np.array([7.0, 7.0])) == 7
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000 + "text", "<div class='ad'>" * 200_000 + "text",
+    "<ul>" + "<div>" * 100_000 + "<li>a</li>" * 100_000,
+    "<b>" * 100_000 + "</i>" * 100_000 + "<p>x" * 100_000])
+def test_time_grows_with_the_events(page):
+    began = time.perf_counter()
+    extract(page)
+    assert time.perf_counter() - began < 10
