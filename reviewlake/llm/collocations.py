@@ -47,6 +47,7 @@ SLICE = 1 << 27  # buckets tested in one pass: 16 MB of bits
 SHARD = 1 << 18  # buckets summed in one task
 TRIE = 500_000  # phrases of a trie
 POSITIONS = 1 << 21  # of text, handled at once
+COUNTED = 1 << 14  # phrases whose counts are summed in one task
 NUMBERED = 16_384  # words numbered in one group
 RANKED = 50_000  # phrases ranked in one group before the whole language is
 TEXT = 1 << 20  # bytes of a text split into words at once
@@ -258,24 +259,44 @@ def candidates(encoded: DataFrame, full: DataFrame, bits: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bitmap = shared.value
             for ids, upto in _blocks(batches):
+                phrases, shards = [], []
                 for n in range(2, LONGEST + 1):
                     at = _runs(ids, upto, n)
                     bucket = _buckets(ids, at, n, bits).astype(np.int64) - begin
                     inside = (bucket >= 0) & (bucket < 8 * len(bitmap))
                     at, bucket = at[inside], bucket[inside]
-                    at = at[(bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1) > 0]
-                    at = at[_distinct(ids, at, n)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at + k] if k < n else np.zeros(len(at), "<i4"))
-                         for k in range(LONGEST)], names=_PHRASE)
-
-        rows = stage(encoded.mapInArrow(run, ", ".join(f"{w} int" for w in _PHRASE)).distinct(),
-                     "candidates")
+                    full = (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1) > 0
+                    at, bucket = at[full], bucket[full]
+                    one = _distinct(ids, at, n)
+                    phrases.append(ids[at[one][:, None] + np.arange(LONGEST)]
+                                   * (np.arange(LONGEST) < n).astype("<i4"))
+                    shards.append(bucket[one] // size)
+                yield _packed(np.concatenate(shards), np.concatenate(phrases))
+
+        def unpack(table: pa.Table) -> pa.Table:
+            rows = np.frombuffer(b"".join(table.column("data").to_pylist()), "<i4")
+            rows = np.unique(rows.reshape(-1, LONGEST), axis=0)
+            return pa.table({w: pa.array(rows[:, k]) for k, w in enumerate(_PHRASE)})
+
+        rows = stage(encoded.mapInArrow(run, "shard long, data binary").groupBy("shard")
+                     .applyInArrow(unpack, ", ".join(f"{w} int" for w in _PHRASE)), "candidates")
         shared.destroy()
         out = rows if out is None else out.union(rows)
     return out
 
 
+def _packed(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row (shard, data) per shard: the bytes of its rows of each column, one after the other."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)])
+    bounds = np.append(cuts, len(shard)).tolist()
+    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(bounds, bounds[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard[cuts].astype(np.int64)), pa.array(data, pa.binary())],
+        names=["shard", "data"])
+
+
 def _distinct(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Indices into `at` of one occurrence of every phrase of n words."""
     code, index = ids[at].astype(np.uint64), np.arange(len(at))
@@ -391,13 +412,21 @@ def count_phrases(encoded: DataFrame, found: DataFrame, min_count: int) -> DataF
             for ids, upto in _blocks(batches):
                 total += trie.count(ids, upto)
             met = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(trie.phrases[met, k].astype(np.int32)) for k in range(LONGEST)),
-                 pa.array(total[met])], names=[*_PHRASE, "a"])
+            yield _packed(met // COUNTED, (met % COUNTED).astype("<i8"), total[met])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(COUNTED, np.int64)
+            for data in table.column("data").to_pylist():
+                places, counts = np.frombuffer(data, "<i8").reshape(2, -1)
+                total[places] += counts
+            often = np.flatnonzero(total >= min_count)
+            phrases = Trie(*shared.value).phrases[table.column("shard")[0].as_py() * COUNTED + often]
+            return pa.table({w: pa.array(phrases[:, k].astype(np.int32))
+                             for k, w in enumerate(_PHRASE)} | {"a": pa.array(total[often])})
 
         schema = ", ".join(f"{w} int" for w in _PHRASE) + ", a long"
-        rows = stage(encoded.mapInArrow(run, schema).groupBy(*_PHRASE).agg(F.sum("a").alias("a"))
-                     .where(F.col("a") >= min_count), "frequent")
+        rows = stage(encoded.mapInArrow(run, "shard long, data binary").groupBy("shard")
+                     .applyInArrow(add, schema), "frequent")
         shared.destroy()
         out = rows if out is None else out.union(rows)
     return out if out is not None else found.withColumn("a", F.lit(0).cast("long")).limit(0)

@@ -71,7 +71,7 @@ def test_counting(spark, seed):
 
 
 def test_in_many_passes(spark, monkeypatch):
-    for name, value in {"DICTIONARY": 5, "NUMBERED": 3, "SHARD": 64, "SLICE": 256, "TRIE": 20,
+    for name, value in {"DICTIONARY": 5, "NUMBERED": 3, "SHARD": 64, "SLICE": 256, "TRIE": 20, "COUNTED": 3,
                         "POSITIONS": 16, "RANKED": 10, "TEXT": 50}.items():
         monkeypatch.setattr(c, name, value)
     rows = texts(3, 60)
