@@ -14,7 +14,8 @@ from ..functions.secrets import SECRET_PATTERNS, scrub, secret_hits
 from ..functions.tokens import with_tokens
 from ..operators import batching, call_graph, extract, files, prompts, recall, review
 from ..session import fresh_path, materialize
-from ..sources.corpus import read_corpus, write_corpus
+from ..sources import tree_source
+from ..sources.corpus import read_corpus, read_files, write_corpus
 from ..sources.tree import read_tree
 from ..streaming.reviews import (
     observe_progress, read_reviewed, retry_failed, review_stream)
@@ -472,12 +473,34 @@ def _(spark, sf):
         "repo string, batch_id long, prompt string").parquet(source), read_reviewed(spark, out))
 
 
+def _corpus(spark, sf) -> str:
+    path = fresh_path(spark, "corpus")
+    write_corpus(read(spark, sf, "files_v").withColumn("content", F.col("content").cast("binary")),
+                 path)
+    return path
+
+
 @query("read_corpus", "SELECT repo, path, md5(content) AS digest FROM files_v WHERE repo = 'src3'")
 def _(spark, sf):
-    path = fresh_path(spark, "corpus")
-    stored = read(spark, sf, "files_v").withColumn("content", F.col("content").cast("binary"))
-    write_corpus(stored, path)
-    found = read_corpus(spark, path, ["src3"])
+    found = read_corpus(spark, _corpus(spark, sf), ["src3"])
+    return found.select("repo", "path", F.md5("content").alias("digest"))
+
+
+@query("read_whole_corpus", "SELECT repo, path, md5(content) AS digest FROM files_v")
+def _(spark, sf):
+    """All repositories, read back from the corpus they were written to."""
+    return read_corpus(spark, _corpus(spark, sf)).select(
+        "repo", "path", F.md5("content").alias("digest"))
+
+
+@query("corpus_files", """
+    SELECT f.repo, f.path, md5(content) AS digest FROM files_v f JOIN (
+      SELECT repo, max(path) AS path FROM files_v GROUP BY repo) l
+    ON l.repo = f.repo AND l.path = f.path""")
+def _(spark, sf):
+    """The last file of every repository, looked up by name."""
+    wanted = read(spark, sf, "files_v").groupBy("repo").agg(F.max("path").alias("path"))
+    found = read_files(_corpus(spark, sf), wanted)
     return found.select("repo", "path", F.md5("content").alias("digest"))
 
 
@@ -502,10 +525,8 @@ def _(spark, sf):
                                  "done long, failed long")
 
 
-@query("read_tree", """
-    SELECT path, md5(content) AS digest FROM files_v WHERE doc_id % 7 <> 4 AND t <> 8""")
-def _(spark, sf):
-    """Files written as a tree by executors, in the folder they share, and read back."""
+def _written_tree(spark, sf, path: str) -> str:
+    """Folder of files that executors wrote, named by the SQL `path`, in the folder they share."""
     root = fresh_path(spark, "tree")
     local = urlparse(root).path  # the tree is read with the functions of a local file system
 
@@ -516,8 +537,40 @@ def _(spark, sf):
                 f.write(row.content.encode())
 
     os.makedirs(local, exist_ok=True)
-    read(spark, sf, "files_v", spread=True).select("path", "content").foreachPartition(write)
-    return read_tree(spark, local, "r").select("path", F.md5("content").alias("digest"))
+    read(spark, sf, "files_v", spread=True).selectExpr(
+        f"{path} AS path", "content").foreachPartition(write)
+    return local
+
+
+@query("read_tree", """
+    SELECT path, md5(content) AS digest FROM files_v WHERE doc_id % 7 <> 4 AND t <> 8""")
+def _(spark, sf):
+    """Files written as a tree and read back, listed by executors."""
+    root = _written_tree(spark, sf, "path")
+    return read_tree(spark, root, "r").select("path", F.md5("content").alias("digest"))
+
+
+@query("tree_source", """
+    SELECT repo, path, md5(content) AS digest FROM files_v WHERE doc_id % 7 <> 4 AND t <> 8""")
+def _(spark, sf):
+    """Trees of all repositories below one folder, read as a Spark format."""
+    tree_source.register(spark)
+    root = _written_tree(spark, sf, "concat(repo, '/', path)")
+    found = spark.read.format(tree_source.FORMAT).option("repos", "true").load(root)
+    return found.select("repo", "path", F.md5("content").alias("digest"))
+
+
+@query("tree_source_filtered", """
+    SELECT repo, path, md5(content) AS digest FROM files_v
+    WHERE path LIKE 'lib/%' AND path LIKE '%.py' AND repo IN ('src1', 'src3', 'src4')""")
+def _(spark, sf):
+    """Of all trees, the files that filters select; the format opens no others."""
+    tree_source.register(spark)
+    root = _written_tree(spark, sf, "concat(repo, '/', path)")
+    found = spark.read.format(tree_source.FORMAT).options(repos="true", suffixes="").load(root)
+    return found.where(F.col("path").startswith("lib/") & F.col("path").endswith(".py")
+                       & F.col("repo").isin("src1", "src3", "src4")).select(
+        "repo", "path", F.md5("content").alias("digest"))
 
 
 @query("scan_health", f"""

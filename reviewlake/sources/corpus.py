@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from ..schemas import FILES
 
 BUCKETS = 256
+ROW_GROUP_BYTES = 16 << 20
+PAGE_BYTES = 256 << 10
+LOOKUP = 1000  # names in one filter
 
 _STORED = T.StructType([*FILES.fields, T.StructField("buckets", T.IntegerType()),
                         T.StructField("bucket", T.IntegerType())])
@@ -33,8 +36,10 @@ def write_corpus(files: DataFrame, path: str, buckets: int = BUCKETS, mode: str
     placed = files.select("repo", "path", "content").withColumn(
         "buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("repo")))
     keys = ["bucket", "repo", "path"]
-    placed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy(
-        "buckets", "bucket").parquet(path)
+    (placed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode)
+     .option("parquet.bloom.filter.enabled#path", "true")
+     .option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
+     .partitionBy("buckets", "bucket").parquet(path))
 
 
 def read_corpus(spark: SparkSession, path: str,
@@ -45,3 +50,20 @@ def read_corpus(spark: SparkSession, path: str,
         folder = reduce(or_, [F.col("bucket") == _bucket(F.lit(r)) for r in repos], F.lit(False))
         stored = stored.filter(folder & F.col("repo").isin(*repos))
     return stored.drop("buckets", "bucket")
+
+
+def read_files(path: str, wanted: DataFrame) -> DataFrame:
+    """files(repo, path, content) of the rows of `wanted` (repo, path).
+
+    A few names (LOOKUP) go to the scan as a filter: their buckets, and of these only
+    the row groups and pages whose statistics and Bloom filters may hold them. More names meet the
+    corpus in a join.
+    """
+    spark = wanted.sparkSession
+    named = wanted.select("repo", "path").distinct()
+    few = named.limit(LOOKUP + 1).collect()
+    stored = read_corpus(spark, path, sorted({r.repo for r in few if r.repo is not None})
+                         if len(few) <= LOOKUP else None)
+    if len(few) <= LOOKUP:
+        stored = stored.filter(F.col("path").isin(*{r.path for r in few}))
+    return stored.join(named, ["repo", "path"], "left_semi")

@@ -1,0 +1,114 @@
+"""Source trees as a format, and lookups in a corpus."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from reviewlake.sources import corpus, tree_source
+from reviewlake.sources.tree import read_tree
+
+
+@pytest.fixture
+def tree(tmp_path):
+    files = {"a/__init__.py": "1", "a/x.py": "22", "a/.git/c.py": "no", "b/y.js": "é",
+             "b/deep/er/z.ts": "", "b/readme.md": "text", "a/venv/v.py": "no", "b/_p.py": "p"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    os.symlink(tmp_path / "gone", tmp_path / "b" / "broken.py")
+    return tmp_path
+
+
+def load(spark, path, **options):
+    tree_source.register(spark)
+    return spark.read.format(tree_source.FORMAT).options(**options).load(str(path))
+
+
+def rows(frame):
+    return sorted((r.repo, r.path, None if r.content is None else bytes(r.content).decode())
+                  for r in frame.collect())
+
+
+def test_one_repo_equals_read_tree(spark, tree):
+    assert rows(load(spark, tree, repo="r")) == rows(read_tree(spark, str(tree), "r"))
+    assert rows(load(spark, f"file:{tree}", repo="r")) == rows(load(spark, tree, repo="r"))
+    assert load(spark, tree).first().repo == tree.name
+
+
+def test_a_folder_of_repos(spark, tree):
+    found = load(spark, tree, repos="true", suffixes="")
+    assert rows(found) == [
+        ("a", "__init__.py", "1"), ("a", "x.py", "22"), ("b", "_p.py", "p"), ("b", "broken.py", None),
+        ("b", "deep/er/z.ts", ""), ("b", "readme.md", "text"), ("b", "y.js", "é")]
+    assert rows(load(spark, tree, repos="true", suffixes=".py,.md").where("repo = 'b'")) == [
+        ("b", "_p.py", "p"), ("b", "broken.py", None), ("b", "readme.md", "text")]
+    (tree / "none").mkdir()
+    assert load(spark, tree / "none").count() == 0
+
+
+@pytest.mark.parametrize("condition,paths", [
+    ("path = 'x.py'", ["x.py"]), ("path IN ('x.py', 'deep/er/z.ts')", ["deep/er/z.ts", "x.py"]),
+    ("path LIKE 'deep/%'", ["deep/er/z.ts"]), ("path LIKE 'de%'", ["deep/er/z.ts"]),
+    ("path LIKE '%.js' AND repo <=> 'b'", ["y.js"]), ("repo = 'nobody'", []),
+    ("path > 'x' AND repo LIKE 'a%'", ["x.py"]), ("length(content) = 2", ["x.py", "y.js"])])
+def test_filters(spark, tree, condition, paths):
+    found = load(spark, tree, repos="true").where(condition)
+    assert sorted(r.path for r in found.collect()) == paths
+
+
+def test_filters_are_answered_by_names(tree):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringEndsWith, StringStartsWith
+
+    reader = tree_source.TreeReader({"path": str(tree), "repos": "true"})
+    given = [EqualTo(("repo",), "b"), StringEndsWith(("path",), ".ts"), GreaterThan(("path",), "a"),
+             StringStartsWith(("path",), "deep/er"), EqualTo(("content",), b"x")]
+    assert list(reader.pushFilters(given)) == [given[2], given[4]]
+    assert list(reader.listed()) == [("b", "deep/er/z.ts", 0)]
+    entered = []
+    keep = tree_source._entries
+    tree_source._entries = lambda folder, suffixes: entered.append(folder) or keep(folder, suffixes)
+    try:
+        list(reader.listed())
+    finally:
+        tree_source._entries = keep
+    assert str(tree / "a") not in entered  # nothing of another repo is listed
+
+
+def test_a_folder_of_many_files_is_split(spark, tmp_path):
+    for i in range(5000):
+        (tmp_path / f"m{i}.py").write_bytes(b"x" * (i % 7))
+    found = load(spark, tmp_path, split_bytes=str(8 << 20))
+    parts = found.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert sum(r["count"] for r in parts) == 5000 and len(parts) >= 15
+    assert max(r["count"] for r in parts) <= 260
+    assert found.agg(F.sum(F.length("content"))).first()[0] == sum(i % 7 for i in range(5000))
+
+
+def rows_scanned(frame) -> int:
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_lookups_read_few_rows_of_a_corpus(spark, tmp_path, monkeypatch):
+    """Paths are spread so that least and largest values say nothing; Bloom filters do."""
+    monkeypatch.setattr(corpus, "ROW_GROUP_BYTES", 64 << 10)
+    files = spark.range(20_000).select(
+        F.concat(F.lit("r"), F.col("id") % 3).alias("repo"), F.md5(F.col("id").cast("string"))
+        .alias("path"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("content"))
+    corpus.write_corpus(files, str(tmp_path / "c"), buckets=2)
+    one = files.where("id = 77 OR id = 12345").select("repo", "path")
+    found = corpus.read_files(str(tmp_path / "c"), one)
+    assert sorted(map(tuple, found.collect())) == sorted(
+        map(tuple, files.where("id = 77 OR id = 12345").collect()))
+    path = files.where("id = 77").first().path
+    stored = corpus.read_corpus(spark, str(tmp_path / "c"), ["r2"]).where(F.col("path") == path)
+    assert stored.count() == 1
+    assert rows_scanned(stored) < 3000
+    absent = corpus.read_corpus(spark, str(tmp_path / "c")).where(F.col("path") == "8" * 32)
+    assert rows_scanned(absent) < 2000
+    many = files.where("id % 10 = 0").select("repo", "path")  # more than a filter takes
+    assert corpus.read_files(str(tmp_path / "c"), many).count() == 2000
