@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.cwe import CWE_KEYWORDS
 
-TABLES = ("customer", "documents", "events", "orders", "pages")
+TABLES = ("benchmark", "conversations", "customer", "documents", "events", "orders", "pages")
 
 # Extension and body of each kind of test file.
 TEMPLATES = (

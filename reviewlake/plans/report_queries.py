@@ -10,6 +10,7 @@ from ..functions.text import has_text
 from ..operators import findings as fo
 from ..operators import health as ho
 from ..operators import history as hist
+from ..operators import keywords
 from ..operators import pull_requests as pr
 from ..operators.review import parse_reports
 from ..schemas import FINDING_COLUMNS, FINDING_FIELDS
@@ -232,6 +233,33 @@ def _(spark, sf):
     return cwe.with_cwe(findings(spark, sf)).select("idx", "comment", "cwe_id", "cwe_url")
 
 
+@query("classify_cwe_table", f"""
+    SELECT idx, comment, 'CWE-' || n AS cwe_id,
+      'https://cwe.mitre.org/data/definitions/' || n || '.html' AS url
+    FROM (SELECT idx, comment, {_CWE_NUMBER} AS n FROM findings_v) c""")
+def _(spark, sf):
+    """The same classes, from the dictionary as a table."""
+    found = keywords.with_dictionary(findings(spark, sf), cwe.cwe_keywords(spark))
+    return found.select("idx", "comment", "cwe_id", "url")
+
+
+@query("classify_words", """
+    WITH k AS (
+      SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[.,;:!?]', '', 'g')), ' '))
+        AS keyword FROM benchmark)
+    SELECT conv_id, turn, min(keyword) AS keyword
+    FROM conversations c LEFT JOIN k ON length(keyword) > 2 AND contains(lower(text), keyword)
+    GROUP BY conv_id, turn""")
+def _(spark, sf):
+    """The first of thousands of words, in alphabetical order, that each turn contains."""
+    plain = F.lower(F.regexp_replace("text", "[.,;:!?]", ""))
+    words = read(spark, sf, "benchmark").select(F.explode(F.split(plain, " ")).alias("keyword"))
+    words = words.where(F.length("keyword") > 2).distinct().select(
+        F.col("keyword").alias("prio"), "keyword", F.col("keyword").alias("word"))
+    found = keywords.with_dictionary(read(spark, sf, "conversations"), words, "text")
+    return found.select("conv_id", "turn", F.col("word").alias("keyword"))
+
+
 @query("cwe_keyword_usage", f"""
     WITH k AS ({values([(i, k, f"CWE-{n}", cwe.CWE_URL.format(n))
                         for i, (k, n) in enumerate(cwe.CWE_KEYWORDS)],
