@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
+from itertools import islice
 from operator import or_
 from typing import Any, NamedTuple
 
@@ -93,6 +97,9 @@ RULES = (
 )
 
 
+_MARK = "\x01"
+
+
 def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of all matches of all rules in each block, on scrubbed code.
 
@@ -108,10 +115,12 @@ def review_rules(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def rule_hits(blocks: DataFrame, carried: Sequence[str], rules: tuple[Rule, ...] = RULES,
               outer: bool = False) -> DataFrame:
-    """A row per match: the columns `carried` and _rule, _line, _snippet.
+    """A row per rule and line with a match: the columns `carried` and _rule, _line, _snippet.
 
-    With `outer`, blocks without a match keep one row, with nulls, and `_first` marks one row of
-    every block: the table then stands for the blocks as well, without their code.
+    A match belongs to the line it starts on; many matches on a line are one row, so rows never hold
+    more text than the code itself. With `outer`, blocks without a match keep one row, with
+    nulls, and `_first` marks one row of every block: the table then stands for the blocks as well,
+    without their code.
     """
     explode = F.posexplode_outer if outer else F.posexplode
     clean = scrub(blocks).withColumn("_lowered", F.lower("code"))
@@ -123,30 +132,25 @@ def rule_hits(blocks: DataFrame, carried: Sequence[str], rules: tuple[Rule, ...]
             F.lit(i))
         for i, r in enumerate(rules)
     ]
-    matched = clean.select("*", explode(F.array_compact(F.array(*hit))).alias("_nth", "_rule"))
-    pieces, hits = None, None
+    matched = clean.select(*carried, "code",
+                           explode(F.array_compact(F.array(*hit))).alias("_nth", "_rule"))
+    marked = None
     for i, r in enumerate(rules):
         here = F.col("_rule") == i
-        pieces = (F if pieces is None else pieces).when(here, F.split("code", r.pattern, -1))
-        hits = (F if hits is None else hits).when(
-            here, F.regexp_extract_all("code", F.lit(r.pattern), F.lit(0)))
-    # where match i starts: behind i + 1 pieces and i matches
-    starts = F.expr("""slice(aggregate(zip_with(_pieces, _hits, (p, h) -> struct(
-        length(p) AS p, coalesce(length(h), 0) AS h)), struct(array(0) AS ends, 0 AS at),
-        (s, x) -> struct(concat(s.ends, array(s.at + x.p)) AS ends, s.at + x.p + x.h AS at)).ends,
-        2, size(_hits))""")
+        marked = (F if marked is None else marked).when(
+            here, F.regexp_replace("code", r.pattern, _MARK + "$0"))
+    # a line that a mark has made longer holds the start of a match
+    lines = F.zip_with(F.split("code", "\n", -1), F.split(marked, "\n", -1),
+                       lambda line, other: F.when(F.length(other) > F.length(line), line))
+    found = F.filter(
+        F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("text"))),
+        lambda x: x["text"].isNotNull())
+    placed = matched.select(*carried, "_nth", "_rule", explode(found).alias("_mth", "_hit"))
     first = (F.coalesce("_nth", F.lit(0)) == 0) & (F.coalesce("_mth", F.lit(0)) == 0)
-    return (
-        matched.withColumns({"_pieces": pieces, "_hits": hits})
-        .select("*", explode(starts).alias("_mth", "_start"))
-        .withColumn("_before", F.expr("left(code, _start)"))
-        .select(
-            *carried, "_rule", *([first.alias("_first")] if outer else []),
-            (F.col("line_number") + F.regexp_count("_before", F.lit("\n"))).cast("int")
-            .alias("_line"),
-            F.concat(F.substring_index("_before", "\n", -1), F.substring_index(
-                F.expr("substring(code, _start + 1)"), "\n", 1)).alias("_snippet"))
-    )
+    return placed.select(
+        *carried, "_rule", *([first.alias("_first")] if outer else []),
+        (F.col("line_number") + F.col("_hit.at")).cast("int").alias("_line"),
+        F.col("_hit.text").alias("_snippet"))
 
 
 def hit_findings(placed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -184,33 +188,74 @@ class RetryableError(Exception):
 
 
 Reviewer = Callable[[str, int, str], dict[str, Any]]
+_REPORTS = 500  # handed on at once
+
+
+class Throttle:
+    """At most `per_second` calls a second on average, with bursts of up to a second's worth."""
+
+    def __init__(self, per_second: float):
+        self.per_second, self.lock = per_second, threading.Lock()
+        self.tokens, self.at = max(1.0, per_second), time.monotonic()
+
+    def take(self) -> None:
+        """Wait for a turn. Callers get theirs in the order they ask."""
+        with self.lock:
+            now = time.monotonic()
+            self.tokens = min(max(1.0, self.per_second),
+                              self.tokens + (now - self.at) * self.per_second)
+            self.at = now
+            self.tokens -= 1
+            wait = -self.tokens / self.per_second
+        if wait > 0:
+            time.sleep(wait)
+
+
+def _in_order(rows: Iterator[Any], call: Callable[[Any], Any], in_flight: int) -> Iterator[Any]:
+    """Results of `call` in the order of `rows`, with up to `in_flight` calls at a time."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque[Future] = deque()
+        for row in rows:
+            waiting.append(pool.submit(call, row))
+            if len(waiting) >= 2 * in_flight or waiting[0].done():
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
 
 
 def review_batches(prompts: DataFrame, reviewer: Reviewer, attempts: int = 3,
-                   wait_seconds: float = 5.0) -> DataFrame:
+                   wait_seconds: float = 5.0, in_flight: int = 1,
+                   calls_per_second: float | None = None) -> DataFrame:
     """(repo, batch_id, prompt) to (repo, batch_id, report, error).
 
     `reviewer(repo, batch_id, prompt)` returns a report: {"reviews": [...], "batch_summary":
-    ...}. Batches run in parallel, one at a time per task. A failed batch becomes a row with
-    `error`; a RetryableError is tried again after 1, 2, 4... times `wait_seconds`.
+    ...}. Batches run in parallel, `in_flight` at a time in every task, where a reviewer that waits
+    for a service leaves the core to others; then it must be safe to call from several threads.
+    `calls_per_second` bounds the calls of a task, repeated ones included; results keep the order
+    of the batches. A failed batch becomes a row with `error` and costs only itself; a
+    RetryableError is tried again after 1, 2, 4... times `wait_seconds`.
     """
-
-    def one(repo: str, batch_id: int, prompt: str) -> tuple[str | None, str | None]:
-        for attempt in range(attempts):
-            try:
-                return json.dumps(reviewer(repo, batch_id, prompt)), None
-            except RetryableError:
-                if attempt + 1 < attempts:
-                    time.sleep(wait_seconds * 2**attempt)
-            except Exception as e:  # a failed batch costs only itself
-                return None, f"{type(e).__name__}: {e}"
-        return None, f"gave up after {attempts} attempts"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [one(*row) for row in frame.itertuples(index=False)]
-            yield frame[["repo", "batch_id"]].assign(
-                report=[r for r, _ in results], error=[e for _, e in results])
+        throttle = Throttle(calls_per_second) if calls_per_second else None
+
+        def one(row: tuple[str, int, str]) -> tuple[str, int, str | None, str | None]:
+            repo, batch_id, prompt = row
+            for attempt in range(attempts):
+                try:
+                    if throttle:
+                        throttle.take()
+                    return repo, batch_id, json.dumps(reviewer(repo, batch_id, prompt)), None
+                except RetryableError:
+                    if attempt + 1 < attempts:
+                        time.sleep(wait_seconds * 2**attempt)
+                except Exception as e:  # a failed batch costs only itself
+                    return repo, batch_id, None, f"{type(e).__name__}: {e}"
+            return repo, batch_id, None, f"gave up after {attempts} attempts"
+
+        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        done = _in_order(rows, one, in_flight)
+        while held := list(islice(done, _REPORTS)):
+            yield pd.DataFrame(held, columns=["repo", "batch_id", "report", "error"])
 
     return prompts.select("repo", "batch_id", "prompt").mapInPandas(run, REVIEWED)
 

@@ -446,6 +446,31 @@ def _(spark, sf):
     return review.batch_errors(review.review_batches(built, counting_reviewer))
 
 
+def refusing_reviewer(repo: str, batch_id: int, prompt: str) -> dict:
+    """Refuses prompts that show files of one folder, and says how many of them."""
+    if refused := prompt.count("\n---\nFile: `src/es/"):
+        raise ValueError(f"{refused} files not read")
+    return steady_reviewer(repo, batch_id, prompt)
+
+
+@query("refused_batches", f"""
+    WITH n AS (SELECT b.repo, batch_id, count(*) AS n,
+        count(*) FILTER (contains(file_path, 'src/es/')) AS refused
+      FROM batches_v b JOIN blocks_v k ON k.repo = b.repo AND k.ord = b.ord GROUP BY ALL)
+    SELECT repo, batch_id, CASE WHEN refused = 0 THEN CAST(n AS INT) ELSE 0 END AS blocks,
+      CASE WHEN refused > 0 THEN 'ValueError: ' || refused || ' files not read' ELSE '' END
+        AS error
+    FROM n""")
+def _(spark, sf):
+    """A reviewer that fails on what a prompt holds, with calls in flight."""
+    built = prompts.build_prompts(batches(spark, sf))
+    reviewed = review.review_batches(built, refusing_reviewer, in_flight=8)
+    parsed = F.from_json("report", "reviews array<struct<line_number int>>")
+    blocks = F.get(parsed["reviews"], F.lit(0))["line_number"]
+    return reviewed.select("repo", "batch_id", F.coalesce(blocks, F.lit(0)).alias("blocks"),
+                           F.coalesce("error", F.lit("")).alias("error"))
+
+
 def _streamed(spark, sf, reviewer) -> tuple[str, str]:
     """Prompts written as batch files and reviewed by a stream that then stops."""
     source, out = fresh_path(spark, "prompts"), fresh_path(spark, "reviewed")

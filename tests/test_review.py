@@ -4,10 +4,12 @@ import glob
 import json
 import os
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from reviewlake import session
 from reviewlake.functions.cwe import with_cwe
@@ -139,6 +141,68 @@ def test_every_match_in_whole_code_is_found(spark):
         (10, "os.system(a)"), (11, "os.system(b); os.system(c)"), (4012, "os.system(d)")]
 
 
+def test_many_hits_on_a_line_are_one_row(spark):
+    """Rows hold no more text than the code, however many matches a line has."""
+    line = "x = eval(a); " * 20_000  # 260 KB
+    code = "\x01 first\n" + line * 4 + "\n" + line + "\n" + "a = 1\n" * 20_000 + "eval(z)"
+    blocks = spark.createDataFrame([("r", "a.js", "f", "function", 10, code, None, "javascript", 0)],
+                                   "repo string, file_path string, name string, type string, "
+                                   "line_number int, code string, docstring string, "
+                                   "language string, ord int")
+    began = time.perf_counter()
+    hits = review.rule_hits(blocks, ["repo", "file_path", "name", "line_number", "ord"]).collect()
+    assert time.perf_counter() - began < 10
+    assert sorted((h._line, len(h._snippet)) for h in hits) == [
+        (11, 4 * len(line)), (12, len(line)), (20_013, 7)]
+    assert sum(len(h._snippet) for h in hits) <= len(code)
+
+
+def test_a_match_over_lines_belongs_to_its_first(spark):
+    code = "q = 1\nx = `\nselect \n${a}`; eval(b)\neval(c)"
+    blocks = spark.createDataFrame([("r", "a.js", "f", "function", 1, code, None, "javascript", 0)],
+                                   "repo string, file_path string, name string, type string, "
+                                   "line_number int, code string, docstring string, "
+                                   "language string, ord int")
+    found = review.review_rules(blocks).collect()
+    assert sorted((f.rule, f.line_number, f.vulnerable_snippet) for f in found) == [
+        ("DESER_JS", 4, "${a}`; eval(b)"), ("DESER_JS", 5, "eval(c)"), ("SQLI_JS", 2, "x = `")]
+
+
+def batches_of(spark, n, parts):
+    return spark.range(n, numPartitions=parts).select(
+        F.lit("r").alias("repo"), F.col("id").alias("batch_id"),
+        F.concat(F.lit("p"), "id").alias("prompt"))
+
+
+def sleepy(repo, batch_id, prompt):
+    time.sleep(0.05)
+    if batch_id % 10 == 3:
+        raise ValueError(prompt)
+    return {"reviews": [], "batch_summary": prompt}
+
+
+def test_calls_in_flight(spark):
+    """1,000 batches of 50 ms: 50 s one after the other, a tenth of it ten at a time."""
+    review.review_batches(batches_of(spark, 8, 1), sleepy).collect()  # starts the worker
+    began = time.perf_counter()
+    rows = review.review_batches(batches_of(spark, 1000, 1), sleepy, in_flight=20).collect()
+    assert time.perf_counter() - began < 5
+    assert [r.batch_id for r in rows] == list(range(1000))
+    for r in rows:
+        assert r.error == (f"ValueError: p{r.batch_id}" if r.batch_id % 10 == 3 else None)
+        assert r.error or json.loads(r.report)["batch_summary"] == f"p{r.batch_id}"
+
+
+def test_calls_per_second(spark):
+    def quick(repo, batch_id, prompt):
+        return {"at": time.time()}
+
+    rows = review.review_batches(batches_of(spark, 60, 1), quick, in_flight=8,
+                                 calls_per_second=20).collect()
+    times = sorted(json.loads(r.report)["at"] for r in rows)
+    assert 1.7 < times[-1] - times[0] < 4  # 20 at once, 40 more at 20 a second
+
+
 def test_clean_repos_stay(spark):
     late = "def f(c):\n" + "    x = 1\n" * 2000 + "    os.system(c)\n"
     rows = [("broken", "a.py", b"def ("), ("empty", "a.py", b"x = 1"), ("notes", "a.md", b"text"),
