@@ -202,43 +202,67 @@ def _buckets(ids: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (h * _MIX) >> np.uint64(64 - bits)
 
 
+def _squash(values: np.ndarray) -> bytes:
+    """Numbers, compressed by the planes of their bytes: most upper ones are alike."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _expand(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _per_shard(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(shard, its part of each column) for each run of equal numbers in `shard`."""
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)]).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(shard)]):
+        yield int(shard[a]), *(c[a:b] for c in columns)
+
+
+def _rows(found: Iterator[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    """Rows (shard, places, data)."""
+    shard, places, data = zip(*found) if (found := list(found)) else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard, pa.int64()), pa.array(places, pa.binary()), pa.array(data, pa.binary())],
+        names=["shard", "places", "data"])
+
+
+_SHARDED = "shard long, places binary, data binary"
+
+
 def full_buckets(encoded: DataFrame, bits: int, min_count: int) -> DataFrame:
     """(shard, bits): for each shard of buckets one bit per bucket, set if it is full.
 
     A task's counts stop at `min_count`, which changes no bit.
     """
     size = min(SHARD, 1 << bits)
-    kind = np.dtype("u1" if min_count < 256 else "<u4")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, upto in _blocks(batches):
             found = np.concatenate([_buckets(ids, _runs(ids, upto, n), n, bits)
                                     for n in range(2, LONGEST + 1)])
             buckets, counts = np.unique(found, return_counts=True)
-            if not len(buckets):
-                continue
             shard = (buckets // np.uint64(size)).astype(np.int64)
-            cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
             place = (buckets % np.uint64(size)).astype("<u4")
-            counts = np.minimum(counts, min_count).astype(kind)
-            data = []
-            for a, b in zip(cuts, [*cuts[1:], len(buckets)]):
-                steps = np.diff(place[a:b], prepend=np.zeros(1, "<u4"))
-                data.append(zlib.compress(steps.tobytes() + counts[a:b].tobytes(), 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[cuts]), pa.array(data, pa.binary())], names=["shard", "data"])
+            counts = np.minimum(counts, min_count).astype("<u4")
+            yield _rows((k, _squash(_steps(p)), _squash(c))
+                        for k, p, c in _per_shard(shard, place, counts))
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
-        for data in table.column("data"):
-            raw = zlib.decompress(data.as_py())
-            n = len(raw) // (4 + kind.itemsize)
-            total[np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)] += np.frombuffer(
-                raw, kind, n, 4 * n)
+        for places, counts in zip(table.column("places"), table.column("data")):
+            total[np.cumsum(_expand(places.as_py(), "<u4"), dtype=np.int64)] += _expand(
+                counts.as_py(), "<u4")
         return pa.table({"shard": table.column("shard")[:1],
                          "bits": pa.array([np.packbits(total >= min_count).tobytes()])})
 
-    return stage(encoded.mapInArrow(count, "shard long, data binary").groupBy("shard")
+    return stage(encoded.mapInArrow(count, _SHARDED).groupBy("shard")
                  .applyInArrow(add, "shard long, bits binary"), "buckets")
 
 
@@ -271,32 +295,27 @@ def candidates(encoded: DataFrame, full: DataFrame, bits: int) -> DataFrame:
                     phrases.append(ids[at[one][:, None] + np.arange(LONGEST)]
                                    * (np.arange(LONGEST) < n).astype("<i4"))
                     shards.append(bucket[one] // size)
-                yield _packed(np.concatenate(shards), np.concatenate(phrases))
+                shard, phrase = np.concatenate(shards), np.concatenate(phrases)
+                order = np.lexsort((*phrase.T[::-1], shard))
+                yield _rows((k, _squash(_steps(p[:, 0].copy())), _squash(p[:, 1:].T.reshape(-1)))
+                            for k, p in _per_shard(shard[order], phrase[order]))
 
         def unpack(table: pa.Table) -> pa.Table:
-            rows = np.frombuffer(b"".join(table.column("data").to_pylist()), "<i4")
-            rows = np.unique(rows.reshape(-1, LONGEST), axis=0)
+            found = []
+            for first, rest in zip(table.column("places"), table.column("data")):
+                first = np.cumsum(_expand(first.as_py(), "<i4"), dtype=np.int32)
+                rest = _expand(rest.as_py(), "<i4").reshape(LONGEST - 1, -1)
+                found.append(np.vstack((first, rest)).T)
+            rows = np.unique(np.concatenate(found), axis=0)
             return pa.table({w: pa.array(rows[:, k]) for k, w in enumerate(_PHRASE)})
 
-        rows = stage(encoded.mapInArrow(run, "shard long, data binary").groupBy("shard")
+        rows = stage(encoded.mapInArrow(run, _SHARDED).groupBy("shard")
                      .applyInArrow(unpack, ", ".join(f"{w} int" for w in _PHRASE)), "candidates")
         shared.destroy()
         out = rows if out is None else out.union(rows)
     return out
 
 
-def _packed(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row (shard, data) per shard: the bytes of its rows of each column, one after the other."""
-    order = np.argsort(shard, kind="stable")
-    shard, columns = shard[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[:len(shard)])
-    bounds = np.append(cuts, len(shard)).tolist()
-    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(bounds, bounds[1:])]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard[cuts].astype(np.int64)), pa.array(data, pa.binary())],
-        names=["shard", "data"])
-
-
 def _distinct(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Indices into `at` of one occurrence of every phrase of n words."""
     code, index = ids[at].astype(np.uint64), np.arange(len(at))
@@ -412,20 +431,21 @@ def count_phrases(encoded: DataFrame, found: DataFrame, min_count: int) -> DataF
             for ids, upto in _blocks(batches):
                 total += trie.count(ids, upto)
             met = np.flatnonzero(total)
-            yield _packed(met // COUNTED, (met % COUNTED).astype("<i8"), total[met])
+            yield _rows((k, _squash(_steps(p)), _squash(c)) for k, p, c in _per_shard(
+                met // COUNTED, (met % COUNTED).astype("<u4"), total[met]))
 
         def add(table: pa.Table) -> pa.Table:
             total = np.zeros(COUNTED, np.int64)
-            for data in table.column("data").to_pylist():
-                places, counts = np.frombuffer(data, "<i8").reshape(2, -1)
-                total[places] += counts
+            for places, counts in zip(table.column("places"), table.column("data")):
+                total[np.cumsum(_expand(places.as_py(), "<u4"), dtype=np.int64)] += _expand(
+                    counts.as_py(), "<i8")
             often = np.flatnonzero(total >= min_count)
             phrases = Trie(*shared.value).phrases[table.column("shard")[0].as_py() * COUNTED + often]
             return pa.table({w: pa.array(phrases[:, k].astype(np.int32))
                              for k, w in enumerate(_PHRASE)} | {"a": pa.array(total[often])})
 
         schema = ", ".join(f"{w} int" for w in _PHRASE) + ", a long"
-        rows = stage(encoded.mapInArrow(run, "shard long, data binary").groupBy("shard")
+        rows = stage(encoded.mapInArrow(run, _SHARDED).groupBy("shard")
                      .applyInArrow(add, schema), "frequent")
         shared.destroy()
         out = rows if out is None else out.union(rows)
