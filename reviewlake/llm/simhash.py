@@ -8,8 +8,9 @@ six blocks and k = 3 a bucket shares 32 or 33 bits, so random fingerprints hardl
 the size of the corpus.
 
 Only distinct fingerprints are filed, so copies cost nothing. A bucket emits a spanning forest of
-its links rather than all of them, which has the same components; a bucket of many fingerprints
-is split again by the same rule over the bits that may still differ.
+its links rather than all of them, which has the same components. A bucket of many fingerprints, such
+as a template filled in many ways, is filed again by the same rule over the bits that may still
+differ, so that its parts are buckets of their own, dealt over the cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -111,23 +112,41 @@ def _links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarra
 
 
 def _forest(mask: np.ndarray, key: np.ndarray, fps: np.ndarray,
-            max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets, sorted by (mask, key)."""
     new = np.ones(len(fps), bool)
     new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
-    group = np.cumsum(new)
-    size = np.bincount(group)[group]
-    small = (size > 1) & (size <= SPLIT_OVER)
-    a, b = _links(fps[small], group[small], max_bits)
-    yield fps[small][a], fps[small][b]
-    for g in np.unique(group[size > SPLIT_OVER]).tolist():
-        inside = fps[group == g]
-        rest = ((1 << 64) - 1) & ~int(mask[group == g][0])
-        for part in block_masks(BLOCKS, max_bits, rest):
-            sub = inside & np.uint64(part)
-            order = np.argsort(sub, kind="stable")
-            a, b = _links(inside[order], sub[order], max_bits)
-            yield inside[order][a], inside[order][b]
+    a, b = _links(fps, np.cumsum(new), max_bits)
+    return fps[a], fps[b]
+
+
+def _file(fps: DataFrame, masks: Column) -> DataFrame:
+    """(fp, mask, key) for every mask of an array."""
+    return fps.select("fp", F.explode(masks).alias("mask")).withColumn(
+        "key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def _narrower(masks: list[int], max_bits: int) -> Column:
+    """For a row's mask, the masks that fix some of the other bits as well."""
+    finer = [F.lit(x) for m in masks for x in (_signed(m), F.array(*[
+        F.lit(_signed(m | part)) for part in block_masks(BLOCKS, max_bits, ((1 << 64) - 1) & ~m)]))]
+    return F.create_map(*finer)[F.col("mask")]
+
+
+def filed(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, mask, key): distinct fingerprints under each of their buckets.
+
+    Any two that differ in at most `max_bits` bits share a bucket. Buckets of more than SPLIT_OVER
+    fingerprints are replaced by narrower ones, of at most 2**15 fingerprints each.
+    """
+    masks = block_masks(blocks, max_bits)
+    once = stage(fps.select("fp").distinct(), "distinct")
+    rows = _file(once, F.array(*[F.lit(_signed(m)) for m in masks]))
+    large = stage(rows.groupBy("mask", "key").agg(F.count("*").alias("_n"))
+                  .where(F.col("_n") > SPLIT_OVER).drop("_n"), "large")
+    wide = rows.join(large, ["mask", "key"], "left_semi")
+    return rows.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key").unionByName(
+        _file(wide, _narrower(masks, max_bits)))
 
 
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -135,16 +154,12 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
 
     A subset of all such links with the same connected components; a link may repeat.
     """
-    filed = fps.select("fp").distinct().select("fp", F.explode(F.array(*[
-        F.lit(_signed(m)) for m in block_masks(blocks, max_bits)])).alias("mask"))
-    filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            for a, b in _forest(*rows, max_bits):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = _forest(*rows, max_bits)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         held = [np.empty(0, np.uint64)] * 3
         for batch in batches:
@@ -157,8 +172,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
                 held = [h[cut:] for h in held]
         yield from out(held)
 
-    return (filed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-            .mapInArrow(run, "a long, b long"))
+    return (filed(fps, max_bits, blocks).repartition("mask", "key")
+            .sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -184,10 +199,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without near duplicates: of each group the row with the smallest id stays.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id can't
-    stand for a group and can't be told apart: all of them stay.
+    Rows are told apart by their id and a hash of their text. Of rows that repeat an id, the one with
+    the smallest hash stands for it, so a text of its own under a repeated id stays; rows
+    without an id come last, and one of a group of such rows stays. Of equal rows one stays.
     """
-    groups = near_groups(docs, id_col, text_col)
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    me = F.struct(F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_id"),
+                  F.xxhash64(text_col).alias("_text"))
+    named = docs.select(me.alias("_me"), F.struct("*").alias("_row"))
+    groups = near_groups(named.select("_me", F.col(f"_row.{text_col}").alias("text")), "_me", "text")
+    chosen = stage(groups.where(F.col("_me") == F.col("component_id")).select("_me").distinct(),
+                   "chosen")
+    return named.join(chosen, "_me", "left_semi").dropDuplicates(["_me"]).select("_row.*")

@@ -71,6 +71,9 @@ _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType():
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([pa.field(f.name, _arrow_type(f.dataType), f.nullable)
+                          for f in kind.fields])
     return _ARROW[kind]
 
 

@@ -78,15 +78,29 @@ def test_links_have_all_components(spark, monkeypatch, split_over):
             base ^= 1 << rng.randrange(64)
         fps.add(base)
     fps = sorted(fps)
-    filed = [(m, f & m, f) for f in fps for m in simhash.block_masks(6, 3)]
-    filed.sort()
-    mask, key, fp = (np.array(c, np.uint64) for c in zip(*filed))
-    links = [(int(a), int(b)) for x, y in simhash._forest(mask, key, fp, 3) for a, b in zip(x, y)]
+    frame = spark.createDataFrame([(simhash._signed(f),) for f in fps * 2], "fp long")
+    links = [tuple(x & (1 << 64) - 1 for x in r) for r in simhash.near_links(frame).collect()]
     wanted = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
     assert all((a ^ b).bit_count() <= 3 for a, b in links)
     assert plain_components(fps, links) == plain_components(fps, wanted)
 
 
+def test_a_family_of_many_is_dealt_out(spark):
+    """Fingerprints that share half their bits: no bucket holds them all, no link is lost."""
+    rng = random.Random(8)
+    half = rng.getrandbits(32) << 32
+    fps = sorted({half | rng.getrandbits(32) for _ in range(20_000)})
+    pairs = [(f, f ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32)) for f in fps[::100]]
+    frame = spark.createDataFrame([(simhash._signed(f),) for f in {*fps, *sum(pairs, ())}], "fp long")
+    buckets = simhash.filed(frame).groupBy("mask", "key").count()
+    assert buckets.agg({"count": "max"}).first()[0] <= simhash.SPLIT_OVER
+    got = simhash.near_links(frame).collect()
+    roots = plain_components({x for p in pairs for x in p} | {
+        x & (1 << 64) - 1 for r in got for x in r}, [
+        tuple(x & (1 << 64) - 1 for x in r) for r in got])
+    assert all(roots[a] == roots[b] for a, b in pairs)
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(3)
@@ -101,8 +115,20 @@ def test_components(spark, shape):
     assert len(got) == len(nodes)
 
 
-def test_keep_one(odd_docs):
+def test_keep_one(spark, odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    # 1, 2 and 3 have no words, like each other; 0 and 5 are copies; rows without an id stay
+    # 1, 2 and 3 have no words, like each other; 0 and 5 are copies
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "4", "6", "None"]
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 1), (1, a, 2), (2, a, 3), (None, a, 4), (None, c, 5), (None, c, 6),
+            (None, c + " end", 7), (3, b, 8)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").repartition(parts)
+        kept = simhash.keep_one(docs).collect()
+        assert sorted(((r.doc_id, r.text[:2]) for r in kept), key=str) == [
+            (1, "a0"), (1, "b0"), (None, "c0")]
