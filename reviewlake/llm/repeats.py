@@ -39,6 +39,7 @@ from .tables import stage, utf8
 
 LENGTH = 400
 GRAM = 64
+STRETCH = 1 << 16  # positions of a text whose ranges are merged at once
 CHUNK = 1 << 21  # bytes of text sampled at once; below 2 ** 24
 BUCKET = 1000  # different contexts of a gram that one task compares
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -281,6 +282,42 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.union(twice).union(_in_buckets(small)).union(_spread(large))
 
 
+def merged(ranges: DataFrame) -> DataFrame:
+    """(key, spans): per text its suffix ranges (key, first, last), sorted, neighbours as one.
+
+    A periodic text may have a range for every byte. They are merged in stretches of STRETCH
+    positions first, then come together as what is left: runs that bytes lie between.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_runs(s) for s in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(spans, _SPANS)], names=["key", "spans"])
+
+    def together(rows: DataFrame, *keys) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+
+    schema = "key binary, spans array<struct<first: int, last: int>>"
+    parts = together(ranges, "key", F.expr(f"first div {STRETCH}").alias("_part"))
+    parts = parts.select("key", "spans").mapInArrow(run, schema).select(
+        "key", F.inline("spans"))
+    return together(parts, "key")
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def _runs(spans: list[dict]) -> list[dict]:
+    """Ranges of suffixes whose bytes touch, as one range each."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["first"], s["last"])):
+        if out and s["first"] <= out[-1]["last"] + LENGTH:
+            out[-1]["last"] = max(out[-1]["last"], s["last"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept are the bytes that stay.
 
@@ -292,8 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"),
                         F.coalesce(utf8(text_col), F.lit(b"")).alias("text"))
     texts = texts.withColumn("key", F.unhex(F.md5("text")))
-    spans = stage(repeated(texts.select("key", "text")).groupBy("key").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    spans = stage(merged(repeated(texts.select("key", "text"))), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

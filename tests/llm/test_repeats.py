@@ -82,3 +82,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert got[5].n_removed == 0
     assert repeats.remove_repeats(odd_docs).count() == odd_docs.count()
     assert repeats.remove_repeats(no_docs).count() == 0
+
+
+def test_ranges_of_a_periodic_text_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "STRETCH", 1000)
+    rows = [(b"k", i, i) for i in range(5000)] + [(b"k", 9000, 9100), (b"k", 9050, 9050),
+                                                  (b"m", 3, 3), (b"m", 404, 404), (b"n", 3, 403)]
+    frame = spark.createDataFrame(rows, "key binary, first int, last int").repartition(3)
+    got = {bytes(r.key): sorted(tuple(s) for s in r.spans) for r in repeats.merged(frame).collect()}
+    assert got == {b"k": [(i, i + 999) for i in range(0, 5000, 1000)] + [(9000, 9100)],
+                   b"m": [(3, 3), (404, 404)], b"n": [(3, 403)]}
+
+
+def test_a_long_periodic_text(spark):
+    check(spark, [b"ab" * 200_000, b"x" + b"ab" * 300 + b"y", b"q" * 500], repeats.LENGTH)
