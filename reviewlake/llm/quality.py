@@ -27,6 +27,7 @@ from .tables import map_arrow, stage, utf8
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words
+LONG = 20_000  # words of a text whose windows are numbers instead of lists
 SYMBOLS = b"#*$%&|<>"
 PRIOR = 0.8  # share of good documents that estimation starts with
 FIRST_WRONG = 0.03  # how often a rule is taken to be wrong at first
@@ -55,6 +56,8 @@ def counts(data: bytes | None) -> tuple[int, ...]:
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words that lie in a window of `width` words found twice or more."""
+    if len(words) > LONG:
+        return _repeated_in_long(words, width)
     windows = list(zip(*(words[i:] for i in range(width))))
     if len(set(windows)) == len(windows):
         return 0
@@ -67,6 +70,21 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return covered
 
 
+def _repeated_in_long(words: list[bytes], width: int) -> int:
+    """The same with a few numbers a word: windows are numbered word by word, equal ones alike."""
+    numbers: dict[bytes, int] = {}
+    word = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    window, counts = word, None
+    for k in range(1, width):
+        code = window[:len(word) - k] * len(numbers) + word[k:]
+        _, window, counts = np.unique(code, return_inverse=True, return_counts=True)
+    inside = np.zeros(len(word) + 1, np.int64)
+    often = np.flatnonzero(counts[window] > 1)
+    np.add.at(inside, often, 1)
+    np.add.at(inside, often + width, -1)
+    return int((np.cumsum(inside) > 0).sum())
+
+
 def _between(value: Column, bad_below: float, good: tuple[float, float], bad_above: float) -> Column:
     return (F.when((value < bad_below) | (value > bad_above), -1)
             .when(value.between(*good), 1).otherwise(0))
