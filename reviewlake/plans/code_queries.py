@@ -17,8 +17,10 @@ from ..session import fresh_path, materialize
 from ..sources import tree_source
 from ..sources.corpus import read_corpus, read_files, write_corpus
 from ..sources.tree import read_tree
+from ..streaming.progress import ProgressListener, repo_progress
 from ..streaming.reviews import (
-    observe_progress, read_reviewed, retry_failed, review_stream)
+    observe_progress, read_reviewed, retry_failed, review_stream, store_stream)
+from ..streaming.store import read_rows
 from .inputs import read, values
 from .registry import query
 from .scan import scan
@@ -489,6 +491,44 @@ def _(spark, sf):
         "repo", "batch_id", "line_number")
 
 
+def _stored(spark, sf, reviewer) -> tuple[str, str, DataFrame]:
+    """A review store that a stream filled in several epochs, its prompts, and its progress."""
+    source, store = fresh_path(spark, "prompts"), fresh_path(spark, "store")
+    built = prompts.build_prompts(batches(spark, sf))
+    built.repartition(4, "repo", "batch_id").write.parquet(source)
+    with ProgressListener(spark) as listener:
+        run = store_stream(spark, source, store, f"{store}-checkpoint", reviewer, files_per_run=1)
+        run.awaitTermination()
+        listener.wait(run)
+    return source, store, listener.table()
+
+
+@query("stream_store", f"""
+    SELECT repo, batch_id, CAST(n AS INT) AS line_number FROM ({_COUNTED}) b""")
+def _(spark, sf):
+    """Files of a store after all its epochs came a second time, as from a lost checkpoint."""
+    source, store, _ = _stored(spark, sf, counting_reviewer)
+    store_stream(spark, source, store, f"{store}-again", steady_reviewer,
+                 files_per_run=1).awaitTermination()
+    return review.parse_reports(read_rows(spark, store).drop("epoch"))[0].select(
+        "repo", "batch_id", "line_number")
+
+
+@query("stream_progress", f"""
+    SELECT repo, count(*) FILTER (batch_id % 7 <> 3) AS done,
+      count(*) FILTER (batch_id % 7 = 3) AS failed,
+      sum(count(*) FILTER (batch_id % 7 <> 3)) OVER () AS all_done,
+      sum(count(*) FILTER (batch_id % 7 = 3)) OVER () AS all_failed
+    FROM ({_COUNTED}) b GROUP BY repo""")
+def _(spark, sf):
+    """Counts of each repository from the store, and of all from the events of its epochs."""
+    _, store, told = _stored(spark, sf, counting_reviewer)
+    whole = told.agg(F.sum("done").alias("all_done"), F.sum("failed").alias("all_failed")).first()
+    return repo_progress(spark, store, told).groupBy("repo").agg(
+        F.sum("done").alias("done"), F.sum("failed").alias("failed")).withColumns(
+        {name: F.lit(whole[name]).cast("decimal(38,0)") for name in ("all_done", "all_failed")})
+
+
 @query("review_progress", f"""
     SELECT repo, count(*) FILTER (batch_id % 7 <> 3) AS done, count(*) AS total,
       count(*) FILTER (batch_id % 7 <> 3) / count(*) AS ratio FROM ({_COUNTED}) b GROUP BY repo""")

@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.review import Reviewer, pending, review_batches
 from ..schemas import PROMPTS, REVIEWED
+from .progress import watched
+from .store import FORMAT, register
 
 FILES_PER_RUN = 256
 
@@ -43,6 +45,19 @@ def review_stream(spark: SparkSession, prompts: str, out: str, checkpoint: str,
     )
 
 
+def store_stream(spark: SparkSession, prompts: str, store: str, checkpoint: str,
+                 reviewer: Reviewer, files_per_run: int = FILES_PER_RUN,
+                 **options) -> StreamingQuery:
+    """The same into a review store, which commits each micro-batch as an epoch."""
+    register(spark)
+    stream = spark.readStream.schema(PROMPTS).option(
+        "maxFilesPerTrigger", files_per_run).parquet(prompts)
+    return (
+        watched(review_batches(stream, reviewer, **options)).writeStream.format(FORMAT)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(store)
+    )
+
+
 def retry_failed(spark: SparkSession, prompts: str, out: str, reviewer: Reviewer,
                  **options) -> None:
     """Review again what has no report yet, into a run folder of its own."""
