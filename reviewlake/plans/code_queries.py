@@ -517,8 +517,8 @@ def _(spark, sf):
 @query("stream_progress", f"""
     SELECT repo, count(*) FILTER (batch_id % 7 <> 3) AS done,
       count(*) FILTER (batch_id % 7 = 3) AS failed,
-      sum(count(*) FILTER (batch_id % 7 <> 3)) OVER () AS all_done,
-      sum(count(*) FILTER (batch_id % 7 = 3)) OVER () AS all_failed
+      CAST(sum(count(*) FILTER (batch_id % 7 <> 3)) OVER () AS BIGINT) AS all_done,
+      CAST(sum(count(*) FILTER (batch_id % 7 = 3)) OVER () AS BIGINT) AS all_failed
     FROM ({_COUNTED}) b GROUP BY repo""")
 def _(spark, sf):
     """Counts of each repository from the store, and of all from the events of its epochs."""
@@ -526,7 +526,7 @@ def _(spark, sf):
     whole = told.agg(F.sum("done").alias("all_done"), F.sum("failed").alias("all_failed")).first()
     return repo_progress(spark, store, told).groupBy("repo").agg(
         F.sum("done").alias("done"), F.sum("failed").alias("failed")).withColumns(
-        {name: F.lit(whole[name]).cast("decimal(38,0)") for name in ("all_done", "all_failed")})
+        {name: F.lit(whole[name]).cast("long") for name in ("all_done", "all_failed")})
 
 
 @query("review_progress", f"""
