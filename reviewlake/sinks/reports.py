@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.findings import LIST_PAGE, findings_struct
@@ -47,6 +49,69 @@ def write_web_csv(findings: DataFrame, path: str, mode: str = "error") -> None:
     header.union(web_csv_lines(findings)).write.mode(mode).text(path)
 
 
+def write_web_csv_file(findings: DataFrame, path: str, order: Sequence[str],
+                       parts: int | None = None) -> None:
+    """Short report as one file: the header, lines in `order`, no newline at the end.
+
+    Lines are dealt out by ranges of `order` and written as a table once. The bytes of each range give
+    where it begins in the file, and tasks write their ranges there, all at the same time; written
+    again after a failure, the bytes are the same. The file takes its name when all are done.
+    `path` is a file, or a file: URI, in a folder that every task can write to; a
+    store without writes in the middle of a file has `write_web_csv`.
+    """
+    target = _local(path)
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    keys = [f"_k{i}" for i in range(len(order))]
+    lines = findings.select(web_line().alias("line"),
+                            *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    dealt = (lines.repartitionByRange(parts, *keys) if parts else lines.repartitionByRange(*keys))
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "report")
+    # a line takes a newline before it: the header is the first
+    sizes = dealt.groupBy("part").agg(F.sum(F.octet_length("line") + 1).alias("size")).collect()
+    header = ",".join(WEB_COLUMNS).encode()
+    starts, end = {}, len(header)
+    for part, size in sorted((r.part, r["size"]) for r in sizes):
+        starts[part], end = end, end + size
+    waiting = os.path.join(os.path.dirname(target), f".{uuid4().hex}")
+
+    def write(rows: Iterator[Row]) -> None:
+        file, at, held = None, 0, []
+        for row in rows:
+            if file is None or row.part != part:  # a task may hold several ranges
+                if file is not None:
+                    os.pwrite(file, b"".join(held), at)
+                    held = []
+                else:
+                    file = os.open(waiting, os.O_WRONLY)
+                part, at = row.part, starts[row.part]
+            held.append(b"\n" + row.line.encode())
+            if len(held) >= 1000:
+                at += os.pwrite(file, b"".join(held), at)
+                held = []
+        if file is not None:
+            os.pwrite(file, b"".join(held), at)
+            os.fsync(file)
+            os.close(file)
+
+    try:
+        with open(waiting, "wb") as f:
+            f.write(header)
+            f.truncate(end)
+        dealt.repartition(max(1, len(starts)), "part").sortWithinPartitions(
+            "part", *keys).foreachPartition(write)
+        os.replace(waiting, target)
+    finally:
+        if os.path.exists(waiting):
+            os.remove(waiting)
+
+
+def _local(path: str) -> str:
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"not a folder that files can be written to in the middle: {path}")
+    return os.path.abspath("/" + path.removeprefix("file:").lstrip("/")
+                           if path.startswith("file:") else path)
+
+
 def history_rows(findings: DataFrame, ts: Column, repos: DataFrame | None = None) -> DataFrame:
     """One scan-history row per repo; `repos` adds scanned repos without findings."""
     rows = findings.groupBy("repo").agg(

@@ -4,6 +4,7 @@ import os
 import datetime as dt
 import glob
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -13,16 +14,18 @@ from reviewlake.operators import findings as fo
 from reviewlake.operators import health as ho
 from reviewlake.operators import history as hist
 from reviewlake.operators import pull_requests as pr
-from reviewlake.schemas import FINDING_COLUMNS, HISTORY
+from reviewlake.schemas import FINDING_COLUMNS, HISTORY, SEVERITIES
 from reviewlake.session import fresh_path
 from reviewlake.sinks import reports
 from reviewlake.sources.repo_meta import parse_repo_meta
 from reviewlake.sources.tree import read_tree
 
-BASE = {"repo": "r", "file_path": "test.py", "function_name": "foo", "line_number": 1,
-        "issue_category": "Bug", "severity": "High", "comment": "c", "suggested_fix": "f",
-        "vulnerable_snippet": "return x / y", "impact": "i", "confidence_score": 90,
+BASE = {"repo": "r", "file_path": "shop/cart.py", "function_name": "total_of", "line_number": 42,
+        "issue_category": "Performance", "severity": "High", "comment": "c", "suggested_fix": "f",
+        "vulnerable_snippet": "rows += query(row.id)", "impact": "i", "confidence_score": 85,
         "needs_verification": False}
+KEY = "shop/cart.py_total_of_42"
+OTHER = "shop/cart.py_price_42"
 SCHEMA = ("repo string, idx long, file_path string, function_name string, line_number int, "
           "issue_category string, severity string, comment string, suggested_fix string, "
           "vulnerable_snippet string, impact string, confidence_score int, "
@@ -36,11 +39,16 @@ def make(spark, *changes: dict):
     return fo.normalize_findings(df)
 
 
-@pytest.mark.parametrize("given,score,verify", [
-    (150, 100, False), (-5, 0, True), (90, 90, False), (60, 60, True), (80, 80, False), (79, 79, True)])
-def test_confidence_is_clamped_and_the_flag_follows(spark, given, score, verify):
-    row = make(spark, {"confidence_score": given, "needs_verification": not verify}).first()
-    assert (row.confidence_score, row.needs_verification) == (score, verify)
+def test_confidence_is_clamped_and_the_flag_follows(spark):
+    """Random scores and the edges of both rules, under every severity, whatever the flag said."""
+    rng = random.Random(11)
+    scores = [rng.randrange(-200, 300) for _ in range(60)] + [-1, 0, 1, 79, 80, 81, 99, 100, 101]
+    given = [{"confidence_score": n, "severity": severity, "needs_verification": rng.random() < 0.5}
+             for n in scores for severity in SEVERITIES]
+    rows = make(spark, *given).orderBy("idx").collect()
+    for g, r in zip(given, rows, strict=True):
+        kept = sorted((0, g["confidence_score"], 100))[1]
+        assert (r.confidence_score, r.needs_verification) == (kept, kept < 80)
 
 
 def test_score_without_findings_is_full(spark):
@@ -71,16 +79,16 @@ def test_scores_grades_and_halves(spark):
 
 def test_false_positives_carry_no_penalty(spark):
     found = make(spark, {"severity": "Critical", "confidence_score": 100},
-                 {"severity": "Critical", "confidence_score": 100, "function_name": "bar"},
+                 {"severity": "Critical", "confidence_score": 100, "function_name": "price"},
                  {"repo": "q", "severity": "High"})
     feedback = spark.createDataFrame(
-        [("r", "test.py_foo_1", "confirmed", 1), ("r", "test.py_foo_1", "false_positive", 2),
-         ("r", "test.py_bar_1", "false_positive", 1), ("r", "test.py_bar_1", "confirmed", 2),
-         ("q", "test.py_foo_1", "false_positive", 1)],
+        [("r", KEY, "confirmed", 1), ("r", KEY, "false_positive", 2),
+         ("r", OTHER, "false_positive", 1), ("r", OTHER, "confirmed", 2),
+         ("q", KEY, "false_positive", 1)],
         "repo string, finding_key string, verdict string, ts int")
     latest = ho.latest_feedback(feedback)
     assert {h.repo: h.score for h in ho.health(found, latest).collect()} == {"r": 75, "q": 100}
-    assert {h.repo: h.score for h in ho.health(found).collect()} == {"r": 50, "q": 91}
+    assert {h.repo: h.score for h in ho.health(found).collect()} == {"r": 50, "q": 92}
     assert [r.idx for r in ho.drop_false_positives(found, latest).collect()] == [1]
 
 
@@ -103,8 +111,45 @@ def test_web_csv_quotes_every_cell(spark):
     assert text == (
         "file_path,function_name,line_number,issue_category,severity,comment,suggested_fix,"
         "confidence_score,needs_verification\n"
-        '"test.py","foo","1","Bug","High","a ""b""","f","90","false"\n'
-        '"test.py","foo","1","Bug","High","null","f","5","true"\n')
+        '"shop/cart.py","total_of","42","Performance","High","a ""b""","f","85","false"\n'
+        '"shop/cart.py","total_of","42","Performance","High","null","f","5","true"\n')
+
+
+def golden(rows: list) -> bytes:
+    """The short report as one text: a bare header, quoted cells, no newline at the end."""
+    def cell(value) -> str:
+        text = "null" if value is None else str(value).lower() if value in (True, False) and \
+            isinstance(value, bool) else str(value)
+        return '"' + text.replace('"', '""') + '"'
+
+    lines = [",".join(reports.WEB_COLUMNS)]
+    lines += [",".join(cell(r[c]) for c in reports.WEB_COLUMNS) for r in rows]
+    return "\n".join(lines).encode()
+
+
+@pytest.mark.parametrize("parts", [1, 7, 50])
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_web_csv_as_one_file(spark, tmp_path, parts, n):
+    found = make(spark, *[{"comment": "é\n" * (i % 5) + f'"{i}"', "line_number": i * 7 % n}
+                          for i in range(n)]).repartition(parts)
+    rows = found.orderBy("line_number", "idx").collect()
+    path = tmp_path / "out" / "report.csv"
+    for _ in range(2):  # a report written again replaces the file
+        reports.write_web_csv_file(found, f"file:{path}", ["line_number", "idx"], parts=parts)
+        assert path.read_bytes() == golden(rows)
+    assert os.listdir(path.parent) == ["report.csv"]
+
+
+def test_a_report_that_fails_leaves_the_file(spark, tmp_path):
+    path = tmp_path / "report.csv"
+    reports.write_web_csv_file(make(spark, {}), str(path), ["idx"])
+    before = path.read_bytes()
+    broken = make(spark, {}, {}).withColumn("comment", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        reports.write_web_csv_file(broken, str(path), ["idx"])
+    assert path.read_bytes() == before and os.listdir(tmp_path) == ["report.csv"]
+    with pytest.raises(ValueError):
+        reports.write_web_csv_file(make(spark, {}), "hdfs://h/report.csv", ["idx"])
 
 
 def test_responses_page_by_position(spark):
@@ -157,9 +202,9 @@ def test_pr_plan_caps_before_the_file_test(spark):
     assert [(p.idx, p.status, p.side) for p in plan] == [
         (1, "skipped", "RIGHT"), (3, "planned", "RIGHT"), (0, "planned", "RIGHT")]
     assert plan[1].body == (
-        "**[AI Code Review] Bug — High Severity**\n\nc\n\n**Suggested fix:** f\n\n"
+        "**[AI Code Review] Performance — High Severity**\n\nc\n\n**Suggested fix:** f\n\n"
         "*Confidence: 50% — ⚠️ Verify before acting*") and plan[1].commit_id == "abc"
-    assert plan[2].body.endswith("*Confidence: 90%*")
+    assert plan[2].body.endswith("*Confidence: 85%*")
     outcome = pr.pr_outcome(pr.plan_pr_comments(found, changed, 3)).first()
     assert (outcome.posted, outcome.skipped, outcome.failed) == (2, 1, 0)
 
