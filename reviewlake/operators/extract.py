@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -81,6 +82,19 @@ def register_language(extension: str, language: str, extractor: Extractor) -> No
     _EXTRACTORS[language] = extractor
 
 
+@contextlib.contextmanager
+def added_language(extension: str, language: str, extractor: Extractor) -> Iterator[None]:
+    """A language for the definitions that are asked for within."""
+    before = dict(_LANGUAGES), dict(_EXTRACTORS)
+    register_language(extension, language, extractor)
+    try:
+        yield
+    finally:
+        for known, old in zip((_LANGUAGES, _EXTRACTORS), before):
+            known.clear()
+            known.update(old)
+
+
 def languages() -> dict[str, str]:
     """Suffixes with an extractor, by now, and their languages."""
     return dict(_LANGUAGES)

@@ -11,30 +11,22 @@ epoch brings again (a stream started anew) is the latest epoch's.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 
 from ..schemas import REVIEWED
+from ..sinks.files import delete_file, names, place, read_entry, write_entry
 
 FORMAT = "review_store"
 
 
-def place(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder given as a path or URI."""
-    if folder.startswith("file:"):
-        folder = "/" + folder.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     """The file of a task, if it had rows, and how many batches in it have a report."""
@@ -81,35 +73,16 @@ class StoreWriter(DataSourceStreamArrowWriter):
         written = [m for m in messages if m is not None and m.file]
         entry = {"epoch": batchId, "files": [m.file for m in written],
                  "rows": sum(m.rows for m in written), "done": sum(m.done for m in written)}
-        files.create_dir(f"{folder}/epochs", recursive=True)
-        before = _entry(files, f"{folder}/epochs/{batchId}.json")
-        waiting = f"{folder}/epochs/_{uuid.uuid4().hex}"
-        with files.open_output_stream(waiting) as out:
-            out.write(json.dumps(entry).encode())
-        files.move(waiting, f"{folder}/epochs/{batchId}.json")
+        before = read_entry(files, f"{folder}/epochs/{batchId}.json")
+        write_entry(files, f"{folder}/epochs/{batchId}.json", entry)
         for name in before.get("files", ()):
-            _delete(files, f"{folder}/data/{name}")
+            delete_file(files, f"{folder}/data/{name}")
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
         files, folder = place(self.path)
         for m in messages:
             if m is not None and m.file:
-                _delete(files, f"{folder}/data/{m.file}")
-
-
-def _entry(files: fs.FileSystem, path: str) -> dict:
-    try:
-        with files.open_input_stream(path) as f:
-            return json.loads(f.read())
-    except FileNotFoundError:
-        return {}
-
-
-def _delete(files: fs.FileSystem, path: str) -> None:
-    try:
-        files.delete_file(path)
-    except FileNotFoundError:
-        pass
+                delete_file(files, f"{folder}/data/{m.file}")
 
 
 def register(spark: SparkSession) -> None:
@@ -119,9 +92,8 @@ def register(spark: SparkSession) -> None:
 def epochs(path: str) -> list[dict]:
     """What has been committed: epoch, files, rows, done. One small entry per epoch."""
     files, folder = place(path)
-    found = files.get_file_info(fs.FileSelector(f"{folder}/epochs", allow_not_found=True))
-    names = [f.path for f in found if f.base_name.endswith(".json")]
-    return sorted((_entry(files, name) for name in names), key=lambda e: e["epoch"])
+    found = [read_entry(files, f"{folder}/epochs/{n}") for n in names(files, f"{folder}/epochs")]
+    return sorted(found, key=lambda e: e["epoch"])
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -146,8 +118,7 @@ def sweep(path: str) -> int:
     """Delete the files of attempts that were never committed; no stream may be writing."""
     files, folder = place(path)
     kept = {name for e in epochs(path) for name in e["files"]}
-    found = files.get_file_info(fs.FileSelector(f"{folder}/data", allow_not_found=True))
-    gone = [f.path for f in found if f.base_name not in kept]
+    gone = [n for n in names(files, f"{folder}/data") if n not in kept]
     for name in gone:
-        _delete(files, name)
+        delete_file(files, f"{folder}/data/{name}")
     return len(gone)
