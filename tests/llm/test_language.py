@@ -72,3 +72,48 @@ def test_svm_separates(seed):
     ("\u4e2d", True), ("\u02b0", True), ("\u00aa", True)])
 def test_only_letters_make_a_language(text, has):
     assert (language.trigrams(text) is not None) == has
+
+
+def test_votes_one_by_one(docs):
+    """Both steps of a prediction, worked out pair by pair from the machines' weights."""
+    model = language.train(docs)
+
+    def winner(machines, x):
+        votes, sums = dict.fromkeys(machines.classes, 0), dict.fromkeys(machines.classes, 0.0)
+        for (i, j), w in zip(machines.pairs, machines.weights):
+            margin = float(sum(a * b for a, b in zip(w[:-1].tolist(), x.tolist()) if b) + w[-1])
+            a, b = machines.classes[i], machines.classes[j]
+            votes[a if margin >= 0 else b] += 1
+            sums[a] += margin
+            sums[b] -= margin
+        return max(machines.classes, key=lambda c: (votes[c], sums[c]))
+
+    rows = docs.collect()[:60]
+    for r in rows:
+        x = language.features(r.text)
+        if x is None:
+            assert model.predict(r.text) == ("und", 0.0)
+            continue
+        family = winner(model.top, x)
+        assert model.predict(r.text)[0] == winner(model.within[family], x)
+    assert len({model.predict(r.text)[0] for r in rows}) > 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_svm_against_a_plain_solver(seed):
+    """The loss that dual coordinate descent reaches is that of many plain subgradient steps."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    y = np.where(x @ np.array([1, -1, 0.5, 0]) + 0.5 * rng.normal(size=60) > 0.3, 1, -1)
+    one = np.hstack([x, np.ones((60, 1), np.float32)])
+    cost = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum())) * 0.1
+
+    def loss(w):
+        return 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (one @ w))).sum()
+
+    w = best = np.zeros(5)
+    for t in range(1, 40_001):
+        short = y * (one @ w) < 1
+        w = w - (w - (cost * y * short) @ one) / t ** 0.5 / 20
+        best = min(best, w, key=loss)
+    assert loss(language.train_svm(x, y, cost=0.01).astype(float)) <= 1.01 * loss(best) + 1e-6

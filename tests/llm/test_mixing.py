@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -83,3 +84,40 @@ def test_mixed_repeats_rows(docs):
     rows = mixing.mixed(docs)
     assert rows.columns == docs.columns
     assert Counter(r.doc_id for r in rows.collect()) == copies
+
+
+def test_rates_solve_the_dual(spark):
+    """Each document's rate against a plain bisection for its source's multiplier."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(0, 300), rng.choice(["a"] * 6 + ["b", "b", "c", "d"]))
+            for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kinds = set()
+    for name in {r.source for r in got}:
+        own = [r for r in got if r.source == name]
+        target, mean = own[0].target, sum(r.size for r in own) / len(own)
+        if target >= 3 * own[0].source_size:
+            assert all(r.rate == 3 for r in own)
+            kinds.add("full")
+            continue
+
+        def rate(m, size):
+            return 3 / (1 + 2 * math.exp(-m * size / mean))
+
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            if sum(r.size * rate(middle, r.size) for r in own) < target:
+                low = middle
+            else:
+                high = middle
+        for r in own:
+            assert r.rate == pytest.approx(rate(low, r.size), rel=1e-5)
+        kinds.add("more" if low > 0 else "less")
+        # among all rates with this sum, the tilted ones are nearest to one copy each: moving words
+        # from one document to another adds relative entropy
+        entropy = lambda x: x * math.log(x) + (3 - x) * math.log((3 - x) / 2)
+        a, b = [r for r in own if r.size > 50 and 0.01 < r.rate < 2.99][:2]
+        moved = entropy(a.rate + 1e-3) + entropy(b.rate - 1e-3 * a.size / b.size)
+        assert moved >= entropy(a.rate) + entropy(b.rate) - 1e-9
+    assert {"more", "less"} <= kinds
