@@ -19,6 +19,8 @@ from ..sinks import reports
 from ..sinks.feedback import append_feedback, compact, read_feedback
 from ..sources.repo_meta import parse_repo_meta
 from ..sources.targets import check_targets, validate_targets
+from ..streaming.health import (
+    EVENTS, finding_events, health_stream, running_health, verdict_events)
 from .inputs import read, values
 from .registry import query
 
@@ -204,14 +206,35 @@ def _(spark, sf):
     return ho.health(findings(spark, sf), grade_on="rounded")
 
 
-@query("health_with_feedback", _health_sql(f"""
-    (SELECT f.*, l.verdict FROM (SELECT *, {_KEY} AS finding_key FROM findings_v) f
-     LEFT JOIN ({_LATEST}) l USING (repo, finding_key)) j""", "raw",
-    "verdict IS NULL OR verdict <> 'false_positive'"))
+def _feedback_health_sql(repo: str = "repo") -> str:
+    return _health_sql(f"""
+    (SELECT f.*, l.verdict FROM (
+       SELECT * REPLACE ({repo} AS repo), {_KEY} AS finding_key FROM findings_v) f
+     LEFT JOIN (SELECT repo, finding_key, arg_max(verdict, n * 1000000000 + idx) AS verdict
+       FROM (SELECT * REPLACE ({repo} AS repo) FROM feedback_v) v GROUP BY repo, finding_key) l
+     USING (repo, finding_key)) j""", "raw", "verdict IS NULL OR verdict <> 'false_positive'")
+
+
+@query("health_with_feedback", _feedback_health_sql())
 def _(spark, sf):
     return ho.health(findings(spark, sf), feedback(spark, sf))
 
 
+_ORG = "concat('org_', CAST(substr(repo, 6) AS BIGINT) % 25)"
+
+
+@query("running_health", _feedback_health_sql(_ORG))
+def _(spark, sf):
+    """Health of groups of repositories, from findings and verdicts in several micro-batches."""
+    source, out = fresh_path(spark, "events"), fresh_path(spark, "health")
+    verdicts = read(spark, sf, "feedback_v").withColumn("at", F.expr("n * 1000000000 + idx"))
+    events = finding_events(findings(spark, sf)).unionByName(verdict_events(verdicts, "at"))
+    events.withColumn("repo", F.expr(_ORG)).repartition(4, "finding_key", "at").write.parquet(source)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 2).parquet(source)
+    health_stream(spark, stream, out, f"{out}-checkpoint").awaitTermination()
+    return running_health(spark, out)
+
+
 @query("feedback_table", _LATEST)
 def _(spark, sf):
     """Verdicts that came in four batches, one of them twice, folded after the second."""
