@@ -501,6 +501,31 @@ def _(spark, sf):
         .csv(path)
 
 
+def _cell_sql(col: str) -> str:
+    text = (f"CASE WHEN {col} THEN 'True' ELSE 'False' END" if col == "needs_verification"
+            else f"coalesce(CAST({col} AS STRING), '')")
+    return (f"CASE WHEN regexp_matches({text}, '[\",\\r\\n]') THEN '\"' || "
+            f"replace({text}, '\"', '\"\"') || '\"' ELSE {text} END")
+
+
+@query("report_csv_file", f"""
+    SELECT CAST(octet_length(encode(text)) AS BIGINT) AS bytes, md5(text) AS digest FROM (
+      SELECT '{",".join(FINDING_COLUMNS)}' || chr(10) || coalesce(string_agg(
+        {" || ',' || ".join(map(_cell_sql, FINDING_COLUMNS))} || chr(10), '' ORDER BY idx), '')
+        AS text FROM findings_v) t""")
+def _(spark, sf):
+    """The whole report as one file, byte by byte."""
+    path = f"{fresh_path(spark, 'report')}.csv"
+    reports.write_report_csv_file(findings(spark, sf), path, ["idx"])
+    return _file_digest(spark, path)
+
+
+def _file_digest(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.length("content").cast("long").alias("bytes"),
+                        F.md5("content").alias("digest"))
+
+
 @query("web_csv", "SELECT {} AS line FROM findings_v".format(" || ',' || ".join(
     f"'\"' || replace(CAST({c} AS STRING), '\"', '\"\"') || '\"'" for c in reports.WEB_COLUMNS)))
 def _(spark, sf):
@@ -519,9 +544,7 @@ def _(spark, sf):
     """The short report as one file, byte by byte."""
     path = f"{fresh_path(spark, 'web')}.csv"
     reports.write_web_csv_file(findings(spark, sf), path, ["idx"])
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.length("content").cast("long").alias("bytes"),
-                        F.md5("content").alias("digest"))
+    return _file_digest(spark, path)
 
 
 @query("repo_meta", """

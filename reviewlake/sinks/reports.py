@@ -49,27 +49,48 @@ def write_web_csv(findings: DataFrame, path: str, mode: str = "error") -> None:
     header.union(web_csv_lines(findings)).write.mode(mode).text(path)
 
 
+def report_line() -> Column:
+    """One line of the whole report: quotes only where a cell needs them."""
+    cells = []
+    for c in FINDING_COLUMNS:
+        text = F.col(c).cast("string")
+        text = F.coalesce(F.initcap(text) if c == "needs_verification" else text, F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        cells.append(F.when(text.rlike('[",\\r\\n]'), quoted).otherwise(text))
+    return F.concat_ws(",", *cells)
+
+
+def write_report_csv_file(findings: DataFrame, path: str, order: Sequence[str],
+                          parts: int | None = None) -> None:
+    """All 11 columns as one file: the header, lines in `order`, each with a newline behind it."""
+    _write_file(findings, report_line(), ",".join(FINDING_COLUMNS), "\n", path, order, parts)
+
+
 def write_web_csv_file(findings: DataFrame, path: str, order: Sequence[str],
                        parts: int | None = None) -> None:
-    """Short report as one file: the header, lines in `order`, no newline at the end.
+    """Short report as one file: the header, lines in `order`, no newline at the end."""
+    _write_file(findings, web_line(), ",".join(WEB_COLUMNS), "", path, order, parts)
+
+
+def _write_file(rows: DataFrame, line: Column, header: str, ending: str, path: str,
+                order: Sequence[str], parts: int | None) -> None:
+    """One file of a header, the `line` of each row in `order`, and `ending`.
 
     Lines are dealt out by ranges of `order` and written as a table once. The bytes of each range give
     where it begins in the file, and tasks write their ranges there, all at the same time; written
     again after a failure, the bytes are the same. The file takes its name when all are done.
-    `path` is a file, or a file: URI, in a folder that every task can write to; a
-    store without writes in the middle of a file has `write_web_csv`.
+    `path` is a file, or a file: URI, in a folder that every task can write to; a store
+    without writes in the middle of a file has the writers of many parts.
     """
     target = _local(path)
     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
     keys = [f"_k{i}" for i in range(len(order))]
-    lines = findings.select(web_line().alias("line"),
-                            *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    lines = rows.select(line.alias("line"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
     dealt = (lines.repartitionByRange(parts, *keys) if parts else lines.repartitionByRange(*keys))
     dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "report")
     # a line takes a newline before it: the header is the first
     sizes = dealt.groupBy("part").agg(F.sum(F.octet_length("line") + 1).alias("size")).collect()
-    header = ",".join(WEB_COLUMNS).encode()
-    starts, end = {}, len(header)
+    starts, end = {}, len(header.encode())
     for part, size in sorted((r.part, r["size"]) for r in sizes):
         starts[part], end = end, end + size
     waiting = os.path.join(os.path.dirname(target), f".{uuid4().hex}")
@@ -95,8 +116,10 @@ def write_web_csv_file(findings: DataFrame, path: str, order: Sequence[str],
 
     try:
         with open(waiting, "wb") as f:
-            f.write(header)
-            f.truncate(end)
+            f.write(header.encode())
+            f.seek(end)
+            f.write(ending.encode())
+            f.truncate(end + len(ending))
         dealt.repartition(max(1, len(starts)), "part").sortWithinPartitions(
             "part", *keys).foreachPartition(write)
         os.replace(waiting, target)

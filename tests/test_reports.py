@@ -140,6 +140,18 @@ def test_web_csv_as_one_file(spark, tmp_path, parts, n):
     assert os.listdir(path.parent) == ["report.csv"]
 
 
+@pytest.mark.parametrize("parts", [1, 50])
+def test_report_csv_as_one_file(spark, tmp_path, parts):
+    texts = ["plain", 'say "hi", then\nleave', " padded ", "", None, "é — \\ back", "a,b", "c\rd"]
+    found = make(spark, *[{"comment": texts[i % 8], "impact": texts[i // 8 % 8]}
+                          for i in range(100)])
+    path = tmp_path / "report.csv"
+    reports.write_report_csv_file(found.repartition(9), str(path), ["idx"], parts=parts)
+    rows = [r.asDict() for r in found.orderBy("idx").collect()]
+    wanted = pd.DataFrame(rows)[list(FINDING_COLUMNS)].to_csv(index=False)
+    assert path.read_bytes().decode() == wanted
+
+
 def test_a_report_that_fails_leaves_the_file(spark, tmp_path):
     path = tmp_path / "report.csv"
     reports.write_web_csv_file(make(spark, {}), str(path), ["idx"])
