@@ -345,7 +345,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(
+    # by shuffle at every size: few spans would be broadcast on small tables only
+    return texts.join(spans.hint("merge"), "key", "left").select("id", "text", "spans").mapInArrow(
         run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
              "kept binary")
 
