@@ -29,7 +29,8 @@ from .tables import map_arrow, stage
 
 SAMPLE_ROWS = 12_000  # labelled texts that learning expects to take at most
 PREFIXES = range(4, 8)
-MIN_TEXTS = 3
+MIN_TEXTS = 3  # toxic texts that hold an entry, at least; of many, one in
+ONE_IN = 250
 MIN_PRECISION = 0.8
 MAX_EXCEPTION = 0.3  # precision of a phrase that does not count
 
@@ -134,7 +135,8 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     They are chosen by a hash of the key, alike in every run, before any text is read; being so
     few, their keys are broadcast to the texts in `docs`. Texts are counted where they lie; only
     entries in the lexicon and two numbers a text reach the driver. The lexicon holds every entry
-    that is precise and in MIN_TEXTS toxic texts or more, so the sample bounds it and nothing else. Null keys and labels are left
+    that is precise and in enough toxic texts, MIN_TEXTS and one in ONE_IN of them: in a larger
+    sample more words stand in a few toxic texts by chance. Null keys and labels are left
     out; of several labels of a key the largest counts. Without toxic texts the lexicon is empty.
     """
     flags = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(
@@ -157,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     odds = (F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5))
             - F.log((F.col("b") + 0.5) / (other - F.col("b") + 0.5)))
     precise = (F.col("a") / toxic) >= MIN_PRECISION * (F.col("a") / toxic + F.col("b") / other)
-    kept = (counted.where((F.col("a") >= min(MIN_TEXTS, toxic)) & precise)
+    kept = (counted.where((F.col("a") >= min(max(MIN_TEXTS, toxic / ONE_IN), toxic)) & precise)
             .select("entry", odds.alias("weight")).collect())
     weights = _without_longer({r.entry: r.weight for r in kept if r.weight > 0})
     exceptions = _exceptions(sample, weights, toxic, other)
