@@ -157,7 +157,7 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
 
     `ord` is unique within a repo and roughly dense; its gaps only make chunks smaller. Rows
     pass through Python, so they should not carry code; see `assign_batches`. They are written
-    once, being read for the summaries and again for the numbering.
+    twice: for the summaries, and with the state their chunk is entered with for the numbering.
     """
     longs = {name: F.col(name).cast("long") for name in ("ord", "tokens")}
     rows = rows.withColumns(longs).withColumn("chunk", F.expr(f"ord div {chunk_rows}"))
@@ -180,7 +180,9 @@ def assign(rows: DataFrame, max_tokens: int = MAX_TOKENS, chunk_rows: int = CHUN
     fresh = {"state": F.lit(NO_BATCH).cast("long"), "started": F.lit(0).cast("long")}
     entered = rows.join(entries, ["repo", "chunk"], "left").withColumns(
         {name: F.coalesce(name, default) for name, default in fresh.items()})
-    entered = entered.select(*rows.columns, *fresh)
+    # written: dealt out straight behind the join, its shuffle would serve for both, and adaptive
+    # execution may split that one in the middle of a chunk
+    entered = materialize(entered.select(*rows.columns, *fresh), "entered")
     return _by_chunk(entered).mapInPandas(number_chunks, numbered)
 
 

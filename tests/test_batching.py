@@ -81,6 +81,18 @@ def test_assign_over_many_chunks_and_a_hot_repo(spark, chunk_rows, stretch_chunk
         assert got == {r: packed(t, 100) for r, t in groups.items()}
 
 
+def test_chunks_stay_whole_behind_a_join_that_adapts(spark):
+    tokens = [i * 7 % 61 for i in range(40_000)]
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.lit("r").alias("repo"), F.col("id").alias("ord"),
+        (F.col("id") * 7 % 61).alias("tokens")).repartition(8)
+    # few entries by what was measured, not by what was planned: the join turns into a broadcast
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold=64 << 10,
+              spark__sql__adaptive__coalescePartitions__enabled="false"):
+        got = [x.batch_id for x in sorted(b.assign(rows, 100, 1000).collect(), key=lambda x: x.ord)]
+    assert got == packed(tokens, 100)
+
+
 def _by_repo(df):
     rows = df.collect()
     return [(r, [x for x in rows if x.repo == r]) for r in {x.repo for x in rows}]
