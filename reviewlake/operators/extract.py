@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.batches import each_row
 from ..functions.text import decode_text, has_text
 from ..schemas import BLOCK_COLUMNS, DEFINITIONS
 from .files import source_files
@@ -24,7 +25,7 @@ MAX_CODE_LENGTH = 8000
 PYTHON_CUT = "\n    # ... [truncated — function exceeds max length]"
 SCRIPT_CUT = "\n// ... [truncated — block exceeds max length]"
 
-_OUTPUT_BYTES = 16 << 20  # text held before a result frame is handed to Spark
+_OUTPUT_CHARS = 2 << 20  # text held before a result frame is handed to Spark
 
 _DEFINITIONS = pa.schema([
     ("repo", pa.string()), ("path", pa.string()), ("language", pa.string()),
@@ -111,19 +112,18 @@ def extract_definitions(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for batch in batches:
-            for file in batch.to_pylist():
-                source = file.pop("content")
-                try:
-                    found = [{**file, **d, "ord": i}
-                             for i, d in enumerate(extractors[file["language"]](source))]
-                except Exception as e:  # a bad file costs only itself
-                    found = [{**file, "error": f"{type(e).__name__}: {e}"}]
-                rows += found
-                size += sum(len(r.get("code") or "") for r in found)
-                if size > _OUTPUT_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, _DEFINITIONS)
-                    rows, size = [], 0
+        for file in each_row(batches):
+            source = file.pop("content")
+            try:
+                found = [{**file, **d, "ord": i}
+                         for i, d in enumerate(extractors[file["language"]](source))]
+            except Exception as e:  # a bad file costs only itself
+                found = [{**file, "error": f"{type(e).__name__}: {e}"}]
+            rows += found
+            size += sum(len(r.get("code") or "") + len(r.get("docstring") or "") for r in found)
+            if size > _OUTPUT_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, _DEFINITIONS)
+                rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, _DEFINITIONS)
 
     return sources.mapInArrow(run, DEFINITIONS)
