@@ -9,15 +9,15 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
-from itertools import islice
 from operator import or_
 from typing import Any, NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import each_row
 from ..functions.secrets import scrub
 from ..schemas import FINDING_COLUMNS, REPORT, REVIEWED
 from ..session import materialize
@@ -189,6 +189,7 @@ class RetryableError(Exception):
 
 Reviewer = Callable[[str, int, str], dict[str, Any]]
 _REPORTS = 500  # handed on at once
+_REPORT_CHARS = 4 << 20  # and their characters
 
 
 class Throttle:
@@ -235,7 +236,7 @@ def review_batches(prompts: DataFrame, reviewer: Reviewer, attempts: int = 3,
     of the batches. A failed batch becomes a row with `error` and costs only itself; a
     RetryableError is tried again after 1, 2, 4... times `wait_seconds`.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         throttle = Throttle(calls_per_second) if calls_per_second else None
 
         def one(row: tuple[str, int, str]) -> tuple[str, int, str | None, str | None]:
@@ -252,12 +253,26 @@ def review_batches(prompts: DataFrame, reviewer: Reviewer, attempts: int = 3,
                     return repo, batch_id, None, f"{type(e).__name__}: {e}"
             return repo, batch_id, None, f"gave up after {attempts} attempts"
 
-        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
-        done = _in_order(rows, one, in_flight)
-        while held := list(islice(done, _REPORTS)):
-            yield pd.DataFrame(held, columns=["repo", "batch_id", "report", "error"])
-
-    return prompts.select("repo", "batch_id", "prompt").mapInPandas(run, REVIEWED)
+        rows = (tuple(row.values()) for row in each_row(batches))
+        held, size = [], 0
+        for row in _in_order(rows, one, in_flight):
+            held.append(row)
+            size += len(row[2] or "")
+            if len(held) >= _REPORTS or size > _REPORT_CHARS:
+                yield _reports(held)
+                held, size = [], 0
+        if held:
+            yield _reports(held)
+
+    return prompts.select("repo", F.col("batch_id").cast("long"), "prompt").mapInArrow(
+        run, REVIEWED)
+
+
+def _reports(rows: list[tuple]) -> pa.RecordBatch:
+    repos, ids, reports, errors = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(repos, pa.string()), pa.array(ids, pa.int64()), pa.array(reports, pa.string()),
+         pa.array(errors, pa.string())], names=["repo", "batch_id", "report", "error"])
 
 
 def read_reports(reviewed: DataFrame, json_col: str = "report") -> DataFrame:
