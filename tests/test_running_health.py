@@ -40,3 +40,20 @@ def test_any_split_gives_the_batch_result(spark, tmp_path, seed, files, per_batc
     got = {tuple(r) for r in rh.running_health(spark, out).collect()}
     # a repo that has verdicts only is known to the stream alone
     assert {g for g in got if g[0] != "d"} == wanted
+
+
+def test_state_is_kept_by_key_in_slices_without_python(spark, tmp_path):
+    rows = [("r", "k1", 700, None, None), ("r", "k2", 100, None, None),
+            ("r", "k1", None, "false_positive", 5), ("r", "k1", None, "confirmed", 4),
+            ("r", "k2", None, "confirmed", 9), ("r", "k2", None, "false_positive", 3)]
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame(rows, rh.EVENTS).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rh.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    run = rh.health_stream(spark, stream, out, str(tmp_path / "check"), slices=3)
+    run.awaitTermination()
+    state = run.lastProgress["stateOperators"][0]
+    assert (state["operatorName"], state["numShufflePartitions"]) == ("stateStoreSave", 3)
+    assert state["numRowsTotal"] == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert [tuple(r)[:2] for r in rh.running_health(spark, out).collect()] == [("r", 99)]
