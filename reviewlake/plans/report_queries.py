@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from ..streaming.health import (
 from .inputs import read, values
 from .registry import query
 
+_PIECE = 8 << 20  # bytes of a file that are read at once
+
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     return fo.normalize_findings(read(spark, sf, "raw_findings_v"), "raw_confidence")
@@ -521,9 +526,19 @@ def _(spark, sf):
 
 
 def _file_digest(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.length("content").cast("long").alias("bytes"),
-                        F.md5("content").alias("digest"))
+    """Bytes and MD5 of a file in the folder that executors share; one task goes through it in
+    pieces, as the digest of a text can only be taken from front to end."""
+    def digest(batches):
+        for _ in batches:
+            found, size = hashlib.md5(), 0
+            with open(local, "rb") as f:
+                while piece := f.read(_PIECE):
+                    found.update(piece)
+                    size += len(piece)
+            yield pa.RecordBatch.from_pydict({"bytes": [size], "digest": [found.hexdigest()]})
+
+    local = reports.local_path(path)
+    return spark.range(1, numPartitions=1).mapInArrow(digest, "bytes long, digest string")
 
 
 @query("web_csv", "SELECT {} AS line FROM findings_v".format(" || ',' || ".join(

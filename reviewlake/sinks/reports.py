@@ -82,7 +82,7 @@ def _write_file(rows: DataFrame, line: Column, header: str, ending: str, path: s
     `path` is a file, or a file: URI, in a folder that every task can write to; a store
     without writes in the middle of a file has the writers of many parts.
     """
-    target = _local(path)
+    target = local_path(path)
     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
     keys = [f"_k{i}" for i in range(len(order))]
     lines = rows.select(line.alias("line"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
@@ -128,7 +128,7 @@ def _write_file(rows: DataFrame, line: Column, header: str, ending: str, path: s
             os.remove(waiting)
 
 
-def _local(path: str) -> str:
+def local_path(path: str) -> str:
     if "://" in path and not path.startswith("file:"):
         raise ValueError(f"not a folder that files can be written to in the middle: {path}")
     return os.path.abspath("/" + path.removeprefix("file:").lstrip("/")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import datetime as dt
 import glob
+import hashlib
 import json
 import random
 
@@ -14,11 +15,13 @@ from reviewlake.operators import findings as fo
 from reviewlake.operators import health as ho
 from reviewlake.operators import history as hist
 from reviewlake.operators import pull_requests as pr
+from reviewlake.plans import report_queries
 from reviewlake.schemas import FINDING_COLUMNS, HISTORY, SEVERITIES
 from reviewlake.session import fresh_path
 from reviewlake.sinks import reports
 from reviewlake.sources.repo_meta import parse_repo_meta
 from reviewlake.sources.tree import read_tree
+from sessions import conf
 
 BASE = {"repo": "r", "file_path": "shop/cart.py", "function_name": "total_of", "line_number": 42,
         "issue_category": "Performance", "severity": "High", "comment": "c", "suggested_fix": "f",
@@ -152,6 +155,15 @@ def test_report_csv_as_one_file(spark, tmp_path, parts):
     assert path.read_bytes().decode() == wanted
 
 
+def test_the_digest_of_a_file_takes_any_length(spark, tmp_path):
+    path, text = tmp_path / "r.csv", b"0123456789abcdef" * 100_000
+    path.write_bytes(text)
+    with conf(spark, spark__sql__sources__binaryFile__maxLength=1 << 20):
+        for name in (str(path), f"file:{path}"):
+            found = report_queries._file_digest(spark, name).collect()
+            assert [tuple(r) for r in found] == [(len(text), hashlib.md5(text).hexdigest())]
+
+
 def test_a_report_that_fails_leaves_the_file(spark, tmp_path):
     path = tmp_path / "report.csv"
     reports.write_web_csv_file(make(spark, {}), str(path), ["idx"])
