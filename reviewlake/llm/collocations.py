@@ -8,7 +8,8 @@ others become breaks.
 2. Every run of two to four numbers is hashed into one of about half as many buckets as there are
    words. Tasks count their buckets, the sums of a shard of buckets come together in one task. A
    phrase whose bucket is not full is not frequent: what is left are the candidates, a safe superset.
-3. The candidates become double-array tries, each of bounded size, and are broadcast one by one.
+3. The candidates become double-array tries, each of bounded size, which tasks build and compress;
+   they are broadcast one by one.
    The states of all text positions advance together, word by word: next = base[state] + word, valid
    if check[next] == state. Accepting states are counted with bincount, and the counts of all
    tasks are summed.
@@ -124,6 +125,15 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[~(zero & np.append(True, zero[:-1]))]
 
 
+def _dictionary(table: pa.Table) -> dict[str, dict[bytes, int]]:
+    """Numbers of words by language. Tasks make it: as Arrow it is small, the driver needs no more."""
+    out: dict[str, dict[bytes, int]] = {}
+    for batch in table.to_batches(max_chunksize=10_000):
+        for lang, word, at in zip(*(c.to_pylist() for c in batch.columns)):
+            out.setdefault(lang, {})[word] = at
+    return out
+
+
 def encode(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
     """(ids) per document (lang, text): little-endian ints, 0 standing for breaks and rare words.
 
@@ -133,17 +143,15 @@ def encode(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
     rows = docs.withColumn("ids", F.lit(None).cast("binary"))
     for part in range(parts):
         table = numbered.where(F.col("part") == part).select("lang", "word", "id").toArrow()
-        dictionary: dict[str, dict[bytes, int]] = {}
-        for lang, word, at in zip(*(c.to_pylist() for c in table.columns)):
-            dictionary.setdefault(lang, {})[word] = at
-        shared, last = spark.sparkContext.broadcast(dictionary), part == parts - 1
+        shared, last = spark.sparkContext.broadcast(table), part == parts - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dictionary = _dictionary(shared.value)
             for batch in batches:
                 out = []
                 for lang, text, before in zip(*(batch.column(c).to_pylist()
                                                 for c in ("lang", "text", "ids"))):
-                    look = shared.value.get(lang, {}).get
+                    look = dictionary.get(lang, {}).get
                     ids = np.concatenate([np.empty(0, "<i4"), *(
                         np.fromiter(map(look, found, repeat(0)), "<i4", len(found))
                         for found in map(words, _parts(text)))])
@@ -412,21 +420,40 @@ def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
     return Trie(vocabulary.astype(np.int32), base, check, accept, phrases)
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    """The trie of the phrases of one part, its arrays compressed."""
+    trie = build_trie(np.stack([table.column(w).to_numpy() for w in _PHRASE], axis=1))
+    return pa.table({"part": table.column("part")[:1]} | {
+        name: pa.array([_squash(np.ascontiguousarray(a, "<i4").reshape(-1))], pa.binary())
+        for name, a in zip(Trie._fields, trie)})
+
+
+def _phrases(packed: dict[str, bytes]) -> np.ndarray:
+    return _expand(packed["phrases"], "<i4").reshape(-1, LONGEST)
+
+
+def _unpack(packed: dict[str, bytes]) -> Trie:
+    return Trie(*(_expand(packed[name], "<i4") for name in Trie._fields[:-1]), _phrases(packed))
+
+
 def count_phrases(encoded: DataFrame, found: DataFrame, min_count: int) -> DataFrame:
     """(w0, w1, w2, w3, a) of the candidates that occur `min_count` times or more."""
     spark = encoded.sparkSession
     tries = max(1, ceil(found.count() / TRIE))
-    part = F.pmod(F.xxhash64(*_PHRASE), F.lit(tries))
+    part = F.pmod(F.xxhash64(*_PHRASE), F.lit(tries)).cast("int").alias("part")
+    # tasks build the tries, the driver passes them on one by one and compressed
+    packed = stage(found.select(part, *_PHRASE).groupBy("part").applyInArrow(
+        _pack, "part int, " + ", ".join(f"{name} binary" for name in Trie._fields)), "tries")
     out = None
     for t in range(tries):
-        table = found.where(part == t).toArrow()
-        if not len(table):
+        trie = packed.where(F.col("part") == t).first()
+        if trie is None:
             continue
-        trie = build_trie(np.stack([table.column(w).to_numpy() for w in _PHRASE], axis=1))
-        shared = spark.sparkContext.broadcast(tuple(trie))
+        shared = spark.sparkContext.broadcast(
+            {name: bytes(trie[name]) for name in Trie._fields})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = Trie(*shared.value)
+            trie = _unpack(shared.value)
             total = np.zeros(len(trie.phrases), np.int64)
             for ids, upto in _blocks(batches):
                 total += trie.count(ids, upto)
@@ -440,7 +467,7 @@ def count_phrases(encoded: DataFrame, found: DataFrame, min_count: int) -> DataF
                 total[np.cumsum(_expand(places.as_py(), "<u4"), dtype=np.int64)] += _expand(
                     counts.as_py(), "<i8")
             often = np.flatnonzero(total >= min_count)
-            phrases = Trie(*shared.value).phrases[table.column("shard")[0].as_py() * COUNTED + often]
+            phrases = _phrases(shared.value)[table.column("shard")[0].as_py() * COUNTED + often]
             return pa.table({w: pa.array(phrases[:, k].astype(np.int32))
                              for k, w in enumerate(_PHRASE)} | {"a": pa.array(total[often])})
 

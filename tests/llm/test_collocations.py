@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlake.llm import collocations as c
@@ -79,6 +81,35 @@ def test_in_many_passes(spark, monkeypatch):
     assert got == plain(rows, 3, 15) and len(got) > 40
 
 
+def test_driver_only_passes_on(spark, monkeypatch):
+    """Tasks build the tries and the dictionary of words; the driver holds neither."""
+    driver, build = os.getpid(), c.build_trie
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "built in the driver"
+        return build(*args)
+
+    rows = texts(4)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    shared = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(c, "build_trie", elsewhere)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast",
+                        lambda self, value: shared.append(value) or send(self, value))
+    assert mined(frame, min_count=4) == plain(rows, 4)
+    assert not any(isinstance(v, tuple) or isinstance(v, dict) and any(
+        isinstance(x, dict) for x in v.values()) for v in shared)
+
+
+def test_packed_trie():
+    phrases = np.array([[5, 2, 0, 0], [5, 2, 9, 0], [1, 1, 1, 70_000]])
+    table = pa.table({"part": pa.array([0] * 3, pa.int32())} | {
+        f"w{k}": pa.array(phrases[:, k], pa.int32()) for k in range(4)})
+    packed = {n: v[0] for n, v in c._pack(table).to_pydict().items() if n != "part"}
+    for got, wanted in zip(c._unpack(packed), c.build_trie(phrases)):
+        assert np.array_equal(got, wanted)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text, r.lang) for r in odd_docs.collect()] + [
         (1, "one two three four. " * 40, "en"), (2, "one two, three four", None)]
