@@ -37,11 +37,18 @@ INDEX_STRIDE = 1000
 
 # white space that a cut at every space could not tell from a lone one
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_ASCII_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f"  # all of it in ASCII
+
+
+def _other_space(text: str) -> bool:
+    if text.isascii():  # the same by plain search, which is faster
+        return any(c in text for c in _ASCII_SPACE)
+    return _OTHER_SPACE.search(text) is not None
 
 
 def _cut(text: str) -> list[str] | None:
     """`text` at its spaces if every one is lone, else None."""
-    if " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+    if " \n" in text or "\n " in text or _other_space(text):
         return None
     parts = text.split(" ")
     return None if "" in parts and text else parts
@@ -89,17 +96,18 @@ class Encoder:
         """The ids of every text."""
         if len(self.places) > self.memo or self.chars > MEMO_CHARS:
             self._forget()
-        place, cut = self.places.__getitem__, []
+        place, heads, places = self.places.__getitem__, [], []
         for text in texts:
             parts = None if any(t in text for t in self.added) else _cut(text)
-            cut.append(parts and (parts[0], list(map(place, parts[1:]))))
+            heads.append(parts[0] if parts else text)
+            rest = parts[1:] if parts else ()
+            places.append(np.fromiter(map(place, rest), np.int64, len(rest)))
         self._learn()
-        heads = self.tokenizer.encode_batch_fast(
-            [text if parts is None else parts[0] for text, parts in zip(texts, cut)],
-            add_special_tokens=False)
-        heads = [np.array(h.ids, np.int32) for h in heads]
-        return [head if parts is None else np.concatenate((head, self._gather(parts[1])))
-                for head, parts in zip(heads, cut)]
+        heads = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+        ends = np.cumsum([len(p) for p in places])
+        ids, bounds = self._gather(np.concatenate(places)) if texts else (None, None)
+        return [np.concatenate((np.array(head.ids, np.int32), ids[bounds[a]:bounds[b]]))
+                for head, a, b in zip(heads, [0, *ends[:-1].tolist()], ends.tolist())]
 
     def _learn(self) -> None:
         """Encode the pieces that wait."""
@@ -118,12 +126,14 @@ class Encoder:
         self.bounds = _room(self.bounds, len(self.places) + 1)
         self.bounds[known + 1:len(self.places) + 1] = at + np.append(begins[1:], len(ids))
 
-    def _gather(self, places: list[int]) -> np.ndarray:
-        at = np.array(places, np.int64)
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and where each piece begins, with the end."""
         starts = self.bounds[at]
         lengths = self.bounds[at + 1] - starts
-        shift = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
-        return self.flat[shift + np.arange(len(shift))]
+        bounds = np.append(0, np.cumsum(lengths))
+        shift = np.repeat(starts - bounds[:-1], lengths)
+        shift += np.arange(len(shift))
+        return self.flat[shift], bounds
 
 
 @lru_cache(maxsize=1)

@@ -105,3 +105,10 @@ def test_equal_ids_and_other_types(spark, tmp_path, tokenizer):
         index = token_files.token_index(spark, path, id_type="string").orderBy("start").collect()
         starts.append([tuple(r) for r in index])
     assert starts[0] == starts[1] and [r[0] for r in starts[0][:2]] == [None, "a"]
+
+
+def test_other_space_by_plain_search():
+    every = [chr(c) for c in range(0x3100)]
+    assert [c for c in every if token_files._other_space(f"a{c}b")] == [
+        c for c in every if c.isspace() and c not in " \n"]
+    assert token_files._other_space("é\tb") and not token_files._other_space("é b\nc")
