@@ -31,6 +31,7 @@ END_ID = 0
 MEMO_PIECES = 800_000  # pieces a Python worker remembers; then it starts afresh
 SPACE = "\u0120"  # how byte-level vocabularies write the byte 0x20
 MEMO_CHARS = 32 << 20  # and their characters
+PIECES_AT_ONCE = 300  # new ones encoded as one text; in longer texts each took more time
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 1000
 
@@ -70,8 +71,8 @@ class _Places(dict):
 class Encoder:
     """A tokenizer that remembers pieces, kept without their leading space.
 
-    New pieces are encoded in one call, as one text. Inside a piece only its first byte is a
-    space, so the tokens that begin with one show where each piece begins.
+    New pieces are encoded some hundred at a time, as one text. Inside a piece only its first byte
+    is a space, so the tokens that begin with one show where each piece begins.
     """
 
     def __init__(self, path: str, memo: int | None = None):
@@ -114,10 +115,12 @@ class Encoder:
         new, self.places.new = self.places.new, []
         if not new:
             return
-        joined = " " + " ".join(new)
-        self.chars += len(joined)
-        ids = np.array(self.tokenizer.encode_batch_fast(
-            [joined], add_special_tokens=False)[0].ids, np.int32)
+        self.chars += len(new) + sum(map(len, new))
+        ids = np.concatenate([
+            np.array(self.tokenizer.encode_batch_fast(
+                [" " + " ".join(new[at:at + PIECES_AT_ONCE])], add_special_tokens=False)[0].ids,
+                np.int32)
+            for at in range(0, len(new), PIECES_AT_ONCE)])
         begins = np.flatnonzero(self.spaced[ids])
         known = len(self.places) - len(new)
         at = int(self.bounds[known])

@@ -36,6 +36,27 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer, monkeypatch, memo):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+class Watched:
+    """A tokenizer that notes the pieces of the longest text it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.most = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.most = max(self.most, *(text.count(" ") for text in texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_pieces_are_encoded_few_at_once(tokenizer):
+    encoder = token_files.Encoder(TOKENIZER)
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    sizes = [0, 1, 299, 300, 301, 901]
+    part = [" ".join(["a", *(f"w{n}x{k}," for k in range(n))]) for n in sizes]
+    for text, ids in zip(part, encoder.encode(part)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.tokenizer.most <= 300
+
+
 def plain_index(rows, tokenizer):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
