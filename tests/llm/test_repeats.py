@@ -7,6 +7,8 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+from sessions import conf
 
 from reviewlake.llm import repeats
 
@@ -96,3 +98,27 @@ def test_ranges_of_a_periodic_text_are_merged(spark, monkeypatch):
 
 def test_a_long_periodic_text(spark):
     check(spark, [b"ab" * 200_000, b"x" + b"ab" * 300 + b"y", b"q" * 500], repeats.LENGTH)
+
+
+@pytest.mark.parametrize("often", [1, 2, 1000])
+def test_frequent_contexts(spark, monkeypatch, often):
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    unit = b"".join(b"%03d " % i for i in range(40))
+    texts = passages(3)[:20] + [unit * n + b"end %d" % n for n in (4, 9, 30, 30)]
+    check(spark, texts, repeats.LENGTH)
+
+
+def test_rows_of_a_frequent_context_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "OFTEN", 100)
+    rows = [(7, 1, b"%d" % (i % 50), i, i) for i in range(4000)]
+    rows += [(7, 2, b"a", 1, 2), (7, 3, b"b", 3, 4), (7, 3, b"c", 5, 6), (8, 1, b"d", 7, 8)]
+    found = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8),
+                                  "gram long, context long, key binary, first int, last int")
+    contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"))
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold=-1):
+        got = repeats._met_again(found, contexts).withColumn(
+            "task", F.spark_partition_id()).collect()
+    assert Counter((bytes(r.key), r.first, r.last) for r in got) == Counter(
+        (key, first, last) for gram, context, key, first, last in rows
+        if (gram, context) in {(7, 1), (7, 3)})
+    assert max(Counter(r.task for r in got).values()) < 1000
