@@ -4,33 +4,37 @@ Everything is per language. A phrase is frequent if it occurs MIN_COUNT times or
 of text; a frequent phrase has frequent words only (Apriori), so words are counted first and all
 others become breaks.
 
-1. Words are counted; frequent ones get numbers, and texts become arrays of numbers.
+1. Words are counted; frequent ones get numbers, and texts become arrays of numbers. Texts of
+   about POSITIONS words together are a block.
 2. Every run of two to four numbers is hashed into one of about half as many buckets as there are
-   words. Tasks count their buckets, the sums of a shard of buckets come together in one task. A
-   phrase whose bucket is not full is not frequent: what is left are the candidates, a safe superset.
-3. The candidates become double-array tries, each of bounded size, which tasks build and compress;
-   they are broadcast one by one.
+   words. Tasks count their buckets, the sums of a shard of buckets come together in one task, which
+   tells each block the full ones among its own. A phrase whose bucket is not full is not frequent:
+   what is left are a block's candidates, a safe superset of its frequent phrases.
+3. The candidates of a block become double-array tries, each of bounded size.
    The states of all text positions advance together, word by word: next = base[state] + word, valid
    if check[next] == state. Accepting states are counted with bincount, and the counts of all
-   tasks are summed.
+   blocks are summed by shard.
 4. Scores, cuts and containment are joins over the frequent phrases.
 
-What is broadcast never grows: DICTIONARY words, SLICE buckets (one bit each) and TRIE phrases
-at a time. More of them means more passes over the numbered texts. Numbered texts and counts are
-written in between, so a lost executor costs one pass of its tasks.
+Every text meets the buckets and phrases of its own block only, so each step is one pass whatever
+their number in all. Only the dictionary is broadcast: DICTIONARY words at a time, more of them
+means more passes. Numbered texts, buckets and counts are written in between, so a lost executor
+costs one pass of its tasks.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 from math import ceil, log2
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,12 +47,15 @@ TOP = 2000
 CONTAINED = 80  # percent of a phrase's occurrences that stand inside one longer phrase
 SCALE = 2_000_000
 
-DICTIONARY = 500_000  # words looked up in one pass
-SLICE = 1 << 27  # buckets tested in one pass: 16 MB of bits
-SHARD = 1 << 18  # buckets summed in one task
+DICTIONARY = 2_000_000  # words looked up in one pass: about 30 MB as Arrow
+LOOKED = 1 << 20  # words looked up at once
+SLICE = 1 << 27  # bits that tell the full buckets of a block: 16 MB, buckets that agree share one
+SHARD = 1 << 18  # buckets summed in one task, or more if there are over SHARDS times as many
+SHARDS = 1 << 10
 TRIE = 500_000  # phrases of a trie
 POSITIONS = 1 << 21  # of text, handled at once
-COUNTED = 1 << 14  # phrases whose counts are summed in one task
+COUNTED = 1 << 14  # full buckets whose phrases are summed in one task
+FEW = 64  # children of a state that is placed together with others
 NUMBERED = 16_384  # words numbered in one group
 RANKED = 50_000  # phrases ranked in one group before the whole language is
 TEXT = 1 << 20  # bytes of a text split into words at once
@@ -125,17 +132,87 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[~(zero & np.append(True, zero[:-1]))]
 
 
-def _dictionary(table: pa.Table) -> dict[str, dict[bytes, int]]:
-    """Numbers of words by language. Tasks make it: as Arrow it is small, the driver needs no more."""
-    out: dict[str, dict[bytes, int]] = {}
-    for batch in table.to_batches(max_chunksize=10_000):
-        for lang, word, at in zip(*(c.to_pylist() for c in batch.columns)):
-            out.setdefault(lang, {})[word] = at
+def _dictionary(table: pa.Table) -> dict[str, tuple[pa.Array, np.ndarray]]:
+    """By language its words and their numbers, and 0: as Arrow, far smaller than Python's objects."""
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    of = langs.indices.to_numpy()
+    order = pa.array(np.argsort(of, kind="stable"))
+    known, ids = (table.column(c).combine_chunks().take(order) for c in ("word", "id"))
+    out, begin = {}, 0
+    for lang, n in zip(langs.dictionary.to_pylist(), np.bincount(of).tolist()):
+        out[lang] = known.slice(begin, n), np.append(ids.slice(begin, n), 0).astype("<i4")
+        begin += n
     return out
 
 
+def _numbers(texts: Iterable[tuple[str, bytes]],
+             dictionary: dict[str, tuple[pa.Array, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The numbers of the words of each text, 0 for breaks and words not in the dictionary."""
+    held: list[tuple[str, list[bytes] | None]] = []  # None behind the last part of a text
+    size, ids = 0, [np.empty(0, "<i4")]
+
+    def looked_up() -> Iterator[np.ndarray | None]:
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, found in held:
+            by_lang.setdefault(lang, []).extend(found or ())
+        numbers, begin = {}, dict.fromkeys(by_lang, 0)
+        for lang, found in by_lang.items():
+            numbers[lang] = np.zeros(len(found), "<i4")
+            if lang in dictionary:
+                known, number = dictionary[lang]
+                at = pc.index_in(pa.array(found, pa.binary()), value_set=known)
+                at = at.fill_null(len(known)).to_numpy()
+                numbers[lang] = number[at]
+        for lang, found in held:
+            if found is not None:
+                a, begin[lang] = begin[lang], begin[lang] + len(found)
+                yield numbers[lang][a:begin[lang]]
+            else:
+                yield None
+
+    for lang, text in chain(texts, [(None, None)]):
+        for found in chain(map(words, _parts(text)), [None]) if text is not None else ():
+            held.append((lang, found))
+            size += len(found or ())
+        if size >= LOOKED or text is None:
+            for part in looked_up():
+                if part is not None:
+                    ids.append(part)
+                else:
+                    yield np.concatenate(ids)
+                    ids = [np.empty(0, "<i4")]
+            held, size = [], 0
+
+
+def _in_blocks(texts: Iterable[np.ndarray], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, ids, own): texts of about POSITIONS numbers together, from `block` on.
+
+    A phrase may begin in the first `own` numbers of a row. A longer text is cut with LONGEST - 1
+    numbers of overlap, which begin theirs in the next block; the row before them ends its block.
+    """
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        ids, own = zip(*held)
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(block, pa.int64()), len(held)),
+             pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(own, pa.int32())],
+            names=["block", "ids", "own"])
+
+    for ids in texts:
+        for at in range(0, len(ids), POSITIONS):
+            part, more = ids[at:at + POSITIONS + LONGEST - 1], at + POSITIONS < len(ids)
+            held.append((part, POSITIONS if more else len(part)))
+            size += len(part) + LONGEST
+            if size >= POSITIONS or more:
+                yield out()
+                held, size, block = [], 0, block + 1
+    if held:
+        yield out()
+
+
 def encode(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
-    """(ids) per document (lang, text): little-endian ints, 0 standing for breaks and rare words.
+    """(block, ids, own) of documents (lang, text): little-endian ints, 0 for breaks and rare words.
 
     One pass per part of the dictionary, which fills in the words of that part.
     """
@@ -146,52 +223,63 @@ def encode(docs: DataFrame, numbered: DataFrame, parts: int) -> DataFrame:
         shared, last = spark.sparkContext.broadcast(table), part == parts - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dictionary = _dictionary(shared.value)
-            for batch in batches:
-                out = []
-                for lang, text, before in zip(*(batch.column(c).to_pylist()
-                                                for c in ("lang", "text", "ids"))):
-                    look = dictionary.get(lang, {}).get
-                    ids = np.concatenate([np.empty(0, "<i4"), *(
-                        np.fromiter(map(look, found, repeat(0)), "<i4", len(found))
-                        for found in map(words, _parts(text)))])
+            waiting = deque()
+
+            def texts():
+                for batch in batches:
+                    for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "ids"))):
+                        waiting.append(row)
+                        yield row[:2]
+
+            def filled():
+                for ids in _numbers(texts(), _dictionary(shared.value)):
+                    lang, text, before = waiting.popleft()
                     if before is not None:
                         ids = np.maximum(ids, np.frombuffer(before, "<i4"))
-                    out.append((_squeezed(ids) if last else ids).tobytes())
-                if last:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("lang"), batch.column("text"), pa.array(out, pa.binary())],
-                        names=["lang", "text", "ids"])
-
-        schema = "ids binary" if last else "lang string, text binary, ids binary"
+                    yield lang, text, ids
+
+            if last:
+                yield from _in_blocks((_squeezed(ids) for *_, ids in filled()),
+                                      TaskContext.get().partitionId() << 32)
+            else:
+                held, size = [], 0
+                for lang, text, ids in chain(filled(), [(None, b"", None)]):
+                    if ids is not None:
+                        held.append((lang, text, ids.tobytes()))
+                        size += len(text) + ids.nbytes
+                    if held and (ids is None or size >= POSITIONS):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(column, kind) for column, kind in zip(
+                                zip(*held), (pa.string(), pa.binary(), pa.binary()))],
+                            names=["lang", "text", "ids"])
+                        held, size = [], 0
+
+        schema = "block long, ids binary, own int" if last else "lang string, text binary, ids binary"
         rows = stage(rows.mapInArrow(run, schema), "numbered")
         shared.destroy()
     return rows
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-    """Texts end to end with LONGEST zeros behind each, about POSITIONS at a time.
+def _joined(rows: Iterable[tuple[bytes, int]]) -> tuple[np.ndarray, int]:
+    """Texts (ids, own) of a block end to end with LONGEST zeros behind each.
 
-    With each block, the places in it that may begin a phrase: a longer text is cut with
-    LONGEST - 1 numbers of overlap, which begin theirs in the next block.
+    With them, the place below which phrases may begin: the text that is cut comes last.
     """
-    held, size = [], 0
-    gap = np.zeros(LONGEST, "<i4")
-    for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            ids = np.frombuffer(data, "<i4")
-            for at in range(0, len(ids), POSITIONS):
-                part = ids[at:at + POSITIONS + LONGEST - 1]
-                held += [part, gap]
-                size += len(part) + LONGEST
-                if size >= POSITIONS or at + POSITIONS < len(ids):
-                    whole = max(len(part) - POSITIONS, 0) if at + POSITIONS < len(ids) else 0
-                    yield np.concatenate(held), size - LONGEST - whole
-                    held, size = [], 0
-    if held:
-        yield np.concatenate(held), size
+    gap, held = np.zeros(LONGEST, "<i4"), []
+    over = 0
+    for over, data in sorted(((len(data) // 4 - own, data) for data, own in rows),
+                             key=lambda row: row[0]):
+        held += [np.frombuffer(data, "<i4"), gap]
+    ids = np.concatenate(held)
+    return ids, len(ids) - LONGEST - over
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Each block with its texts end to end and the place below which phrases may begin."""
+    rows = chain.from_iterable(
+        zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "own"))) for batch in batches)
+    for block, part in groupby(rows, key=lambda row: row[0]):
+        yield block, *_joined(row[1:] for row in part)
 
 
 def _runs(ids: np.ndarray, upto: int, n: int) -> np.ndarray:
@@ -233,95 +321,85 @@ def _per_shard(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(shard[a]), *(c[a:b] for c in columns)
 
 
-def _rows(found: Iterator[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    """Rows (shard, places, data)."""
-    shard, places, data = zip(*found) if (found := list(found)) else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard, pa.int64()), pa.array(places, pa.binary()), pa.array(data, pa.binary())],
-        names=["shard", "places", "data"])
-
-
-_SHARDED = "shard long, places binary, data binary"
+def _shard_size(bits: int) -> int:
+    return min(max(SHARD, (1 << bits) // SHARDS), 1 << bits)
 
 
 def full_buckets(encoded: DataFrame, bits: int, min_count: int) -> DataFrame:
-    """(shard, bits): for each shard of buckets one bit per bucket, set if it is full.
+    """(block, shard, places, full): the full ones among the buckets of a block.
 
-    A task's counts stop at `min_count`, which changes no bit.
+    `full`, added up, is the number of full buckets in all. A task's counts stop at `min_count`,
+    which changes none.
     """
-    size = min(SHARD, 1 << bits)
+    size = _shard_size(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, upto in _blocks(batches):
+        for block, ids, upto in _blocks(batches):
             found = np.concatenate([_buckets(ids, _runs(ids, upto, n), n, bits)
                                     for n in range(2, LONGEST + 1)])
             buckets, counts = np.unique(found, return_counts=True)
             shard = (buckets // np.uint64(size)).astype(np.int64)
             place = (buckets % np.uint64(size)).astype("<u4")
             counts = np.minimum(counts, min_count).astype("<u4")
-            yield _rows((k, _squash(_steps(p)), _squash(c))
-                        for k, p, c in _per_shard(shard, place, counts))
+            rows = [(block, k, _squash(_steps(p)), _squash(c))
+                    for k, p, c in _per_shard(shard, place, counts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column) for column in zip(*rows)],
+                    names=["block", "shard", "places", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
-        for places, counts in zip(table.column("places"), table.column("data")):
-            total[np.cumsum(_expand(places.as_py(), "<u4"), dtype=np.int64)] += _expand(
-                counts.as_py(), "<u4")
-        return pa.table({"shard": table.column("shard")[:1],
-                         "bits": pa.array([np.packbits(total >= min_count).tobytes()])})
 
-    return stage(encoded.mapInArrow(count, _SHARDED).groupBy("shard")
-                 .applyInArrow(add, "shard long, bits binary"), "buckets")
+        def places(data: pa.Scalar) -> np.ndarray:
+            return np.cumsum(_expand(data.as_py(), "<u4"), dtype=np.int64)
+
+        for data, counts in zip(table.column("places"), table.column("counts")):
+            total[places(data)] += _expand(counts.as_py(), "<u4")
+        full = total >= min_count
+        of_blocks = ((at := places(data))[full[at]].astype("<u4") for data in table.column("places"))
+        return pa.table({
+            "block": table.column("block"), "shard": table.column("shard"),
+            "places": pa.array([_squash(_steps(at)) for at in of_blocks], pa.binary()),
+            "full": pa.array([int(full.sum())] + [0] * (len(table) - 1), pa.int64())})
+
+    return stage(
+        encoded.mapInArrow(count, "block long, shard long, places binary, counts binary")
+        .groupBy("shard").applyInArrow(add, "block long, shard long, places binary, full long"),
+        "buckets")
 
 
 _PHRASE = [f"w{k}" for k in range(LONGEST)]
 
 
-def candidates(encoded: DataFrame, full: DataFrame, bits: int) -> DataFrame:
-    """Distinct phrases (w0, w1, w2, w3), 0 behind the last word, whose bucket is full."""
-    spark, shards = encoded.sparkSession, max(1, (1 << bits) // SHARD)
-    size, together = min(SHARD, 1 << bits), max(1, SLICE // SHARD)
-    out = None
-    for first in range(0, shards, together):
-        bitmap = np.zeros((min(together, shards - first), size // 8), np.uint8)
-        for r in full.where(F.col("shard").between(first, first + together - 1)).collect():
-            bitmap[r.shard - first] = np.frombuffer(r.bits, np.uint8)
-        shared, begin = spark.sparkContext.broadcast(bitmap.reshape(-1)), first * size
+def _bitmap(full: pa.Table, bits: int) -> np.ndarray:
+    """The full buckets of a block, a bit for each or, beyond SLICE, for those that agree in it."""
+    size, room = _shard_size(bits), min(SLICE, 1 << bits)
+    bitmap = np.zeros(ceil(room / 8), np.uint8)
+    for shard, data in zip(full.column("shard").to_pylist(), full.column("places")):
+        at = np.cumsum(_expand(data.as_py(), "<u4"), dtype=np.int64)
+        at = (at + shard * size) % room
+        for k in range(8):
+            bitmap[at[at & 7 == k] >> 3] |= np.uint8(1 << k)
+    return bitmap
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = shared.value
-            for ids, upto in _blocks(batches):
-                phrases, shards = [], []
-                for n in range(2, LONGEST + 1):
-                    at = _runs(ids, upto, n)
-                    bucket = _buckets(ids, at, n, bits).astype(np.int64) - begin
-                    inside = (bucket >= 0) & (bucket < 8 * len(bitmap))
-                    at, bucket = at[inside], bucket[inside]
-                    full = (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1) > 0
-                    at, bucket = at[full], bucket[full]
-                    one = _distinct(ids, at, n)
-                    phrases.append(ids[at[one][:, None] + np.arange(LONGEST)]
-                                   * (np.arange(LONGEST) < n).astype("<i4"))
-                    shards.append(bucket[one] // size)
-                shard, phrase = np.concatenate(shards), np.concatenate(phrases)
-                order = np.lexsort((*phrase.T[::-1], shard))
-                yield _rows((k, _squash(_steps(p[:, 0].copy())), _squash(p[:, 1:].T.reshape(-1)))
-                            for k, p in _per_shard(shard[order], phrase[order]))
-
-        def unpack(table: pa.Table) -> pa.Table:
-            found = []
-            for first, rest in zip(table.column("places"), table.column("data")):
-                first = np.cumsum(_expand(first.as_py(), "<i4"), dtype=np.int32)
-                rest = _expand(rest.as_py(), "<i4").reshape(LONGEST - 1, -1)
-                found.append(np.vstack((first, rest)).T)
-            rows = np.unique(np.concatenate(found), axis=0)
-            return pa.table({w: pa.array(rows[:, k]) for k, w in enumerate(_PHRASE)})
-
-        rows = stage(encoded.mapInArrow(run, _SHARDED).groupBy("shard")
-                     .applyInArrow(unpack, ", ".join(f"{w} int" for w in _PHRASE)), "candidates")
-        shared.destroy()
-        out = rows if out is None else out.union(rows)
-    return out
+
+def candidates(ids: np.ndarray, upto: int, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Distinct phrases of a block whose bucket is full, in rows of LONGEST numbers, 0 behind the last.
+
+    A bit that buckets share may let in a phrase that is not frequent, which its sum tells. So may
+    one whose beginning is no candidate, so its longer ones need no look.
+    """
+    found, room = [], np.uint64(min(SLICE, 1 << bits))
+    at = np.flatnonzero(ids[:upto])
+    for n in range(2, LONGEST + 1):
+        at = at[ids[at + n - 1] > 0]
+        bit = (_buckets(ids, at, n, bits) % room).astype(np.int64)
+        at = at[(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0]
+        one = at[_distinct(ids, at, n)]
+        found.append(ids[one[:, None] + np.arange(LONGEST)]
+                     * (np.arange(LONGEST) < n).astype("<i4"))
+    return np.concatenate(found)
 
 
 def _distinct(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -348,8 +426,9 @@ class Trie(NamedTuple):
 
     def count(self, ids: np.ndarray, upto: int) -> np.ndarray:
         """Occurrences of every phrase that begin below `upto`; LONGEST zeros end the text."""
-        known = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
-        local = np.where(self.words[known] == ids, known + 1, 0).astype(np.int32)
+        known = np.zeros(max(ids.max(initial=0), self.words.max(initial=0)) + 1, np.int32)
+        known[self.words] = np.arange(1, len(self.words) + 1)
+        local = known[ids]
         at = np.flatnonzero(local[:upto])
         state = local[at]
         counts = np.zeros(len(self.phrases), np.int64)
@@ -374,6 +453,7 @@ def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
     check[:top + 1] = 0  # first words
     rng = np.random.default_rng(seed)
     slots = local[:, 0].copy()  # state of each phrase's first k words
+    owner = np.empty(room, np.int64)
     ends = []
     for k in range(1, local.shape[1]):
         rows = np.flatnonzero(local[:, k])
@@ -383,26 +463,45 @@ def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
         begin = np.flatnonzero(np.append(True, parent_of[1:] != parent_of[:-1])[:len(parent_of)])
         sizes = np.diff(np.append(begin, len(parent_of)))
         slot_of = np.zeros(len(parent_of), np.int64)
-        for g in np.argsort(-sizes, kind="stable").tolist():
-            if sizes[g] == 1:
-                break
-            a, b = begin[g], begin[g] + sizes[g]
-            labels = label_of[a:b]
-            low, high = top + 1 - labels[0], room - labels[-1]
-            for _ in range(8):
-                tries = rng.integers(low, high, 16)
-                fits = (check[tries[:, None] + labels] < 0).all(axis=1)
-                if fits.any():
-                    at = tries[np.argmax(fits)]
+        for least, most in ((FEW + 1, top), (9, FEW), (4, 8), (2, 3)):
+            some = np.flatnonzero((sizes >= least) & (sizes <= most))
+            # the children of a state keep their distances: many states look for room at once
+            for _ in range(32 if most <= FEW else 0):
+                n = sizes[some]
+                of = np.repeat(np.arange(len(some)), n)
+                member = np.arange(len(of)) + np.repeat(begin[some] - np.cumsum(n) + n, n)
+                low = top + 1 - label_of[begin[some]]
+                high = room - label_of[begin[some] + n - 1]
+                at = low + (rng.random(len(some)) * (high - low)).astype(np.int64)
+                slot = at[of] + label_of[member]
+                owner[slot] = of
+                fits = np.ones(len(some), bool)
+                fits[of[(check[slot] >= 0) | (owner[slot] != of)]] = False
+                inside = fits[of]
+                slot_of[member[inside]] = slot[inside]
+                check[slot[inside]] = parent_of[member[inside]]
+                base[parent_of[begin[some[fits]]]] = at[fits]
+                some = some[~fits]
+                if len(some) < 8:
                     break
-            else:  # behind everything
-                at = len(check) - labels[0]
-                more = int(labels[-1] - labels[0]) + top + 2
-                base = np.append(base, np.zeros(more, np.int32))
-                check = np.append(check, np.full(more, -1, np.int32))
-            slot_of[a:b] = at + labels
-            check[slot_of[a:b]] = parent_of[a]
-            base[parent_of[a]] = at
+            for g in some[np.argsort(-sizes[some], kind="stable")].tolist():  # the rest one by one
+                a, b = begin[g], begin[g] + sizes[g]
+                labels = label_of[a:b]
+                low, high = top + 1 - labels[0], room - labels[-1]
+                for _ in range(8):
+                    tries = rng.integers(low, high, 16)
+                    fits = (check[tries[:, None] + labels] < 0).all(axis=1)
+                    if fits.any():
+                        at = tries[np.argmax(fits)]
+                        break
+                else:  # behind everything
+                    at = len(check) - labels[0]
+                    more = int(labels[-1] - labels[0]) + top + 2
+                    base = np.append(base, np.zeros(more, np.int32))
+                    check = np.append(check, np.full(more, -1, np.int32))
+                slot_of[a:b] = at + labels
+                check[slot_of[a:b]] = parent_of[a]
+                base[parent_of[a]] = at
         single = begin[sizes == 1]
         free = np.flatnonzero(check[top + 1:] < 0)[:len(single)] + top + 1
         slot_of[single] = free
@@ -436,47 +535,49 @@ def _unpack(packed: dict[str, bytes]) -> Trie:
     return Trie(*(_expand(packed[name], "<i4") for name in Trie._fields[:-1]), _phrases(packed))
 
 
-def count_phrases(encoded: DataFrame, found: DataFrame, min_count: int) -> DataFrame:
-    """(w0, w1, w2, w3, a) of the candidates that occur `min_count` times or more."""
-    spark = encoded.sparkSession
-    tries = max(1, ceil(found.count() / TRIE))
-    part = F.pmod(F.xxhash64(*_PHRASE), F.lit(tries)).cast("int").alias("part")
-    # tasks build the tries, the driver passes them on one by one and compressed
-    packed = stage(found.select(part, *_PHRASE).groupBy("part").applyInArrow(
-        _pack, "part int, " + ", ".join(f"{name} binary" for name in Trie._fields)), "tries")
-    out = None
-    for t in range(tries):
-        trie = packed.where(F.col("part") == t).first()
-        if trie is None:
-            continue
-        shared = spark.sparkContext.broadcast(
-            {name: bytes(trie[name]) for name in Trie._fields})
+def count_phrases(encoded: DataFrame, full: DataFrame, bits: int, min_count: int) -> DataFrame:
+    """(w0, w1, w2, w3, a) of the phrases that occur `min_count` times or more."""
+    shards = max(1, ceil((full.agg(F.sum("full")).first()[0] or 0) / COUNTED))
+
+    def count(texts: pa.Table, full: pa.Table) -> pa.Table:
+        rows = []
+        if len(texts) and len(full):
+            ids, upto = _joined(zip(texts.column("ids").to_pylist(),
+                                    texts.column("own").to_pylist()))
+            phrases = candidates(ids, upto, _bitmap(full, bits), bits)
+            for begin in range(0, len(phrases), TRIE):
+                trie = build_trie(phrases[begin:begin + TRIE])
+                counted = np.column_stack((trie.phrases, trie.count(ids, upto))).astype("<i4")
+                words_of, shard = (trie.phrases > 0).sum(axis=1), np.empty(len(counted), np.int64)
+                for n in range(2, LONGEST + 1):
+                    of = np.flatnonzero(words_of == n)
+                    shard[of] = _buckets(trie.phrases.reshape(-1), of * LONGEST, n, bits) % np.uint64(
+                        shards)
+                order = np.argsort(shard, kind="stable")
+                rows += [(k, _squash(_steps(c[:, 0].copy())), _squash(c[:, 1:].T.reshape(-1)))
+                         for k, c in _per_shard(shard[order], counted[order])]
+        shard, places, data = zip(*rows) if rows else ((), (), ())
+        return pa.table({"shard": pa.array(shard, pa.int64()), "places": pa.array(places, pa.binary()),
+                         "data": pa.array(data, pa.binary())})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = _unpack(shared.value)
-            total = np.zeros(len(trie.phrases), np.int64)
-            for ids, upto in _blocks(batches):
-                total += trie.count(ids, upto)
-            met = np.flatnonzero(total)
-            yield _rows((k, _squash(_steps(p)), _squash(c)) for k, p, c in _per_shard(
-                met // COUNTED, (met % COUNTED).astype("<u4"), total[met]))
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.zeros(COUNTED, np.int64)
-            for places, counts in zip(table.column("places"), table.column("data")):
-                total[np.cumsum(_expand(places.as_py(), "<u4"), dtype=np.int64)] += _expand(
-                    counts.as_py(), "<i8")
-            often = np.flatnonzero(total >= min_count)
-            phrases = _phrases(shared.value)[table.column("shard")[0].as_py() * COUNTED + often]
-            return pa.table({w: pa.array(phrases[:, k].astype(np.int32))
-                             for k, w in enumerate(_PHRASE)} | {"a": pa.array(total[often])})
-
-        schema = ", ".join(f"{w} int" for w in _PHRASE) + ", a long"
-        rows = stage(encoded.mapInArrow(run, _SHARDED).groupBy("shard")
-                     .applyInArrow(add, schema), "frequent")
-        shared.destroy()
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else found.withColumn("a", F.lit(0).cast("long")).limit(0)
+    def add(table: pa.Table) -> pa.Table:
+        found = []
+        for first, rest in zip(table.column("places"), table.column("data")):
+            first = np.cumsum(_expand(first.as_py(), "<i4"), dtype=np.int32)
+            found.append(np.vstack((first, _expand(rest.as_py(), "<i4").reshape(LONGEST, -1))))
+        phrases = np.concatenate(found, axis=1)
+        phrases = phrases[:, np.lexsort(phrases[LONGEST - 1::-1])]
+        new = (phrases[:LONGEST, 1:] != phrases[:LONGEST, :-1]).any(axis=0)
+        begin = np.flatnonzero(np.append(True, new))
+        total = np.add.reduceat(phrases[LONGEST], begin, dtype=np.int64)
+        often = total >= min_count
+        return pa.table({w: pa.array(phrases[k, begin[often]]) for k, w in enumerate(_PHRASE)}
+                        | {"a": pa.array(total[often])})
+
+    return stage(
+        encoded.groupBy("block").cogroup(full.groupBy("block"))
+        .applyInArrow(count, "shard long, places binary, data binary").groupBy("shard")
+        .applyInArrow(add, ", ".join(f"{w} int" for w in _PHRASE) + ", a long"), "frequent")
 
 
 def _exact(*factors) -> Column:
@@ -538,8 +639,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     encoded = encode(texts, numbered, parts)
     size = totals.agg(F.sum("total")).first()[0] or 0
     bits = max(10, ceil(log2(size / 2))) if size else 10
-    found = candidates(encoded, full_buckets(encoded, bits, min_count), bits)
-    frequent = count_phrases(encoded, found, min_count)
+    frequent = count_phrases(encoded, full_buckets(encoded, bits, min_count), bits, min_count)
     key = F.filter(F.array(*_PHRASE), lambda w: w > 0)
     phrases = stage(frequent.select(key.alias("key"), "a"), "phrases")
     # contained phrases go before anything is scored, but parts may be any phrase

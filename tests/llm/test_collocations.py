@@ -81,6 +81,66 @@ def test_in_many_passes(spark, monkeypatch):
     assert got == plain(rows, 3, 15) and len(got) > 40
 
 
+def test_one_pass_whatever_their_number(spark, monkeypatch):
+    """The texts are read once for all buckets and once for all phrases, not per slice or trie."""
+    for name, value in {"SHARD": 64, "SLICE": 256, "TRIE": 20, "POSITIONS": 200}.items():
+        monkeypatch.setattr(c, name, value)
+    written, write = Counter(), c.stage
+    monkeypatch.setattr(c, "stage", lambda df, label: written.update([label]) or write(df, label))
+    rows = texts(5)
+    got = mined(spark.createDataFrame(rows, SCHEMA).repartition(3), min_count=3)
+    assert got == plain(rows, 3) and len(got) > 50
+    assert set(written.values()) == {1}
+
+
+def test_numbers(monkeypatch):
+    """Words are looked up some at a time, across texts and within long ones."""
+    for name, value in {"LOOKED": 7, "TEXT": 20}.items():
+        monkeypatch.setattr(c, name, value)
+    rows = [(lang or "und", (text or "").encode()) for _, text, lang in texts(6)] + [("xx", b"a b")]
+    table = pa.table({"lang": ["en", "de", "en", "und", "en"], "word": pa.array(
+        [b"a", b"b", "é".encode(), b"of", b"zz"], pa.binary()), "id": pa.array([3, 1, 9, 4, 2], pa.int32())})
+    known = {(lang, word): at for lang, word, at in zip(*table.to_pydict().values())}
+    got = list(c._numbers(iter(rows), c._dictionary(table)))
+    assert [ids.tolist() for ids in got] == [
+        [known.get((lang, w), 0) for part in c._parts(text) for w in c.words(part)] for lang, text in rows]
+    assert sum(ids.sum() for ids in got) > 0
+    assert not any(ids.any() for ids in c._numbers(iter(rows), c._dictionary(table.slice(0, 0))))
+
+
+@pytest.mark.parametrize("sizes", [[3, 40, 7, 0, 21], [16, 17, 1], [100]])
+def test_blocks(monkeypatch, sizes):
+    """A phrase begins in one block only, whichever row of its block comes first."""
+    monkeypatch.setattr(c, "POSITIONS", 16)
+    rng = np.random.default_rng(sum(sizes))
+    rows = [rng.integers(1, 50, n).astype("<i4") for n in sizes]
+    wanted = Counter(tuple(r[i:i + n].tolist()) for r in rows for n in (2, 3, 4)
+                     for i in range(len(r) - n + 1))
+    got, blocks = Counter(), defaultdict(list)
+    for batch in c._in_blocks(iter(rows), 5):
+        for block, data, own in zip(*batch.to_pydict().values()):
+            blocks[block].append((data, own))
+    for part in blocks.values():
+        ids, upto = c._joined(reversed(part))
+        for n in (2, 3, 4):
+            got.update(tuple(ids[i:i + n].tolist()) for i in c._runs(ids, upto, n))
+    assert got == wanted and min(blocks) == 5 and len(blocks) > 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trie_of_many_states(seed):
+    """States with few children are placed together; none takes another's room."""
+    rng = np.random.default_rng(seed)
+    phrases = rng.zipf(1.4, (6000, 4)) % 700 + 1
+    phrases = np.unique(phrases * (np.arange(4) < rng.integers(2, 5, 6000)[:, None]), axis=0)
+    ids = np.concatenate((rng.zipf(1.4, 20_000) % 720, np.zeros(4))).astype("<i4")
+    trie = c.build_trie(rng.permutation(phrases))
+    wanted = Counter(tuple(ids[i:i + n].tolist()) for n in (2, 3, 4) for i in range(len(ids) - n + 1))
+    counts = trie.count(ids, len(ids))
+    assert trie.phrases.tolist() == phrases.tolist() and counts.sum() > 1000
+    assert counts.tolist() == [wanted[tuple(w for w in p if w)] for p in phrases.tolist()]
+
+
 def test_driver_only_passes_on(spark, monkeypatch):
     """Tasks build the tries and the dictionary of words; the driver holds neither."""
     driver, build = os.getpid(), c.build_trie
