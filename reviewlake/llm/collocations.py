@@ -11,8 +11,8 @@ others become breaks.
    tells each block the full ones among its own. A phrase whose bucket is not full is not frequent:
    what is left are a block's candidates, a safe superset of its frequent phrases.
 3. The candidates of a block become double-array tries, each of bounded size.
-   The states of all text positions advance together, word by word: next = base[state] + word, valid
-   if check[next] == state. Accepting states are counted with bincount, and the counts of all
+   The states of all text positions advance together, word by word in two digits each:
+   next = base[state] + digit, valid if check[next] == state. Accepting states are counted with bincount, and the counts of all
    blocks are summed by shard.
 4. Scores, cuts and containment are joins over the frequent phrases.
 
@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, groupby
-from math import ceil, log2
+from math import ceil, isqrt, log2
 from typing import NamedTuple
 
 import numpy as np
@@ -415,8 +415,10 @@ def _distinct(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class Trie(NamedTuple):
     """A double array over the words of its phrases, numbered from 1 in their order.
 
-    The child of state s by word w is base[s] + w if check[] there is s. State 0 is the root, so
-    first words are states of their own number. accept[] is the phrase that a state ends, or -1.
+    First words are states of their own number. Others are read as two digits, as a state may have
+    many words behind it, whose numbers lie far apart: no room has the shape that they ask for. The
+    child of state s by digit d is base[s] + d if check[] there is s. accept[] is the phrase that a
+    state ends, or -1.
     """
     words: np.ndarray
     base: np.ndarray
@@ -433,23 +435,37 @@ class Trie(NamedTuple):
         state = local[at]
         counts = np.zeros(len(self.phrases), np.int64)
         for k in range(1, LONGEST):
-            word = local[at + k]
-            next_ = self.base[state] + word
-            valid = (word > 0) & (self.check[next_] == state)
-            at, state = at[valid], next_[valid]
+            at, state = at[local[at + k] > 0], state[local[at + k] > 0]
+            for digit in _digits(len(self.words)):
+                next_ = self.base[state] + digit(local[at + k])
+                valid = self.check[next_] == state
+                at, state = at[valid], next_[valid]
             ends = self.accept[state]
             counts += np.bincount(ends[ends >= 0], minlength=len(counts))
         return counts
 
 
+def _digits(n: int) -> list[Callable[[np.ndarray], np.ndarray]]:
+    """The two digits of numbers from 1 to n, from 1 to about its root."""
+    many = isqrt(n) + 1
+    return [lambda word: word // many + 1, lambda word: word % many + 1]
+
+
 def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
     """A trie of phrases of two words or more: rows of word numbers, zeros behind the last."""
     phrases = phrases[np.lexsort(phrases.T[::-1])]
     vocabulary = np.unique(phrases[phrases > 0])
     local = np.where(phrases > 0, np.searchsorted(vocabulary, phrases) + 1, 0)
-    top = len(vocabulary)
-    room = 2 * (top + 1) + 4 * int((local[:, 1:] > 0).sum())
-    base, check = np.zeros(room + top + 1, np.int32), np.full(room + top + 1, -1, np.int32)
+    digits = _digits(len(vocabulary))
+    local = np.column_stack([local[:, 0], *(np.where(w > 0, digit(w), 0)
+                                            for w in local[:, 1:].T for digit in digits)])
+    widest = int(local[:, 1:].max(initial=0))
+    top = max(len(vocabulary), widest)
+    other = np.logical_or.accumulate(local[1:] != local[:-1], axis=1)
+    states = int((local[:1, 1:] > 0).sum() + (other & (local[1:] > 0))[:, 1:].sum())
+    room = 2 * (top + 1) + 3 * states
+    end = room  # nothing is behind it
+    base, check = np.zeros(room, np.int32), np.full(room, -1, np.int32)
     check[:top + 1] = 0  # first words
     rng = np.random.default_rng(seed)
     slots = local[:, 0].copy()  # state of each phrase's first k words
@@ -495,10 +511,11 @@ def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
                         at = tries[np.argmax(fits)]
                         break
                 else:  # behind everything
-                    at = len(check) - labels[0]
-                    more = int(labels[-1] - labels[0]) + top + 2
-                    base = np.append(base, np.zeros(more, np.int32))
-                    check = np.append(check, np.full(more, -1, np.int32))
+                    at, end = end - labels[0], end + int(labels[-1] - labels[0]) + 1
+                    if end > len(check):
+                        more = max(end - len(check), len(check) // 4)
+                        base = np.append(base, np.zeros(more, np.int32))
+                        check = np.append(check, np.full(more, -1, np.int32))
                 slot_of[a:b] = at + labels
                 check[slot_of[a:b]] = parent_of[a]
                 base[parent_of[a]] = at
@@ -510,9 +527,9 @@ def build_trie(phrases: np.ndarray, seed: int = 5) -> Trie:
         slots[rows] = slot_of[np.cumsum(new) - 1]
         last = rows[(local[rows, k + 1] == 0) if k + 1 < local.shape[1] else slice(None)]
         ends.append((slots[last], last))
-    size = max(len(check), int(base.max(initial=0)) + top + 1)
-    base = np.append(base, np.zeros(size - len(base), np.int32))
-    check = np.append(check, np.full(size - len(check), -1, np.int32))
+    size = max(end, int(base.max(initial=0)) + widest + 1)
+    base = np.append(base, np.zeros(max(size - len(base), 0), np.int32))[:size]
+    check = np.append(check, np.full(max(size - len(check), 0), -1, np.int32))[:size]
     accept = np.full(size, -1, np.int32)
     for states, rows in ends:
         accept[states] = rows

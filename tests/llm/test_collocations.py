@@ -141,6 +141,18 @@ def test_trie_of_many_states(seed):
     assert counts.tolist() == [wanted[tuple(w for w in p if w)] for p in phrases.tolist()]
 
 
+def test_trie_of_many_hubs():
+    """Words with hundreds of others behind them, far apart, take no more room than their phrases do."""
+    rng = np.random.default_rng(1)
+    phrases = np.concatenate([np.stack((np.full(300, w), rng.choice(20_000, 300, False) + 1), axis=1)
+                              for w in range(1, 201)])
+    phrases = np.pad(phrases, ((0, 0), (0, 2)))
+    trie = c.build_trie(phrases)
+    assert len(trie.check) < 10 * len(phrases)
+    text = np.concatenate((phrases[rng.permutation(len(phrases)), :3].reshape(-1), np.zeros(4)))
+    assert (trie.count(text.astype("<i4"), len(text)) == 1).all()
+
+
 def test_driver_only_passes_on(spark, monkeypatch):
     """Tasks build the tries and the dictionary of words; the driver holds neither."""
     driver, build = os.getpid(), c.build_trie
