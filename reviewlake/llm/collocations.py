@@ -47,7 +47,7 @@ TOP = 2000
 CONTAINED = 80  # percent of a phrase's occurrences that stand inside one longer phrase
 SCALE = 2_000_000
 
-DICTIONARY = 2_000_000  # words looked up in one pass: about 30 MB as Arrow
+DICTIONARY = 2_000_000  # words looked up in one pass: about 50 MB as Arrow
 LOOKED = 1 << 20  # words looked up at once
 SLICE = 1 << 27  # bits that tell the full buckets of a block: 16 MB, buckets that agree share one
 SHARD = 1 << 18  # buckets summed in one task, or more if there are over SHARDS times as many
